@@ -151,7 +151,7 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", text_col
         if r.word == "":
             continue
         odds = math.log((r.bad + 0.5) / (every.bad + 1)) - math.log((r.good + 0.5) / (every.good + 1))
-        if odds / math.sqrt(1 / (r.bad + 0.5) + 1 / (r.good + 0.5)) > 4.0 and odds > 1.0 and len(weights) < lexicon_size:
+        if odds / math.sqrt(1 / (r.bad + 0.5) + 1 / (r.good + 0.5)) > 4.0 and odds > 2.0 and len(weights) < lexicon_size:
             weights[r.word] = odds
     plain = Lexicon(weights)
 
