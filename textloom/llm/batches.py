@@ -118,7 +118,21 @@ def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
 
 
 def words(buf: np.ndarray, off: np.ndarray) -> Words:
-    """The words [^\\x20\\x09-\\x0D]+ of each row, A-Z lower-cased."""
+    """The words [^\\x20\\x09-\\x0D]+ of each row, A-Z lower-cased. Found in pieces that end at white space."""
+    parts, at = [], 0
+    while at < len(buf):
+        stop = min(at + _SEGMENT, len(buf))
+        while stop < len(buf) and not _SPACE[buf[stop]]:
+            look = np.flatnonzero(_SPACE[buf[stop : stop + 65536]])
+            stop = stop + int(look[0]) if len(look) else min(stop + 65536, len(buf))
+        start, end, hashes = _piece_words(buf[at:stop], off[(off >= at) & (off < stop)] - at)
+        parts.append((start + at, end + at, hashes))
+        at = stop
+    start, end, hashes = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    return Words(start, end, np.searchsorted(off, start, "right") - 1, hashes)
+
+
+def _piece_words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lower = _LOWER[buf]
     space = _SPACE[buf]
     first = np.zeros(len(buf) + 1, bool)
@@ -129,8 +143,7 @@ def words(buf: np.ndarray, off: np.ndarray) -> Words:
     after = np.ones(len(buf), bool)
     after[:-1] = space[1:]
     end = np.flatnonzero(~space & (after | first[1:])) + 1
-    row = np.searchsorted(off, start, "right") - 1
-    return Words(start, end, row, span_hashes(lower, start, end))
+    return start, end, span_hashes(lower, start, end)
 
 
 def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
