@@ -29,3 +29,18 @@ def stash(df: DataFrame, name: str, compression: str = "zstd", partition_by: lis
     writer = df.write.option("compression", compression)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stash_bucketed(df: DataFrame, name: str, column: str, compression: str = "none") -> DataFrame:
+    """As stash, dealt into as many buckets by a column as there are shuffle partitions: joins on it need not shuffle this side.
+
+    The files lie in the shared folder; the catalog holds a name for them only while the plan is made.
+    """
+    spark = df.sparkSession
+    own = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    df.write.format("parquet").option("compression", compression).option("path", f"{shared_dir(spark)}/{own}").bucketBy(buckets, column).saveAsTable(own)
+    out = spark.table(own)
+    out.schema  # noqa: B018  resolved before the name goes
+    spark.sql(f"DROP TABLE {own}")
+    return out
