@@ -21,7 +21,7 @@ BLOCK = 16 << 20
 
 def pack(x: np.ndarray) -> bytes:
     """A number array as compressed bytes: its kind, its length, then zstd of its bytes, dealt by significance."""
-    x, zstd = np.ascontiguousarray(x), pa.Codec("zstd", compression_level=1)
+    x, zstd = np.ascontiguousarray(x), pa.Codec("zstd", compression_level=3)
     planes = x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
     return x.dtype.str[1:].encode().ljust(4) + len(x).to_bytes(8, "little") + (zstd.compress(planes, asbytes=True) if planes else b"")
 
@@ -60,6 +60,12 @@ class Local:
         self.local = np.empty(len(hashes), np.uint32)
         self.local[order] = np.repeat(rank, self.counts)
 
+    def relist(self, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts and local numbers if the distinct hashes were listed in this order."""
+        rank = np.empty(len(order), np.uint32)
+        rank[order[by_frequency(self.counts[order])]] = np.arange(len(order), dtype=np.uint32)
+        return self.counts[order], rank[by_frequency(self.counts)][self.local]
+
     def bounds(self, bits: int) -> np.ndarray:
         """Where each bucket's chunk begins: 2 ** bits + 1 places."""
         edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from textloom.llm.batches import as_buffer, blocks, span_hashes
 from textloom.llm.block_dictionary import BLOCK, Local, block_number, bucket_bits, by_frequency, pack, unpack
 from textloom.sources.tables import table
-from textloom.storage import stash
+from textloom.storage import stash_bucketed
 
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
 _PIECE = 1 << 20
@@ -133,21 +133,22 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
             start, end = pretokens(buf, off)
             own = Local(span_hashes(buf, start, end))
             bound, raw = own.bounds(bits), buf.tobytes()
-            s, e = start[own.first], end[own.first]
-            chunks = []
+            distinct = [raw[x:y] for x, y in zip(start[own.first].tolist(), end[own.first].tolist(), strict=True)]
+            chunks, listed = [], []
             for bucket in np.flatnonzero(np.diff(bound)):
-                i, j = bound[bucket], bound[bucket + 1]
-                data = b"".join([raw[x:y] for x, y in zip(s[i:j].tolist(), e[i:j].tolist(), strict=True)])
-                chunks.append({"bucket": int(bucket), "lengths": pack((e[i:j] - s[i:j]).astype(np.uint32)), "data": pack(np.frombuffer(data, np.uint8))})
+                listed += (order := sorted(range(bound[bucket], bound[bucket + 1]), key=distinct.__getitem__))  # in order, they compress better
+                data = b"".join([distinct[i] for i in order])
+                chunks.append({"bucket": int(bucket), "lengths": pack(np.array([len(distinct[i]) for i in order], np.uint32)), "data": pack(np.frombuffer(data, np.uint8))})
+            counts, local = own.relist(np.array(listed, np.int64))
             lengths = np.searchsorted(start, off)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([block_number(k)], pa.int64()), pa.array([batch.column("id").to_pylist()], pa.list_(batch.schema.field("id").type)), pa.array([pack(np.diff(lengths).astype(np.uint32))]), pa.array([pack(own.counts.astype(np.uint32))]), pa.array([pack(own.local)]),
+                [pa.array([block_number(k)], pa.int64()), pa.array([batch.column("id").to_pylist()], pa.list_(batch.schema.field("id").type)), pa.array([pack(np.diff(lengths).astype(np.uint32))]), pa.array([pack(counts.astype(np.uint32))]), pa.array([pack(local)]),
                  pa.array([chunks], pa.list_(pa.struct([("bucket", pa.int32()), ("lengths", pa.binary()), ("data", pa.binary())])))],
                 ["block", "ids", "lengths", "counts", "local", "chunks"],
             )
 
     made = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(to_blocks, f"block long, ids array<{kind}>, lengths binary, counts binary, local binary, chunks array<struct<bucket:int,lengths:binary,data:binary>>")
-    stored = stash(made, "bpe-blocks", "none")
+    stored = stash_bucketed(made, "bpe-blocks", "block")
 
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
