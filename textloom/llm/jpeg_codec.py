@@ -383,12 +383,13 @@ def read_coefficients(files: list[bytes]) -> tuple[list[Image], np.ndarray, np.n
     while True:  # the scans that all images have next and that are alike go together
         waiting: dict[tuple, list[tuple[int, tuple]]] = {}
         for i, im in enumerate(images):
+            mine, seen = None, set()
             while turn[i] < len(im.scans):
                 s = im.scans[turn[i]]
                 key = (s[1:5], s[5] if s[1] == 0 else s[5][0])
-                mine = [x for x in waiting.get(key, []) if x[0] == i]
-                if any(k != key and any(x[0] == i for x in v) for k, v in waiting.items()) or any(set(x[1][0]) & set(s[0]) for x in mine):
+                if mine not in (None, key) or seen & set(s[0]):
                     break
+                mine, seen = key, seen | set(s[0])
                 waiting.setdefault(key, []).append((i, s))
                 turn[i] += 1
         if not waiting:
@@ -397,15 +398,15 @@ def read_coefficients(files: list[bytes]) -> tuple[list[Image], np.ndarray, np.n
             _scan(images, first, coef, band, tables if isinstance(tables, tuple) else (tables,), members, files)
 
 
-_ORDERS: dict[tuple, tuple[np.ndarray, np.ndarray, int]] = {}
-
-
 def _scan(images: list[Image], first: np.ndarray, coef: np.ndarray, band: tuple, tables: tuple, members: list, files: list[bytes]) -> None:
     ss, se, ah, al = band
     lanes = _Lanes([files[i][s[7] : s[8]] for i, s in members])
-    blocks, owners, per = [], [], []
+    blocks, owners, per, known = [], [], [], {}
     for (i, s), n in zip(members, lanes.lanes.tolist(), strict=True):
-        at, owner, unit = images[i].order(s[0])
+        shape = (images[i].high, images[i].wide, s[0], *(c[1:3] for c in images[i].comps))
+        if shape not in known:
+            known[shape] = images[i].order(s[0])
+        at, owner, unit = known[shape]
         blocks.append(at + first[i])
         owners.append(np.searchsorted(np.array(s[0]), owner) if len(s[0]) > 1 else np.zeros(len(at), np.int64))
         step = (s[6] or len(at)) * unit
