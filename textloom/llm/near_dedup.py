@@ -8,8 +8,10 @@
    packed bits' matches give an estimate of the similarity, corrected for chance collisions of two bits, and
    pairs within five standard errors of the threshold are confirmed on the full sets.
 4. Links are gathered into components. A bucket whose members do not all lie in one component may hide more
-   links: its members are compared in tiles by their packed bits, and every pair that lies in two components
-   and passes the estimate is confirmed too, so no pair that shares a band key is left untried.
+   links: for up to `STARS` rounds another member, drawn by hash, is tried with those of other components.
+5. What is left is compared in tiles by the packed bits, and every pair of a bucket that still lies in two
+   components and passes the estimate is confirmed too, so no pair that shares a band key and could join two
+   components is left untried.
 
 A pair at the threshold of 0.8 shares no band key with probability (1 - 0.8 ** 4) ** 28 = 4e-7.
 """
@@ -31,6 +33,8 @@ from textloom.storage import stash
 
 MINIMA, BANDS, ROWS, BITS = 128, 28, 4, 2
 _TILE = 256
+#: Rounds in which buckets of several components try one member more.
+STARS = 4
 #: Ids of candidates are broadcast to the scan of the texts up to this many, and shuffled beyond.
 BROADCAST_IDS = 1 << 21
 _ODD = (np.random.default_rng(20).integers(0, 1 << 32, MINIMA, dtype=np.uint32) | np.uint32(1)).astype(np.uint32)
@@ -168,7 +172,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text_col: st
     entries = reps.select("id", F.explode("bands").alias("band"))
     buckets = entries.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1")
     members = stash(entries.join(buckets, "band"), "near-buckets")
-    tried = members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    tried = stash(members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "near-tried")
     bits = reps.select("id", *sign)
 
     def likely(pairs: DataFrame) -> DataFrame:
@@ -179,20 +183,33 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text_col: st
 
     links = stash(confirm(docs, stash(likely(tried), "near-likely"), k, percent, text_col, id_col), "near-links")
     found = components(links)
-    # buckets that still touch several components
-    placed = members.where("n > 2").join(found, members["id"] == found["node"], "left").select("band", "id", "leader", "n", F.coalesce("component", "id").alias("component"))
+    wide = stash(members.where("n > 2"), "near-wide")
+    for turn in range(STARS):  # buckets that still touch several components: another member is tried with those of other components
+        placed = wide.join(found, wide["id"] == found["node"], "left").select("band", "id", "n", F.coalesce("component", "id").alias("component"))
+        heads = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by(F.struct("id", "component"), F.xxhash64("id", "band", F.lit(turn))).alias("head"))
+        heads = heads.where("low <> high").select("band", F.col("head.id").alias("h"), F.col("head.component").alias("hc"))
+        fresh = placed.join(heads, "band").where("component <> hc").select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b")).distinct()
+        fresh = stash(fresh.join(tried, ["a", "b"], "left_anti"), "near-tried")
+        tried = tried.unionByName(fresh)
+        more = stash(confirm(docs, stash(likely(fresh), "near-likely"), k, percent, text_col, id_col), "near-links")
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        found = components(links)
+    placed = wide.join(found, wide["id"] == found["node"], "left").select("band", "id", "n", F.coalesce("component", "id").alias("component"))
     split = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-    rest = placed.join(split, "band").where("id <> leader")
+    rest = placed.join(split, "band")
     tiles = F.ceil(F.col("n") / _TILE).cast("int")
     tile = F.pmod(F.xxhash64("id"), tiles).cast("int")
-    dealt = rest.select("band", "id", "component", tile.alias("t"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("u")).join(bits, "id")
-    dealt = dealt.select("band", F.least("t", "u").alias("p"), F.greatest("t", "u").alias("q"), "t", "id", "component", *sign)
+    dealt = rest.select("band", "id", "component", tile.alias("t"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("u")).join(reps.select("id", *sign, "bands"), "id")
+    dealt = dealt.select("band", F.least("t", "u").alias("p"), F.greatest("t", "u").alias("q"), "t", "id", "component", "bands", *sign)
     least = least_estimate(percent / 100)
 
     def compare(rows: pa.Table) -> pa.Table:
         ids, parts, t = (rows.column(c).to_numpy() for c in ("id", "component", "t"))
         x = np.stack([rows.column(c).to_numpy() for c in sign], 1)
-        p, q = rows.column("p")[0].as_py(), rows.column("q")[0].as_py()
+        keys = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        p, q, band = (rows.column(c)[0].as_py() for c in ("p", "q", "band"))
         right = np.flatnonzero(t == q)
         a, b = [], []
         for i in np.flatnonzero(t == p):
@@ -203,6 +220,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text_col: st
                 any_ |= differ[:, plane * _WORDS : (plane + 1) * _WORDS]
             same = MINIMA - np.bitwise_count(any_.view(np.uint64)).sum(1)
             hit = other[(same / MINIMA - 0.5**BITS) / (1 - 0.5**BITS) >= least]
+            hit = hit[keys[i][(keys[hit] == keys[i]).argmax(1)] == band]  # in the first bucket that both share
             a += np.minimum(ids[hit], ids[i]).tolist()
             b += np.maximum(ids[hit], ids[i]).tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
