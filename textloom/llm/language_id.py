@@ -96,7 +96,9 @@ def fit(x: np.ndarray, y: list[str], rounds: int = 150, rate: float = 8.0, ridge
     """One logistic classifier per bit, by gradient steps with momentum."""
     langs = sorted(set(y))
     code = codewords(len(langs))
-    at = np.array([langs.index(v) for v in y])
+    at = np.array([langs.index(v) for v in y], np.int64)
+    if not langs:
+        return Model([], code, np.zeros((x.shape[1] + 1, 1), np.float32), np.ones((0, 1)))
     target = code[at]
     x = np.c_[x, np.ones(len(x), np.float32)].astype(np.float32)
     share = 1 / np.maximum(np.bincount(at, minlength=len(langs)), 1)  # languages count alike

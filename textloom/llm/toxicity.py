@@ -15,6 +15,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,7 @@ from pyspark.sql import types as T
 from textloom.llm.batches import blocks
 from textloom.llm.splits import bounded_sample, fold
 from textloom.sources.tables import table
+from textloom.storage import stash
 
 _HOMOGLYPHS = {
     "a": "аαɑ@4", "b": "ЬВвß8", "c": "сϲ", "d": "ԁ", "e": "еε3ё", "g": "ɡ9", "h": "һнН", "i": "іιı1ï|", "j": "ј", "k": "κкК", "l": "ӏⅼ", "m": "мМ", "n": "ոη",
@@ -33,7 +35,8 @@ _HOMOGLYPHS = {
 
 
 def _fold_table() -> dict[int, int]:
-    out = {ord(x): ord(latin) for latin, many in _HOMOGLYPHS.items() for x in many}
+    out = {ord(x.upper()): ord(latin) for latin, many in _HOMOGLYPHS.items() for x in many if len(x.upper()) == 1 and not x.isascii()}
+    out |= {ord(x): ord(latin) for latin, many in _HOMOGLYPHS.items() for x in many}
     out |= {0xFF21 + i: 97 + i for i in range(26)} | {0xFF41 + i: 97 + i for i in range(26)}  # full width
     out |= {i: ord(chr(i).lower()) for i in [*range(65, 91), *range(0xC0, 0xDF)] if i != 0xD7 and len(chr(i).lower()) == 1}
     return out | {i: 32 for i in (9, 10, 11, 12, 13, 0xA0)}
@@ -140,6 +143,8 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", text_col
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([n * (k[1] == 1) for k, n in seen.items()], pa.int64()), pa.array([n * (k[1] == 0) for k, n in seen.items()], pa.int64())], ["word", "bad", "good"])
 
     counts = rows.mapInArrow(words, "word string, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where(F.col("word").isin("") | (F.col("bad") >= min_docs))
+    counts = stash(counts, "toxic-words")
+    sure = NormalDist().inv_cdf(1 - 0.5 / max(2, counts.count()))  # half a word by chance
     # the rarest of the words that a toxic text holds are left out above; the most telling are kept
     z = F.log((F.col("bad") + 0.5) / (F.col("good") + 0.5)) / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
     best = counts.orderBy((F.col("word") != ""), z.desc(), "word").limit(lexicon_size * 4 + 1).collect()
@@ -151,7 +156,7 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", text_col
         if r.word == "":
             continue
         odds = math.log((r.bad + 0.5) / (every.bad + 1)) - math.log((r.good + 0.5) / (every.good + 1))
-        if odds / math.sqrt(1 / (r.bad + 0.5) + 1 / (r.good + 0.5)) > 4.0 and odds > 2.0 and len(weights) < lexicon_size:
+        if odds / math.sqrt(1 / (r.bad + 0.5) + 1 / (r.good + 0.5)) > sure and odds > 2.0 and len(weights) < lexicon_size:
             weights[r.word] = odds
     plain = Lexicon(weights)
 
