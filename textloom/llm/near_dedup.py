@@ -9,7 +9,7 @@
    pairs within five standard errors of the threshold are confirmed on the full sets.
 4. Links are gathered into components. A bucket whose members do not all lie in one component may hide more
    links: for up to `STARS` rounds another member, drawn by hash, is tried with those of other components.
-5. What is left is compared in tiles by the packed bits, and every pair of a bucket that still lies in two
+5. What is left is compared in tiles by the packed bits of `FINE` minima, and every pair of a bucket that still lies in two
    components and passes the estimate is confirmed too, so no pair that shares a band key and could join two
    components is left untried.
 
@@ -37,8 +37,10 @@ _TILE = 256
 STARS = 4
 #: Ids of candidates are broadcast to the scan of the texts up to this many, and shuffled beyond.
 BROADCAST_IDS = 1 << 21
-_ODD = (np.random.default_rng(20).integers(0, 1 << 32, MINIMA, dtype=np.uint32) | np.uint32(1)).astype(np.uint32)
-_ADD = np.random.default_rng(21).integers(0, 1 << 32, MINIMA, dtype=np.uint32)
+#: Minima of the longer signatures that members of buckets with several components are compared by.
+FINE = 1024
+_ODD = (np.random.default_rng(20).integers(0, 1 << 32, FINE, dtype=np.uint32) | np.uint32(1)).astype(np.uint32)
+_ADD = np.random.default_rng(21).integers(0, 1 << 32, FINE, dtype=np.uint32)
 
 
 def row_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -48,22 +50,22 @@ def row_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return values, np.searchsorted(rows, np.arange(len(off)))
 
 
-def minima(values: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Rows x MINIMA least values of the sets, all rows with some shingle."""
-    out = np.empty((len(at) - 1, MINIMA), np.uint32)
+def minima(values: np.ndarray, at: np.ndarray, number: int = MINIMA) -> np.ndarray:
+    """Rows x number least values of the sets, all rows with some shingle."""
+    out = np.empty((len(at) - 1, number), np.uint32)
     low = (values >> np.uint64(16)).astype(np.uint32)
     a = 0
     while a < len(at) - 1:
         b = max(a + 1, int(np.searchsorted(at, at[a] + (1 << 15), "right")) - 1)
         part, cut = low[at[a] : at[b]], (at[a:b] - at[a]).astype(np.int64)
-        for i in range(MINIMA):
+        for i in range(number):
             out[a:b, i] = np.minimum.reduceat(part * _ODD[i] + _ADD[i], cut)
         a = b
     return out
 
 
 def planes(least: np.ndarray) -> np.ndarray:
-    """Rows x (BITS * MINIMA / 64) words: bit planes of the minima's low bits."""
+    """Rows x (BITS * minima / 64) words: bit planes of the minima's low bits."""
     bits = np.concatenate([(least >> np.uint32(b)) & np.uint32(1) for b in range(BITS)], 1).astype(np.uint8)
     return np.packbits(bits, axis=1).view(np.int64)
 
@@ -94,11 +96,11 @@ def estimate(left: list[Column], right: list[Column]) -> Column:
     return ((MINIMA - differ) / MINIMA - chance) / (1 - chance)
 
 
-def least_estimate(similarity: float, errors: float = 5.0) -> float:
+def least_estimate(similarity: float, number: int = MINIMA, errors: float = 5.0) -> float:
     """The estimate that a pair of that similarity falls below once in some millions."""
     chance = 0.5**BITS
     p = similarity + (1 - similarity) * chance
-    return similarity - errors * math.sqrt(p * (1 - p) / MINIMA) / (1 - chance)
+    return similarity - errors * math.sqrt(p * (1 - p) / number) / (1 - chance)
 
 
 def signatures(docs: DataFrame, k: int, text_col: str, id_col: str) -> DataFrame:
@@ -126,18 +128,36 @@ def signatures(docs: DataFrame, k: int, text_col: str, id_col: str) -> DataFrame
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, kinds)
 
 
+def fine_signatures(docs: DataFrame, ids: DataFrame, k: int, text_col: str, id_col: str) -> DataFrame:
+    """(id, fine): packed bits of FINE minima for the rows with these ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, "text", 1 << 20):
+            values, at = row_sets(batch.column("text"), k)
+            some = np.flatnonzero(np.diff(at) > 0)
+            if len(some):
+                packed = planes(minima(values, np.r_[at[some], at[-1]], FINE))
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(some)), pa.array([x.tobytes() for x in packed], pa.binary())], ["id", "fine"])
+
+    return _texts(docs, ids, text_col, id_col).mapInArrow(run, "id long, fine binary")
+
+
+def _texts(docs: DataFrame, ids: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """(id, text) of the rows with these ids."""
+    hint = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(hint, "id", "left_semi")
+
+
 def confirm(docs: DataFrame, pairs: DataFrame, k: int, percent: int, text_col: str, id_col: str) -> DataFrame:
     """Of pairs (a, b) those whose full sets have 100 * intersection >= percent * union, with both sizes."""
     ids = stash(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-ids")
-    hint = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text", 2 << 20):
             values, at = row_sets(batch.column("text"), k)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([values[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["id", "shingles"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(hint, "id", "left_semi")
-    sets = stash(texts.mapInArrow(to_sets, "id long, shingles binary"), "near-sets", "none")
+    sets = stash(_texts(docs, ids, text_col, id_col).mapInArrow(to_sets, "id long, shingles binary"), "near-sets", "none")
     both = pairs.select("a", "b").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,28 +218,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text_col: st
         found = components(links)
     placed = wide.join(found, wide["id"] == found["node"], "left").select("band", "id", "n", F.coalesce("component", "id").alias("component"))
     split = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-    rest = placed.join(split, "band")
+    rest = stash(placed.join(split, "band"), "near-rest")
+    fine = stash(fine_signatures(docs, stash(rest.select("id").distinct(), "near-ids"), k, text_col, id_col), "near-fine")
     tiles = F.ceil(F.col("n") / _TILE).cast("int")
     tile = F.pmod(F.xxhash64("id"), tiles).cast("int")
-    dealt = rest.select("band", "id", "component", tile.alias("t"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("u")).join(reps.select("id", *sign, "bands"), "id")
-    dealt = dealt.select("band", F.least("t", "u").alias("p"), F.greatest("t", "u").alias("q"), "t", "id", "component", "bands", *sign)
-    least = least_estimate(percent / 100)
+    dealt = rest.select("band", "id", "component", tile.alias("t"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("u")).join(reps.select("id", "bands"), "id").join(fine, "id")
+    dealt = dealt.select("band", F.least("t", "u").alias("p"), F.greatest("t", "u").alias("q"), "t", "id", "component", "bands", "fine")
+    least = least_estimate(percent / 100, FINE)
 
     def compare(rows: pa.Table) -> pa.Table:
         ids, parts, t = (rows.column(c).to_numpy() for c in ("id", "component", "t"))
-        x = np.stack([rows.column(c).to_numpy() for c in sign], 1)
+        x = np.frombuffer(b"".join(rows.column("fine").to_pylist()), np.uint64).reshape(len(ids), BITS, -1)
         keys = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
         p, q, band = (rows.column(c)[0].as_py() for c in ("p", "q", "band"))
         right = np.flatnonzero(t == q)
         a, b = [], []
         for i in np.flatnonzero(t == p):
             other = right[(parts[right] != parts[i]) & ((ids[right] > ids[i]) | (p != q))]
-            differ = x[other] ^ x[i]
-            any_ = differ[:, :_WORDS].copy()
-            for plane in range(1, BITS):
-                any_ |= differ[:, plane * _WORDS : (plane + 1) * _WORDS]
-            same = MINIMA - np.bitwise_count(any_.view(np.uint64)).sum(1)
-            hit = other[(same / MINIMA - 0.5**BITS) / (1 - 0.5**BITS) >= least]
+            same = FINE - np.bitwise_count(np.bitwise_or.reduce(x[other] ^ x[i], axis=1)).sum(1, dtype=np.int64)
+            hit = other[(same / FINE - 0.5**BITS) / (1 - 0.5**BITS) >= least]
             hit = hit[keys[i][(keys[hit] == keys[i]).argmax(1)] == band]  # in the first bucket that both share
             a += np.minimum(ids[hit], ids[i]).tolist()
             b += np.maximum(ids[hit], ids[i]).tolist()
