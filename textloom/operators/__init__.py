@@ -1 +1 @@
-"""textloom.operators"""
+"""Operators: functions from DataFrames to DataFrames."""
