@@ -1 +1,208 @@
-"""Queries."""
+"""Queries on texts: documents are books, their lines chunks; pages are HTML books; conversations are ordered chunks."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from textloom.functions import text as T
+from textloom.operators import cascade
+from textloom.plans.catalog import query
+from textloom.sources.tables import table
+
+
+def _chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of all documents: doc_id, chunk_idx (from 1), text."""
+    docs = table(spark, sf, "documents")
+    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text")).select("doc_id", (F.col("i") + 1).cast("long").alias("chunk_idx"), "text")
+
+
+_LINES = "lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS chunk_idx FROM documents)"
+_WS = r"[\t\n\x0b\f\r ]"
+
+
+@query(rf"SELECT page_id, coalesce(nullif(trim(regexp_replace(regexp_extract(html, '(?is)<h1\b[^>]*>(.*?)</h1\s*>', 1), '<[^>]+>', '', 'g')), ''), nullif(trim(regexp_replace(regexp_extract(html, '(?is)<h2\b[^>]*>(.*?)</h2\s*>', 1), '<[^>]+>', '', 'g')), ''), nullif(trim(regexp_replace(regexp_extract(html, '(?is)<h3\b[^>]*>(.*?)</h3\s*>', 1), '<[^>]+>', '', 'g')), '')) AS title FROM pages")
+def html_title(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pages").select("page_id", T.html_title(F.col("html")).alias("title"))
+
+
+def _clean_sql() -> str:
+    out = r"regexp_replace(html, '(?is)<!--.*?-->', '', 'g')"
+    for tag in ("script", "style", "nav", "aside", "header", "footer"):
+        out = rf"regexp_replace({out}, '(?is)<{tag}\b[^>]*>.*?</{tag}\s*>', '', 'g')"
+    out = rf"regexp_replace({out}, '(?s)<[^>]+>', chr(10), 'g')"
+    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&amp;", "&")):
+        out = f"replace({out}, '{entity}', '{char}')"
+    return out
+
+
+@query(rf"SELECT page_id, array_to_string(list_filter(list_transform(string_split({_clean_sql()}, chr(10)), lambda x: regexp_replace(x, '^{_WS}+|{_WS}+$', '', 'g')), lambda x: x <> ''), chr(10)) AS text FROM pages")
+def html_clean(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pages").select("page_id", T.html_text(F.col("html")).alias("text"))
+
+
+@query(r"SELECT doc_id, len(regexp_extract_all(text, '(?m)^(#{1,6})[\t\n\f\r ]+(.+)$', 2)) AS headings, array_to_string(regexp_extract_all(text, '(?m)^(#{1,6})[\t\n\f\r ]+(.+)$', 2), ' | ') AS titles FROM documents")
+def section_headings(spark: SparkSession, sf: str) -> DataFrame:
+    h = T.headings(F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", F.size(h).cast("long").alias("headings"), F.array_join(h, " | ").alias("titles"))
+
+
+@query(r"SELECT doc_id, len(list_filter(string_split(regexp_replace(text, '([.!?])[\t\n\x0b\f\r ]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')) AS sentences FROM documents")
+def sentence_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", F.size(T.sentences(F.col("text"))).cast("long").alias("sentences"))
+
+
+@query(r"SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{M}\p{Nd}\p{Pc}]+|[^\p{L}\p{M}\p{Nd}\p{Pc}\t\n\x0b\f\r ]')) AS tokens FROM documents")
+def token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", T.token_count(F.col("text")).cast("long").alias("tokens"))
+
+
+@query(r"SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(p_name)), '^(?:the|a|an)\s+', ''), '[^\w\s-]', '', 'g'), '\s+', ' ', 'g')) AS normal, CASE WHEN trim(regexp_replace(trim(p_name), '(?i)^(?:the|a|an)\s+', '')) = '' THEN trim(p_name) ELSE trim(regexp_replace(trim(p_name), '(?i)^(?:the|a|an)\s+', '')) END AS canonical, coalesce(nullif(regexp_replace(regexp_replace(p_type, '[^A-Za-z0-9_]', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'Node') AS label, trim(regexp_replace(regexp_replace(p_brand, '[\\/*?:\"<>|#\[\]^]', '', 'g'), '\s+', ' ', 'g')) AS file FROM part")
+def normalize_names(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "part").select("p_partkey", T.normalize_name(F.col("p_name")).alias("normal"), T.canonical_name(F.col("p_name")).alias("canonical"), T.graph_label(F.col("p_type")).alias("label"), T.file_name(F.col("p_brand")).alias("file"))
+
+
+@query(r"""
+SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS month_of_date, strftime(o_orderdate, '%Y-01') AS month_of_year, strftime(o_orderdate, '%Y-%m') AS month_as_typed, strftime(o_orderdate, '%Y-12') AS upper_of_year,
+  strftime(o_orderdate, '%Y-%m-%d') AS published, strftime(o_orderdate, '%Y-%m-01') AS sorts_as, strftime(o_orderdate, '%Y') AS year_inside, strftime(o_orderdate, '%Y-%m') BETWEEN '1994-06' AND '1996-02' AS in_range FROM orders
+""")
+def dates(spark: SparkSession, sf: str) -> DataFrame:
+    d = lambda f: F.date_format("o_orderdate", f)
+    day, month, year = d("yyyy-MM-dd"), d("yyyy-MM"), d("yyyy")
+    return table(spark, sf, "orders").select(
+        "o_orderkey", T.idea_month(day).alias("month_of_date"), T.idea_month(year).alias("month_of_year"), T.query_month(F.concat_ws(" ", d("MMMM"), year)).alias("month_as_typed"), T.query_month(year, True).alias("upper_of_year"),
+        T.publication_date(F.concat(F.lit("D:"), d("yyyyMMdd"), F.lit("Z"))).alias("published"), T.sort_date(month).alias("sorts_as"), T.publication_date(F.concat_ws(" ", F.lit("printed"), year, F.lit("in town"))).alias("year_inside"),
+        T.month_in_range(month, F.lit("1994-06"), F.lit("1996-02")).alias("in_range"),
+    )
+
+
+_LICENSE = r"(?i)(?:All\s+rights\s+reserved|GNU\s+General\s+Public\s+License|Apache\s+License,\s+Version|Permission\s+is\s+hereby\s+granted,\s+free\s+of\s+charge|MIT\s+License|Creative\s+Commons\s+Attribution)"
+
+
+@query(rf"WITH {_LINES} SELECT doc_id, chunk_idx::BIGINT AS chunk_idx, text FROM lines WHERE regexp_matches(text, '{_LICENSE}') AND length(text) < 400")
+def filter_license(spark: SparkSession, sf: str) -> DataFrame:
+    out = cascade.classify(_chunks(spark, sf), formulas=False, rules=["tech_boiler"])
+    return out.where("category = 'tech_boiler'").where(F.col("text").rlike(_LICENSE)).select("doc_id", "chunk_idx", "text")
+
+
+@query(rf"WITH {_LINES} SELECT count(*) AS chunks, count(*) FILTER (regexp_replace(text, '^{_WS}+|{_WS}+$', '', 'g') = '') AS empty FROM lines")
+def filter_empty(spark: SparkSession, sf: str) -> DataFrame:
+    out = cascade.classify(_chunks(spark, sf), formulas=False, rules=["empty"])
+    return out.agg(F.count("*").alias("chunks"), F.count_if(F.col("category") == "empty").alias("empty"))
+
+
+@query(rf"""
+WITH {_LINES}, t AS (SELECT regexp_replace(text, '^{_WS}+|{_WS}+$', '', 'g') AS text FROM lines), c AS (SELECT text, length(text) AS n, len(regexp_extract_all(text, '\[\d{{1,3}}\]')) AS br, len(regexp_extract_all(text, '(?i)(?:#include\s+<[a-z0-9_./]+>|#define\s+[A-Z0-9_]+|#ifndef\s+[A-Z0-9_]+|#endif)')) AS heads, length(text) - length(replace(text, '?', '')) AS marks FROM t),
+k AS (SELECT CASE WHEN text = '' THEN 'empty' WHEN br >= 5 THEN 'biblio' WHEN heads >= 3 OR regexp_matches(text, '{_LICENSE}') AND n < 400 THEN 'tech_boiler' WHEN regexp_matches(text, '(?i)@-@|@\.@|<unk>') OR marks >= 4 AND n < 150 THEN 'dataset_stim' ELSE 'rest' END AS category FROM c)
+SELECT category, count(*) AS chunks FROM k GROUP BY 1
+""")
+def filter_categories(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks by category; the categories that other rules give are put together, which SQL here does not spell out."""
+    out = cascade.classify(_chunks(spark, sf), formulas=False, rules=["empty", "biblio", "tech_boiler", "dataset_stim"])
+    known = F.when((F.col("category") == "biblio") & (F.regexp_count("text", F.lit(r"\[\d{1,3}\]")) < 5), "rest").when(F.col("category").isin("empty", "biblio", "tech_boiler", "dataset_stim"), F.col("category")).otherwise("rest")
+    return out.groupBy(known.alias("category")).agg(F.count("*").alias("chunks"))
+
+
+@query()
+def filter_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole cascade over all lines; its patterns look behind, which the SQL engine cannot."""
+    return cascade.stats(cascade.classify(_chunks(spark, sf)))
+
+
+@query(r"""
+WITH w AS (SELECT d.doc_id, b.item_id, b.text AS q, d.text AS t FROM benchmark b, documents d WHERE contains(regexp_replace(lower(d.text), '\s+', ' ', 'g'), trim(regexp_replace(lower(b.text), '\s+', ' ', 'g'))))
+SELECT doc_id, item_id, true AS grounded FROM w
+""")
+def quote_grounding(spark: SparkSession, sf: str) -> DataFrame:
+    """Items whose text a document holds whole: the items are the query set, sent to the scan."""
+    items = table(spark, sf, "benchmark").select(F.collect_list(F.struct("item_id", "text")).over(Window.partitionBy(F.lit(1))).alias("items")).limit(1)
+    docs = table(spark, sf, "documents").select("doc_id", "text").join(F.broadcast(items), F.lit(True))
+    flat = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    near = docs.withColumn("flat", flat(F.col("text"))).select("doc_id", "text", F.explode(F.filter("items", lambda x: F.contains(F.col("flat"), flat(x["text"])))).alias("x"))
+    return near.select("doc_id", "x.item_id", T.grounding(F.col("text"), F.lit(""), F.lit(""), F.col("x.text"))["grounded"].alias("grounded"))
+
+
+@query("""
+WITH c AS (SELECT conv_id, turn, text, lag(turn) OVER w AS prev_turn, lead(turn) OVER w AS next_turn, right(lag(text) OVER w, 500) AS before, left(lead(text) OVER w, 500) AS after FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, text))
+SELECT conv_id, turn, prev_turn, next_turn, length(before) AS before_chars, length(after) AS after_chars, md5(coalesce(before, '')) AS before_md5, md5(coalesce(after, '')) AS after_md5 FROM c
+""")
+def prev_next_context(spark: SparkSession, sf: str) -> DataFrame:
+    w = Window.partitionBy("conv_id").orderBy("turn", "text")
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.lag("turn").over(w).alias("prev_turn"), F.lead("turn").over(w).alias("next_turn"), F.right(F.lag("text").over(w), F.lit(500)).alias("before"), F.left(F.lead("text").over(w), F.lit(500)).alias("after"))
+    md5 = lambda x: F.md5(F.coalesce(F.col(x), F.lit("")).cast("binary"))
+    return c.select("conv_id", "turn", "prev_turn", "next_turn", F.length("before").cast("long").alias("before_chars"), F.length("after").cast("long").alias("after_chars"), md5("before").alias("before_md5"), md5("after").alias("after_md5"))
+
+
+@query("SELECT count(*) AS books, sum(n - 1)::BIGINT AS pairs FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)")
+def sequential_pair_count(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("n")).agg(F.count("*").alias("books"), F.sum(F.col("n") - 1).alias("pairs"))
+
+
+@query("WITH p AS (SELECT conv_id, text AS a, lead(text) OVER (PARTITION BY conv_id ORDER BY turn, text) AS b FROM conversations) SELECT DISTINCT md5(a) AS a, md5(b) AS b FROM p WHERE length(trim(a)) >= 40 AND length(trim(b)) >= 40")
+def discourse_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct pairs of neighbours of at least 40 characters, by digest."""
+    p = table(spark, sf, "conversations").select(F.col("text").alias("a"), F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn", "text")).alias("b"))
+    return p.where((F.length(F.trim("a")) >= 40) & (F.length(F.trim("b")) >= 40)).select(F.md5(F.col("a").cast("binary")).alias("a"), F.md5(F.col("b").cast("binary")).alias("b")).distinct()
+
+
+@query("SELECT doc_id, source, floor((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) / 10)::BIGINT AS batch FROM documents")
+def batch_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """Batches of ten books of a shelf."""
+    return table(spark, sf, "documents").select("doc_id", "source", F.floor((F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1) / 10).alias("batch"))
+
+
+@query("""
+WITH p AS (SELECT user_id, event_id, floor(100.0 * row_number() OVER w / count(*) OVER (PARTITION BY user_id) / 10)::BIGINT AS step FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), l AS (SELECT *, lag(step) OVER (PARTITION BY user_id ORDER BY step, event_id) AS before FROM p)
+SELECT user_id, step, count(*) AS fired FROM l WHERE step > coalesce(before, 0) GROUP BY 1, 2
+""")
+def milestone_crossings(spark: SparkSession, sf: str) -> DataFrame:
+    """Progress of each user through their events, in steps of ten percent."""
+    w = Window.partitionBy("user_id")
+    p = table(spark, sf, "events").select("user_id", "event_id", F.floor(100.0 * F.row_number().over(w.orderBy("ts", "event_id")) / F.count("*").over(w) / 10).alias("step"))
+    crossed = p.withColumn("before", F.lag("step").over(w.orderBy("step", "event_id"))).where(F.col("step") > F.coalesce("before", F.lit(0)))
+    return crossed.groupBy("user_id", "step").agg(F.count("*").alias("fired"))
+
+
+@query(r"""
+WITH p AS (SELECT p_partkey, lower(p_name) AS n, lower(p_type) AS s, lower(p_brand) AS c, p_size AS weight FROM part), m AS (SELECT *, CASE WHEN n = 'steel' THEN 100.0 WHEN starts_with(n, 'steel') THEN 85 WHEN contains(n, 'steel') THEN 75 WHEN contains(c, 'steel') THEN 60 WHEN contains(s, 'steel') THEN 50 END AS score FROM p)
+SELECT p_partkey, score::DOUBLE AS match_score, weight FROM m WHERE score IS NOT NULL
+""")
+def exact_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Every part that the word `steel` finds, scored by where it stands."""
+    scored = table(spark, sf, "part").withColumn("m", T.exact_score("steel", F.col("p_name"), F.col("p_brand"), F.col("p_type"), F.lit("")))
+    return scored.where("m.match_score is not null").select("p_partkey", "m.match_score", F.col("p_size").alias("weight"))
+
+
+@query(r"""
+WITH q AS (SELECT ['the', 'and', 'that'] AS q), w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS d FROM documents)
+SELECT doc_id, round(len(list_intersect(d, q)) / (sqrt(len(q)) * sqrt(len(d))), 6) AS score FROM w, q WHERE len(d) > 0
+""")
+def token_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    q = F.array(*map(F.lit, ["the", "and", "that"]))
+    d = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
+    return table(spark, sf, "documents").withColumn("d", d).where(F.size("d") > 0).select("doc_id", F.round(F.size(F.array_intersect("d", q)) / (F.sqrt(F.lit(3)) * F.sqrt(F.size("d"))), 6).alias("score"))
+
+
+@query(r"""
+WITH f AS (SELECT p_partkey AS id, unnest(list_concat(list_filter(regexp_extract_all(lower(p_name), '\w+'), lambda x: length(x) >= 2), list_transform(range(1, greatest(length(p_name) - 1, 1)), lambda i: substring(lower(p_name), i, 3)))) AS f FROM part), n AS (SELECT count(*) AS n FROM part),
+tf AS (SELECT id, f, count(*) AS c FROM f GROUP BY 1, 2), df AS (SELECT f, count(*) AS df FROM tf GROUP BY 1), w AS (SELECT id, f, (1 + ln(c)) * (ln((n + 1) / (df + 1)) + 1) AS w FROM tf JOIN df USING (f), n), nrm AS (SELECT id, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1),
+qf AS (SELECT unnest(list_concat(['steel', 'ring'], list_transform(range(1, 9), lambda i: substring('steel ring', i, 3)))) AS f), qt AS (SELECT f, count(*) AS c FROM qf GROUP BY 1), qw AS (SELECT f, (1 + ln(c)) * coalesce(ln((n + 1) / (df + 1)) + 1, 1) AS w FROM qt LEFT JOIN df USING (f), n)
+SELECT id AS p_partkey, round(sum(w.w * qw.w) / any_value(norm) / (SELECT sqrt(sum(w * w)) FROM qw), 6) AS score FROM w JOIN qw USING (f) JOIN nrm USING (id) GROUP BY id
+""")
+def tfidf_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Similarity of all part names to `steel ring` by words and letter triples."""
+    from textloom.operators.search import tfidf_scores
+
+    return tfidf_scores(table(spark, sf, "part").select("p_partkey", "p_name"), "p_partkey", "p_name", "steel ring").select("p_partkey", F.round("score", 6).alias("score"))
+
+
+@query(r"""
+WITH s AS (SELECT s_suppkey, s_name, s_acctbal, row_number() OVER (ORDER BY s_acctbal, s_suppkey) AS r FROM supplier), p AS (SELECT a.s_suppkey AS a, b.s_suppkey AS b, a.s_name AS x, b.s_name AS y FROM s a JOIN s b ON b.r = a.r + 1)
+SELECT a, b, CASE WHEN lower(trim(x)) = lower(trim(y)) THEN true ELSE NULL END AS same FROM p
+""")
+def lexical_disambiguation(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the names of neighbours by balance decide that they are one; at similarity 0.9 they may leave it open."""
+    s = table(spark, sf, "supplier")
+    w = Window.orderBy("s_acctbal", "s_suppkey")
+    pairs = s.select(F.col("s_suppkey").alias("a"), F.col("s_name").alias("x"), F.lead("s_suppkey").over(w).alias("b"), F.lead("s_name").over(w).alias("y")).where("b is not null")
+    return pairs.select("a", "b", T.same_concept(F.col("x"), F.col("y"), F.lit(0.9)).alias("same"))
