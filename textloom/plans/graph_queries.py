@@ -1 +1,200 @@
-"""Queries."""
+"""Queries on graphs and ledgers: an order is a book, a part a concept, a lineitem a mention, a supplier a section; events are a ledger."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from textloom.operators import graph as G
+from textloom.operators import ledger as L
+from textloom.operators import search
+from textloom.plans.catalog import query
+from textloom.sources.tables import table
+
+
+def _nodes(spark: SparkSession, sf: str) -> DataFrame:
+    n = lambda t, key, kind, w: table(spark, sf, t).select(F.concat(F.lit(f"{kind.lower()}:"), F.col(key)).alias("id"), F.lit(kind).alias("type"), F.expr(w).cast("double").alias("weight"))
+    return n("orders", "o_orderkey", "Book", "1").union(n("part", "p_partkey", "Concept", "p_size")).union(n("supplier", "s_suppkey", "Section", "1"))
+
+
+def _edges(spark: SparkSession, sf: str) -> DataFrame:
+    l = table(spark, sf, "lineitem")  # noqa: E741
+    e = lambda a, b, r: l.select(a.alias("src"), b.alias("dst"), F.lit(r).alias("relation"), F.col("l_linenumber").alias("seq"))
+    book, concept, section = (F.concat(F.lit(f"{k}:"), F.col(c)) for k, c in (("book", "l_orderkey"), ("concept", "l_partkey"), ("section", "l_suppkey")))
+    return e(book, concept, "EXPLORES_IDEA").union(e(section, concept, "DISCUSSES")).union(e(book, section, "HAS_SECTION"))
+
+
+_GRAPH = """
+nodes AS (SELECT 'book:' || o_orderkey AS id, 'Book' AS type, 1.0::DOUBLE AS weight FROM orders UNION ALL SELECT 'concept:' || p_partkey, 'Concept', p_size FROM part UNION ALL SELECT 'section:' || s_suppkey, 'Section', 1 FROM supplier),
+raw AS (SELECT 'book:' || l_orderkey AS src, 'concept:' || l_partkey AS dst, 'EXPLORES_IDEA' AS relation, l_linenumber AS seq FROM lineitem UNION ALL SELECT 'section:' || l_suppkey, 'concept:' || l_partkey, 'DISCUSSES', l_linenumber FROM lineitem UNION ALL SELECT 'book:' || l_orderkey, 'section:' || l_suppkey, 'HAS_SECTION', l_linenumber FROM lineitem),
+edges AS (SELECT DISTINCT src, dst, relation FROM raw)
+"""
+
+
+@query(f"WITH {_GRAPH} SELECT 'node' AS kind, type AS name, count(*) AS n, round(avg(weight), 1) AS mean_weight FROM nodes GROUP BY type UNION ALL SELECT 'edge', relation, count(*), NULL FROM edges GROUP BY relation")
+def graph_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return G.stats(_nodes(spark, sf), G.latest_edges(_edges(spark, sf), "seq"))
+
+
+@query("SELECT l_orderkey AS book, l_partkey AS concept, count(*) AS occurrences FROM lineitem GROUP BY 1, 2")
+def book_idea_links(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("book"), F.col("l_partkey").alias("concept")).agg(F.count("*").alias("occurrences"))
+
+
+@query("SELECT l_partkey, strftime(min(l_shipdate), '%Y-%m') AS first_month, greatest(1, count(DISTINCT l_orderkey)) AS occurrences FROM lineitem GROUP BY 1")
+def first_occurrence(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.date_format(F.min("l_shipdate"), "yyyy-MM").alias("first_month"), F.greatest(F.lit(1), F.countDistinct("l_orderkey")).alias("occurrences"))
+
+
+@query("""
+WITH a AS (SELECT c_custkey, c_name, c_acctbal AS bal, c_mktsegment AS seg FROM customer WHERE c_custkey % 3 <> 0), b AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN upper(c_name) END AS c_name, c_acctbal + 1 AS bal FROM customer WHERE c_custkey % 5 <> 0)
+SELECT coalesce(b.c_custkey, a.c_custkey) AS c_custkey, coalesce(b.c_name, a.c_name) AS c_name, coalesce(b.bal, a.bal) AS bal, seg FROM a FULL JOIN b ON a.c_custkey = b.c_custkey
+""")
+def merge_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """Two overlapping stores merged attribute by attribute."""
+    c = table(spark, sf, "customer")
+    a = c.where("c_custkey % 3 <> 0").select("c_custkey", "c_name", F.col("c_acctbal").alias("bal"), F.col("c_mktsegment").alias("seg"))
+    b = c.where("c_custkey % 5 <> 0").select("c_custkey", F.expr("CASE WHEN c_custkey % 2 = 0 THEN upper(c_name) END").alias("c_name"), (F.col("c_acctbal") + 1).alias("bal"))
+    return G.merge(a, b, ["c_custkey"])
+
+
+@query("""
+WITH a AS (SELECT DISTINCT l_partkey AS p FROM lineitem WHERE l_returnflag = 'R'), b AS (SELECT DISTINCT l_partkey AS p FROM lineitem WHERE l_quantity > 49), n AS (SELECT count(a.p) AS x, count(b.p) AS y, count(*) FILTER (a.p IS NOT NULL AND b.p IS NOT NULL) AS c FROM a FULL JOIN b ON a.p = b.p)
+SELECT x AS size_a, y AS size_b, c AS common, x - c AS only_a, y - c AS only_b, round(c / (x + y - c), 6) AS jaccard, round(c / x, 6) AS overlap_a, round(c / y, 6) AS overlap_b FROM n
+""")
+def graph_compare_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    l = table(spark, sf, "lineitem")  # noqa: E741
+    one = G.compare(l.where("l_returnflag = 'R'").select(F.col("l_partkey").alias("name")), l.where("l_quantity > 49").select(F.col("l_partkey").alias("name")))
+    return one.select("size_a", "size_b", "common", "only_a", "only_b", *(F.round(c, 6).alias(c) for c in ("jaccard", "overlap_a", "overlap_b")))
+
+
+@query(f"""
+WITH {_GRAPH}, g AS (SELECT DISTINCT 'pair:' || l_partkey || ':' || l_suppkey AS concept, 'book:' || l_orderkey AS book FROM lineitem), dead AS (SELECT 'book:' || o_orderkey AS id FROM orders WHERE o_orderstatus = 'F'),
+touched AS (SELECT DISTINCT concept FROM g WHERE book IN (SELECT id FROM dead)), held AS (SELECT DISTINCT concept FROM g WHERE book NOT IN (SELECT id FROM dead))
+SELECT 'Book' AS type, count(*) AS removed FROM dead UNION ALL SELECT 'Concept', count(*) FROM touched WHERE concept NOT IN (SELECT concept FROM held)
+""")
+def cascade_delete(spark: SparkSession, sf: str) -> DataFrame:
+    """All finished orders removed with the (part, supplier) pairs that only they mention."""
+    l = table(spark, sf, "lineitem")  # noqa: E741
+    pair = F.concat(F.lit("pair:"), F.col("l_partkey"), F.lit(":"), F.col("l_suppkey"))
+    edges = l.select(F.concat(F.lit("book:"), F.col("l_orderkey")).alias("src"), pair.alias("dst"), F.lit("EXPLORES_IDEA").alias("relation")).distinct()
+    books = table(spark, sf, "orders").select(F.concat(F.lit("book:"), F.col("o_orderkey")).alias("id"), "o_orderstatus")
+    nodes = books.select("id", F.lit("Book").alias("type")).union(edges.select("dst", F.lit("Concept")).distinct())
+    return G.remove_books(nodes, edges, books.where("o_orderstatus = 'F'")).counts()
+
+
+@query(f"""
+WITH {_GRAPH}, m AS (SELECT id AS alias, 'concept:' || (p_partkey - p_partkey % 4 + 1) AS canonical FROM (SELECT p_partkey, 'concept:' || p_partkey AS id FROM part) WHERE p_partkey % 4 <> 1),
+r AS (SELECT coalesce(a.canonical, src) AS src, coalesce(b.canonical, dst) AS dst, relation FROM edges LEFT JOIN m a ON src = a.alias LEFT JOIN m b ON dst = b.alias) SELECT relation, count(*) AS edges, count(DISTINCT dst) AS targets FROM (SELECT DISTINCT * FROM r WHERE src <> dst) GROUP BY relation
+""")
+def alias_redirect(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges after four parts at a time are merged into one."""
+    aliases = table(spark, sf, "part").where("p_partkey % 4 <> 1").select(F.concat(F.lit("concept:"), F.col("p_partkey")).alias("alias"), F.concat(F.lit("concept:"), F.col("p_partkey") - F.col("p_partkey") % 4 + 1).alias("canonical"))
+    return G.redirect(_edges(spark, sf), aliases).groupBy("relation").agg(F.count("*").alias("edges"), F.countDistinct("dst").alias("targets"))
+
+
+_BOTH = "b AS (SELECT src AS x, dst AS y FROM edges UNION SELECT dst, src FROM edges)"
+
+
+@query(f"WITH {_GRAPH}, {_BOTH} SELECT x AS seed, y AS id, 1 AS hop FROM b WHERE x IN (SELECT 'section:' || s_suppkey FROM supplier WHERE s_suppkey % 100 = 0)")
+def one_hop(spark: SparkSession, sf: str) -> DataFrame:
+    """Neighbours of the query nodes: every supplier whose key is divisible by 100."""
+    seeds = table(spark, sf, "supplier").where("s_suppkey % 100 = 0").select(F.concat(F.lit("section:"), F.col("s_suppkey")).alias("id"))
+    return G.neighbours(_edges(spark, sf), seeds, 1)
+
+
+@query(f"WITH {_GRAPH}, {_BOTH}, s AS (SELECT 'book:' || o_orderkey AS id FROM orders WHERE o_orderkey % 100 = 0), h1 AS (SELECT DISTINCT id AS seed, y AS id, 1 AS hop FROM s JOIN b ON x = id), h2 AS (SELECT DISTINCT seed, y AS id, 2 AS hop FROM h1 JOIN b ON x = id), r AS (SELECT seed, id, min(hop) AS hop FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT id, id, 0 FROM s) GROUP BY 1, 2) SELECT seed, hop, count(*) AS reached FROM r WHERE hop > 0 GROUP BY 1, 2")
+def two_hop(spark: SparkSession, sf: str) -> DataFrame:
+    """How many nodes lie one and two steps from each query node: every order whose key is divisible by 100."""
+    seeds = table(spark, sf, "orders").where("o_orderkey % 100 = 0").select(F.concat(F.lit("book:"), F.col("o_orderkey")).alias("id"))
+    return G.neighbours(_edges(spark, sf), seeds, 2).groupBy("seed", "hop").agg(F.count("*").alias("reached"))
+
+
+@query("SELECT doc_id AS id, left(text, 60) AS title FROM documents a WHERE lang <> 'en' AND NOT EXISTS (SELECT 1 FROM documents b WHERE b.lang = 'en' AND length(regexp_replace(lower(left(b.text, 60)), '[^\\p{L}\\p{M}\\p{Nd}\\p{Pc}]+', '', 'g')) >= 4 AND regexp_replace(lower(left(b.text, 60)), '[^\\p{L}\\p{M}\\p{Nd}\\p{Pc}]+', '', 'g') = regexp_replace(lower(left(a.text, 60)), '[^\\p{L}\\p{M}\\p{Nd}\\p{Pc}]+', '', 'g'))")
+def incremental_diff(spark: SparkSession, sf: str) -> DataFrame:
+    """Books of one store that another lacks; a book's title is its text's beginning."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.left("text", F.lit(60)).alias("title"), "lang")
+    return G.new_books(d.where("lang <> 'en'").select("id", "title"), d.where("lang = 'en'").select("id", "title"))
+
+
+@query("SELECT conv_id, sha256(string_agg(d, '' ORDER BY turn, d)) AS content_hash FROM (SELECT conv_id, turn, sha256(role || ':' || text) AS d FROM conversations) GROUP BY conv_id")
+def content_hash(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.sha2(F.concat_ws(":", "role", "text"), 256).alias("d"))
+    return G.group_hash(rows, "conv_id", "d", "turn")
+
+
+@query("WITH h AS (SELECT doc_id, md5(text) AS d FROM documents), o AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN md5(text || 'x') ELSE md5(text) END AS d FROM documents WHERE doc_id % 11 <> 0) SELECT h.doc_id FROM h LEFT JOIN o ON h.doc_id = o.doc_id AND h.d = o.d WHERE o.doc_id IS NULL")
+def hash_guard_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that an upsert has to write into an older copy."""
+    h = table(spark, sf, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("d"), "text")
+    old = h.where("doc_id % 11 <> 0").select("doc_id", F.when(F.col("doc_id") % 7 == 0, F.md5(F.concat("text", F.lit("x")).cast("binary"))).otherwise(F.col("d")).alias("d"))
+    return G.changed(h.select("doc_id", "d"), old, "doc_id", "d").select("doc_id")
+
+
+@query("SELECT p_partkey, p_brand AS canonical, n AS mentions FROM (SELECT min(l_partkey) AS p_partkey, p_brand, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand)")
+def concept_mentions(spark: SparkSession, sf: str) -> DataFrame:
+    """Mentions gathered by brand, each brand a concept."""
+    rows = table(spark, sf, "lineitem").join(table(spark, sf, "part").select("p_partkey", "p_brand", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
+    seen = rows.select(F.col("p_brand").alias("name"), F.col("p_size").alias("weight"), F.date_format("l_shipdate", "yyyy-MM").alias("month"), F.col("l_partkey").alias("chunk_id"))
+    return G.observations(seen, F.lower("name")).select(F.array_min("chunk_ids").alias("p_partkey"), "canonical", "mentions")
+
+
+@query("SELECT event_type, user_id, event_id, ts, value, events FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r, count(*) OVER (PARTITION BY user_id) AS events FROM events) WHERE r = 1")
+def ledger_latest(spark: SparkSession, sf: str) -> DataFrame:
+    return L.latest(table(spark, sf, "events").select("user_id", "event_id", "ts", "event_type", "value"), ["user_id"], ["ts", "event_id"]).select("event_type", "user_id", "event_id", "ts", "value", "events")
+
+
+@query("SELECT event_type, count(*) AS items, round(sum(value), 4) AS total_value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1 GROUP BY event_type")
+def ledger_summary(spark: SparkSession, sf: str) -> DataFrame:
+    last = L.latest(table(spark, sf, "events").select("user_id", "event_id", "ts", "event_type", "value"), ["user_id"], ["ts", "event_id"])
+    return L.summary(last, "event_type", ["value"]).withColumn("total_value", F.round("total_value", 4))
+
+
+@query("SELECT o_orderpriority, l_shipmode_total AS calls, round(q, 2) AS quantity FROM (SELECT o_orderpriority, count(*) AS l_shipmode_total, sum(l_quantity) AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1)")
+def section_totals(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_quantity").join(table(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return rows.groupBy("o_orderpriority").agg(F.count("*").alias("calls"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
+@query("SELECT l_returnflag AS server, l_linestatus AS task, count(*) AS calls, round(sum(l_quantity), 2) AS amount, min(l_linenumber) AS priority FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus) HAVING l_returnflag IS NOT NULL")
+def server_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    l = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("server"), F.col("l_linestatus").alias("task"), F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("amount"))  # noqa: E741
+    return L.server_statistics(l, "server", "task", "n", ["amount"]).select("server", "task", "calls", F.round("amount", 2).alias("amount"), "priority")
+
+
+@query("""
+WITH i AS (SELECT p_partkey AS id, p_name AS name, p_size AS weight, strftime(min(l_shipdate), '%Y-%m') AS month, count(*) AS occurrences FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1, 2, 3), s AS (SELECT *, row_number() OVER (ORDER BY month DESC NULLS LAST, weight DESC, occurrences DESC, id) AS place FROM i)
+SELECT id, name, weight, month, occurrences, place FROM s WHERE place <= 500
+""")
+def ideas_sorted_month_desc(spark: SparkSession, sf: str) -> DataFrame:
+    """The list of ideas, newest first: the 500 that the list shows."""
+    seen = table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.date_format(F.min("l_shipdate"), "yyyy-MM").alias("month"), F.count("*").alias("n"))
+    ideas = table(spark, sf, "part").join(seen, F.col("p_partkey") == F.col("l_partkey"), "left").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_size").alias("weight"), "month", F.coalesce("n", F.lit(1)).alias("occurrences"))
+    order = search.sort_order("month_desc", "id")
+    return ideas.orderBy(*order).limit(500).withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))
+
+
+@query("""
+WITH b AS (SELECT l_orderkey, l_partkey, count(*) * max(p_size) AS score FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, l_partkey) AS place FROM b)
+SELECT l_orderkey AS book, list(l_partkey ORDER BY place) AS top FROM r WHERE place <= 10 GROUP BY 1
+""")
+def indexed_books(spark: SparkSession, sf: str) -> DataFrame:
+    """Each book's ten ideas of the largest occurrences x weight."""
+    l = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey").join(table(spark, sf, "part").select("p_partkey", "p_size"), F.col("l_partkey") == F.col("p_partkey"))  # noqa: E741
+    scored = l.groupBy("l_orderkey", "l_partkey").agg((F.count("*") * F.max("p_size")).alias("score"))
+    ranked = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "l_partkey"))), 1, 10)
+    return scored.groupBy(F.col("l_orderkey").alias("book")).agg(F.transform(ranked, lambda x: x["l_partkey"]).alias("top"))
+
+
+@query("WITH a AS (SELECT 'Book' AS type, count(*) AS here, count(*) FILTER (o_orderstatus <> 'P') AS there FROM orders UNION ALL SELECT 'Concept', count(*), count(*) FROM part) SELECT type, here, there, here - there AS difference, CASE WHEN here = there THEN 'equal' WHEN here > there THEN 'missing there' ELSE 'extra there' END AS state FROM a")
+def consistency(spark: SparkSession, sf: str) -> DataFrame:
+    o, p = table(spark, sf, "orders"), table(spark, sf, "part")
+    kinds = lambda part: part.select(F.lit("Book").alias("type")).union(p.select(F.lit("Concept")))
+    return G.consistency(kinds(o), kinds(o.where("o_orderstatus <> 'P'")))
+
+
+@query("SELECT n_name, r_name, count(*) AS books, array_to_string(list_sort(list(DISTINCT c_mktsegment)), ', ') AS authors FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2")
+def catalogue_listing(spark: SparkSession, sf: str) -> DataFrame:
+    """A catalogue with its authors joined into one text."""
+    c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return c.groupBy("n_name", "r_name").agg(F.count("*").alias("books"), F.array_join(F.sort_array(F.collect_set("c_mktsegment")), ", ").alias("authors"))
