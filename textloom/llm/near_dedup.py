@@ -9,9 +9,10 @@
    pairs within five standard errors of the threshold are confirmed on the full sets.
 4. Links are gathered into components. A bucket whose members do not all lie in one component may hide more
    links: for up to `STARS` rounds another member, drawn by hash, is tried with those of other components.
-5. What is left is compared in tiles by the packed bits of `FINE` minima, and every pair of a bucket that still lies in two
-   components and passes the estimate is confirmed too, so no pair that shares a band key and could join two
-   components is left untried.
+5. What is left is compared in tiles: every pair of a bucket that still lies in two components, in the first
+   bucket that it shares, by the packed bits of `FINE` minima and, where their estimate passes, on the full
+   sets. Only links leave a tile, so no pair that shares a band key and could join two components is left
+   untried, and no list of pairs is made.
 
 A pair at the threshold of 0.8 shares no band key with probability (1 - 0.8 ** 4) ** 28 = 4e-7.
 """
@@ -128,8 +129,15 @@ def signatures(docs: DataFrame, k: int, text_col: str, id_col: str) -> DataFrame
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, kinds)
 
 
+def shared(x: np.ndarray, y: np.ndarray) -> int:
+    """How many numbers two ordered sets share."""
+    if not len(x):
+        return 0
+    return int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+
+
 def fine_signatures(docs: DataFrame, ids: DataFrame, k: int, text_col: str, id_col: str) -> DataFrame:
-    """(id, fine): packed bits of FINE minima for the rows with these ids."""
+    """(id, fine, shingles): packed bits of FINE minima and the full set, for the rows with these ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text", 1 << 20):
@@ -137,9 +145,10 @@ def fine_signatures(docs: DataFrame, ids: DataFrame, k: int, text_col: str, id_c
             some = np.flatnonzero(np.diff(at) > 0)
             if len(some):
                 packed = planes(minima(values, np.r_[at[some], at[-1]], FINE))
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(some)), pa.array([x.tobytes() for x in packed], pa.binary())], ["id", "fine"])
+                full = [values[at[i] : at[i + 1]].tobytes() for i in some.tolist()]
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(some)), pa.array([x.tobytes() for x in packed], pa.binary()), pa.array(full, pa.binary())], ["id", "fine", "shingles"])
 
-    return _texts(docs, ids, text_col, id_col).mapInArrow(run, "id long, fine binary")
+    return _texts(docs, ids, text_col, id_col).mapInArrow(run, "id long, fine binary, shingles binary")
 
 
 def _texts(docs: DataFrame, ids: DataFrame, text_col: str, id_col: str) -> DataFrame:
@@ -150,7 +159,7 @@ def _texts(docs: DataFrame, ids: DataFrame, text_col: str, id_col: str) -> DataF
 
 def confirm(docs: DataFrame, pairs: DataFrame, k: int, percent: int, text_col: str, id_col: str) -> DataFrame:
     """Of pairs (a, b) those whose full sets have 100 * intersection >= percent * union, with both sizes."""
-    ids = stash(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-ids")
+    ids = stash(pairs.select(F.col("a").alias("id")).distinct().union(pairs.select("b").distinct()).distinct(), "near-ids")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text", 2 << 20):
@@ -165,8 +174,7 @@ def confirm(docs: DataFrame, pairs: DataFrame, k: int, percent: int, text_col: s
             common, union = [], []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                place = np.searchsorted(x, y)
-                n = int((x[np.minimum(place, len(x) - 1)] == y).sum()) if len(x) else 0
+                n = shared(x, y)
                 common.append(n)
                 union.append(len(x) + len(y) - n)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), pa.array(union, pa.int64())], ["a", "b", "common", "total"])
@@ -223,12 +231,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text_col: st
     tiles = F.ceil(F.col("n") / _TILE).cast("int")
     tile = F.pmod(F.xxhash64("id"), tiles).cast("int")
     dealt = rest.select("band", "id", "component", tile.alias("t"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("u")).join(reps.select("id", "bands"), "id").join(fine, "id")
-    dealt = dealt.select("band", F.least("t", "u").alias("p"), F.greatest("t", "u").alias("q"), "t", "id", "component", "bands", "fine")
+    dealt = dealt.select("band", F.least("t", "u").alias("p"), F.greatest("t", "u").alias("q"), "t", "id", "component", "bands", "fine", "shingles")
     least = least_estimate(percent / 100, FINE)
 
     def compare(rows: pa.Table) -> pa.Table:
         ids, parts, t = (rows.column(c).to_numpy() for c in ("id", "component", "t"))
         x = np.frombuffer(b"".join(rows.column("fine").to_pylist()), np.uint64).reshape(len(ids), BITS, -1)
+        full = [np.frombuffer(v.as_buffer(), np.uint64) for v in rows.column("shingles")]
         keys = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
         p, q, band = (rows.column(c)[0].as_py() for c in ("p", "q", "band"))
         right = np.flatnonzero(t == q)
@@ -238,14 +247,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text_col: st
             same = FINE - np.bitwise_count(np.bitwise_or.reduce(x[other] ^ x[i], axis=1)).sum(1, dtype=np.int64)
             hit = other[(same / FINE - 0.5**BITS) / (1 - 0.5**BITS) >= least]
             hit = hit[keys[i][(keys[hit] == keys[i]).argmax(1)] == band]  # in the first bucket that both share
-            a += np.minimum(ids[hit], ids[i]).tolist()
-            b += np.maximum(ids[hit], ids[i]).tolist()
+            for j in hit.tolist():
+                n = shared(full[i], full[j])
+                if 100 * n >= percent * (len(full[i]) + len(full[j]) - n):
+                    a.append(min(int(ids[i]), int(ids[j])))
+                    b.append(max(int(ids[i]), int(ids[j])))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    more = stash(dealt.groupBy("band", "p", "q").applyInArrow(compare, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"), "near-more")
+    more = stash(dealt.groupBy("band", "p", "q").applyInArrow(compare, "a long, b long"), "near-links")
     if not more.isEmpty():
-        links = links.unionByName(stash(confirm(docs, more, k, percent, text_col, id_col), "near-links"))
-        found = components(links)
+        found = components(links.select("a", "b").unionByName(more))
     out = named.join(found, named["rep"] == found["node"], "left").select("id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
