@@ -199,7 +199,7 @@ def shards(sizes: DataFrame, book: str, size: str, limit: float) -> DataFrame:
         return pd.DataFrame({book: rows[book].to_numpy(), "shard": out})
 
     kind = sizes.schema[book].dataType.simpleString()
-    return sizes.select(book, F.col(size).cast("double").alias(size)).groupBy(F.lit(1)).applyInPandas(run, f"{book} {kind}, shard long")
+    return sizes.select(book, F.col(size).cast("double").alias(size), F.lit(0).alias("_all")).groupBy("_all").applyInPandas(run, f"{book} {kind}, shard long")
 
 
 def spine(nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...] = ("Book", "Section", "Concept")) -> tuple[DataFrame, DataFrame]:

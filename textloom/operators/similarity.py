@@ -27,8 +27,8 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.divide(out, n, out=np.zeros_like(out), where=n > 1e-12)
 
 
-def nearest(rows: DataFrame, targets: DataFrame, k: int, row_vec: str = "embedding", target_id: str = "idea_id", target_vec: str = "embedding", out: str = "hits") -> DataFrame:
-    """rows with an array of their k best targets (id, sim), best first, ties by id.
+def nearest(rows: DataFrame, targets: DataFrame, k: int, row_vec: str = "embedding", target_id: str = "idea_id", target_vec: str = "embedding", out: str = "hits", least: float | None = None) -> DataFrame:
+    """rows with an array of their k best targets (id, sim), best first, ties by id; with `least` only those of that similarity or more.
 
     Vectors that are null, zero or of another length than the targets' most common one are similar to nothing
     (similarity 0). Without targets the array is empty.
@@ -49,13 +49,13 @@ def nearest(rows: DataFrame, targets: DataFrame, k: int, row_vec: str = "embeddi
         matrix = np.array(part["v"].tolist(), np.float64).reshape(-1, dim)
         n = np.sqrt((matrix * matrix).sum(1, keepdims=True))
         shared = spark.sparkContext.broadcast((ids, np.divide(matrix, n, out=np.zeros_like(matrix), where=n > 1e-12)))
-        rows = _multiply(rows, shared, k, dim, row_vec, kind, f"{name}{b}")
+        rows = _multiply(rows, shared, k, dim, row_vec, kind, f"{name}{b}", least)
     together = F.concat(*(F.col(f"{name}{b}") for b in range(blocks)))
     best = F.slice(F.array_sort(together, lambda x, y: F.when(x["sim"] > y["sim"], -1).when(x["sim"] < y["sim"], 1).when(x["id"] < y["id"], -1).when(x["id"] > y["id"], 1).otherwise(0)), 1, k) if blocks > 1 else together
     return rows.withColumn(out, best).drop(*(f"{name}{b}" for b in range(blocks)))
 
 
-def _multiply(rows: DataFrame, shared, k: int, dim: int, row_vec: str, kind: str, name: str) -> DataFrame:
+def _multiply(rows: DataFrame, shared, k: int, dim: int, row_vec: str, kind: str, name: str, least: float | None) -> DataFrame:
     from pyspark.sql import types as T
 
     names, at = rows.columns, rows.columns.index(row_vec)
@@ -75,7 +75,7 @@ def _multiply(rows: DataFrame, shared, k: int, dim: int, row_vec: str, kind: str
                     top = np.stack([c[np.lexsort((c, -s[c]))][:m] for s, c in ((s, np.flatnonzero(s >= e)) for s, e in zip(sims, edge, strict=True))])
                 else:
                     top = np.argsort(-sims, 1, kind="stable")
-                found = [[{"id": ids[j], "sim": float(s[j])} for j in row] for row, s in zip(top.tolist(), sims, strict=True)]
+                found = [[{"id": ids[j], "sim": float(s[j])} for j in row if least is None or s[j] >= least] for row, s in zip(top.tolist(), sims, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.struct([("id", pa.array(ids[:1]).type), ("sim", pa.float64())])))], [*names, name])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, fields)]))

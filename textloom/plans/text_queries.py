@@ -164,12 +164,12 @@ def milestone_crossings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(r"""
-WITH p AS (SELECT p_partkey, lower(p_name) AS n, lower(p_type) AS s, lower(p_brand) AS c, p_size AS weight FROM part), m AS (SELECT *, CASE WHEN n = 'steel' THEN 100.0 WHEN starts_with(n, 'steel') THEN 85 WHEN contains(n, 'steel') THEN 75 WHEN contains(c, 'steel') THEN 60 WHEN contains(s, 'steel') THEN 50 END AS score FROM p)
+WITH p AS (SELECT p_partkey, lower(p_name) AS n, lower(p_type) AS s, lower(p_brand) AS c, p_size AS weight FROM part), m AS (SELECT *, CASE WHEN n = 'small' THEN 100.0 WHEN starts_with(n, 'small') THEN 85 WHEN contains(n, 'small') THEN 75 WHEN contains(c, 'small') THEN 60 WHEN contains(s, 'small') THEN 50 END AS score FROM p)
 SELECT p_partkey, score::DOUBLE AS match_score, weight FROM m WHERE score IS NOT NULL
 """)
 def exact_search(spark: SparkSession, sf: str) -> DataFrame:
-    """Every part that the word `steel` finds, scored by where it stands."""
-    scored = table(spark, sf, "part").withColumn("m", T.exact_score("steel", F.col("p_name"), F.col("p_brand"), F.col("p_type"), F.lit("")))
+    """Every part that the word `small` finds, scored by where it stands."""
+    scored = table(spark, sf, "part").withColumn("m", T.exact_score("small", F.col("p_name"), F.col("p_brand"), F.col("p_type"), F.lit("")))
     return scored.where("m.match_score is not null").select("p_partkey", "m.match_score", F.col("p_size").alias("weight"))
 
 
@@ -186,14 +186,14 @@ def token_overlap(spark: SparkSession, sf: str) -> DataFrame:
 @query(r"""
 WITH f AS (SELECT p_partkey AS id, unnest(list_concat(list_filter(regexp_extract_all(lower(p_name), '\w+'), lambda x: length(x) >= 2), list_transform(range(1, greatest(length(p_name) - 1, 1)), lambda i: substring(lower(p_name), i, 3)))) AS f FROM part), n AS (SELECT count(*) AS n FROM part),
 tf AS (SELECT id, f, count(*) AS c FROM f GROUP BY 1, 2), df AS (SELECT f, count(*) AS df FROM tf GROUP BY 1), w AS (SELECT id, f, (1 + ln(c)) * (ln((n + 1) / (df + 1)) + 1) AS w FROM tf JOIN df USING (f), n), nrm AS (SELECT id, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1),
-qf AS (SELECT unnest(list_concat(['steel', 'ring'], list_transform(range(1, 9), lambda i: substring('steel ring', i, 3)))) AS f), qt AS (SELECT f, count(*) AS c FROM qf GROUP BY 1), qw AS (SELECT f, (1 + ln(c)) * coalesce(ln((n + 1) / (df + 1)) + 1, 1) AS w FROM qt LEFT JOIN df USING (f), n)
+qf AS (SELECT unnest(list_concat(['small', 'ring'], list_transform(range(1, 9), lambda i: substring('small ring', i, 3)))) AS f), qt AS (SELECT f, count(*) AS c FROM qf GROUP BY 1), qw AS (SELECT f, (1 + ln(c)) * coalesce(ln((n + 1) / (df + 1)) + 1, 1) AS w FROM qt LEFT JOIN df USING (f), n)
 SELECT id AS p_partkey, round(sum(w.w * qw.w) / any_value(norm) / (SELECT sqrt(sum(w * w)) FROM qw), 6) AS score FROM w JOIN qw USING (f) JOIN nrm USING (id) GROUP BY id
 """)
 def tfidf_search(spark: SparkSession, sf: str) -> DataFrame:
-    """Similarity of all part names to `steel ring` by words and letter triples."""
+    """Similarity of all part names to `small ring` by words and letter triples."""
     from textloom.operators.search import tfidf_scores
 
-    return tfidf_scores(table(spark, sf, "part").select("p_partkey", "p_name"), "p_partkey", "p_name", "steel ring").select("p_partkey", F.round("score", 6).alias("score"))
+    return tfidf_scores(table(spark, sf, "part").select("p_partkey", "p_name"), "p_partkey", "p_name", "small ring").select("p_partkey", F.round("score", 6).alias("score"))
 
 
 @query(r"""
@@ -206,3 +206,110 @@ def lexical_disambiguation(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.orderBy("s_acctbal", "s_suppkey")
     pairs = s.select(F.col("s_suppkey").alias("a"), F.col("s_name").alias("x"), F.lead("s_suppkey").over(w).alias("b"), F.lead("s_name").over(w).alias("y")).where("b is not null")
     return pairs.select("a", "b", T.same_concept(F.col("x"), F.col("y"), F.lit(0.9)).alias("same"))
+
+
+@query()
+def document_sections(spark: SparkSession, sf: str) -> DataFrame:
+    """Sections of all documents."""
+    from textloom.operators import chunking as C
+
+    make = lambda t: [(i, title, len(body)) for i, (title, body) in enumerate(C.sections(t), 1)]
+    return C.explode_texts(table(spark, sf, "documents"), "text", "chapter_idx int, title string, chars int", make, ["doc_id"])
+
+
+@query()
+def document_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of all sections with ids, by blocks and sentences."""
+    from textloom.operators import chunking as C
+
+    def make(t: str) -> list[tuple]:
+        return [(c["chapter_idx"], c["chunk_idx"], c["section_title"], c["char_count"], c["word_count"], c["chunk_id"].rsplit("_", 1)[1]) for i, (title, body) in enumerate(C.sections(t), 1) for c in C.chunk_section(0, i, title, body)]
+
+    return C.explode_texts(table(spark, sf, "documents"), "text", "chapter_idx int, chunk_idx int, section_title string, char_count int, word_count int, digest string", make, ["doc_id"])
+
+
+@query()
+def rolling_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks where the talk turns, by hashed vectors in place of an embedder."""
+    from textloom.operators import chunking as C
+
+    make = lambda t: [(c["chunk_idx"], c["token_count"], c["start_sentence"], c["end_sentence"], c["split_reason"]) for c in C.rolling_chunks(t, C.hashed_vector)]
+    return C.explode_texts(table(spark, sf, "conversations"), "text", "chunk_idx int, token_count int, start_sentence int, end_sentence int, split_reason string", make, ["conv_id", "turn"])
+
+
+@query()
+def extraction_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns of conversations in batches of at most 5,120 bytes (150 of them overhead for each) and 3 items."""
+    from textloom.operators import chunking as C
+
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.octet_length("text").alias("bytes"))
+    return C.pack(rows, "conv_id", ["turn", "bytes"], F.col("bytes") + 150, 5120, 3)
+
+
+@query()
+def semantic_cover(spark: SparkSession, sf: str) -> DataFrame:
+    """Cover decisions over all lines of all documents; the vector of a line is that of its number's place among the vectors."""
+    from textloom.operators.ordered import semantic_cover as cover
+
+    lines = _chunks(spark, sf).withColumns({"chapter_idx": F.lit(1), "section_title": F.lit("body")})
+    vecs = table(spark, sf, "embeddings")
+    n = vecs.count()
+    rows = cascade.classify(lines, section="section_title").withColumn("vec_id", F.pmod(F.xxhash64(F.lower("text")), F.lit(n)))
+    joined = rows.join(vecs.select("vec_id", "embedding"), "vec_id", "left").drop("vec_id")
+    out = cover(joined, "doc_id", ["chunk_idx"])
+    return out.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.count_if("selected").alias("selected"), F.count_if(F.col("status") == "skipped_redundant").alias("redundant"), F.count_if(F.col("status") == "skipped_reference").alias("skipped"))
+
+
+@query()
+def greedy_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Leader clusters of all vectors."""
+    from textloom.operators.ordered import leader_clusters
+
+    return leader_clusters(table(spark, sf, "embeddings"), "vec_id", 0.35)
+
+
+@query()
+def adaptive_replay(spark: SparkSession, sf: str) -> DataFrame:
+    """Routing with a growing index for a grid of thresholds; each vector yields itself as an idea."""
+    from textloom.operators.ordered import adaptive_replay as replay
+
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding", F.lit(100.0).alias("weight"), F.array("embedding").alias("ideas"))
+    pairs = spark.createDataFrame([(0.25, 0.35), (0.3, 0.4), (0.35, 0.45), (0.4, 0.5)], "low double, high double")
+    return replay(rows, pairs, ["vec_id"])
+
+
+@query()
+def formula_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Formula features of all documents, by the sum and the place of the largest."""
+    from textloom.functions.formulas import formula_vector
+
+    v = table(spark, sf, "documents").select("doc_id", formula_vector(F.col("text")).alias("v"))
+    return v.select("doc_id", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 3).alias("total"), (F.array_position("v", F.array_max("v")) - 1).alias("largest"))
+
+
+@query()
+def html_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Title and text of all pages by a parser."""
+    from textloom.operators.chunking import explode_texts
+    from textloom.sources.books import html_page
+
+    return explode_texts(table(spark, sf, "pages"), "html", "title string, chars int", lambda h: [(t, len(x)) for t, x in [html_page(h)]], ["page_id"])
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def events_tumbling(spark: SparkSession, sf: str) -> DataFrame:
+    """Extension: hourly counts."""
+    from textloom.streaming.ledger import tumbling
+
+    return tumbling(table(spark, sf, "events"), "ts", "1 hour", "event_type")
+
+
+@query("""
+WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w > INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, k
+""")
+def events_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """Extension: sessions of each user that end after half an hour."""
+    from textloom.streaming.ledger import sessions
+
+    return sessions(table(spark, sf, "events"), "ts", "30 minutes", "user_id")
