@@ -7,6 +7,7 @@ still run, so images without restarts work too, only with one lane for each scan
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -60,7 +61,7 @@ class _Bits:
         """Entropy-coded bytes of all images, with stuffing and restart markers, and where each begins. image: each interval's image."""
         interval, order, value, bits = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         if len(self.parts) > 1:
-            at = np.lexsort((order, interval))
+            at = np.argsort(order, kind="stable")  # a few ordered runs; intervals rise with the order
             interval, value, bits = interval[at], value[at], bits[at]
         total = np.bincount(interval, weights=bits, minlength=intervals).astype(np.int64)
         size = -(-total // 8)
@@ -98,9 +99,12 @@ class _Bits:
         return stuffed.tobytes(), np.r_[0, (ends + marks)[final]]
 
 
+_BITS = np.array([n.bit_length() for n in range(4096)])
+
+
 def _size(x: np.ndarray) -> np.ndarray:
-    """Bits of |x|."""
-    return np.frexp(np.abs(x).astype(np.float64))[1].astype(np.int64)
+    """Bits of |x|, which is under 4,096."""
+    return _BITS[np.abs(x)]
 
 
 def _extra(x: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -273,13 +277,13 @@ def _lookup(body: bytes) -> tuple[np.ndarray, bytes]:
     return out, body[16 + n :]
 
 
-def parse(data: bytes, markers: np.ndarray | None = None) -> Image:
+def parse(data: bytes, markers: list[int] | None = None) -> Image:
     """Read all but the entropy-coded data. markers: places of FF and a byte that is neither 0 nor a restart's, if known."""
     out, quant, tables, restart, at = Image(), {}, {}, 0, 2
     if data[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG")
     if markers is None:
-        markers = find_markers(np.frombuffer(data, np.uint8))
+        markers = find_markers(np.frombuffer(data, np.uint8)).tolist()
     while at < len(data) - 1:
         if data[at] != 0xFF:
             raise ValueError("marker expected")
@@ -312,15 +316,17 @@ def parse(data: bytes, markers: np.ndarray | None = None) -> Image:
             out.comps = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(body[5])]
             for i in range(len(out.comps)):
                 out.base.append(out.blocks)
-                out.blocks += int(np.prod(out.grid(i)))
+                rows, columns = out.grid(i)
+                out.blocks += rows * columns
         elif kind == 0xDA:
             names = [c[0] for c in out.comps]
             comps = tuple(names.index(body[1 + 2 * i]) for i in range(body[0]))
             ss, se, a = body[1 + 2 * body[0] : 4 + 2 * body[0]]
             own = tuple(tables.get(body[2 + 2 * i] >> 4 if ss == 0 else 0x10 | body[2 + 2 * i] & 15, b"") for i in range(body[0]))
-            end = markers[np.searchsorted(markers, at)] if len(markers) and markers[-1] >= at else len(data)
-            out.scans.append((comps, ss, se, a >> 4, a & 15, own, restart, at, int(end)))
-            at = int(end)
+            place = bisect_left(markers, at)
+            end = markers[place] if place < len(markers) else len(data)
+            out.scans.append((comps, ss, se, a >> 4, a & 15, own, restart, at, end))
+            at = end
     out.comps = [(*c[:3], quant[c[3]]) for c in out.comps]
     return out
 
@@ -376,7 +382,7 @@ def read_coefficients(files: list[bytes]) -> tuple[list[Image], np.ndarray, np.n
     off = np.cumsum([0, *map(len, files)])
     marks = find_markers(buf) if len(buf) else np.zeros(0, np.int64)
     cut = np.searchsorted(marks, off)
-    images = [parse(f, marks[cut[i] : cut[i + 1]] - off[i]) for i, f in enumerate(files)]
+    images = [parse(f, (marks[cut[i] : cut[i + 1]] - off[i]).tolist()) for i, f in enumerate(files)]
     first = np.cumsum([0, *(im.blocks for im in images)])
     coef = np.zeros((int(first[-1]), 64), np.int16)
     turn = [0] * len(images)
