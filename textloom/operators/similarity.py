@@ -57,9 +57,12 @@ def nearest(rows: DataFrame, targets: DataFrame, k: int, row_vec: str = "embeddi
 
 def _multiply(rows: DataFrame, shared, k: int, dim: int, row_vec: str, kind: str, name: str, least: float | None) -> DataFrame:
     from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_type
 
     names, at = rows.columns, rows.columns.index(row_vec)
-    fields = T.ArrayType(T.StructType([T.StructField("id", T._parse_datatype_string(kind)), T.StructField("sim", T.DoubleType())]))
+    fields = T.ArrayType(T.StructType([T.StructField("id", id_type := T._parse_datatype_string(kind)), T.StructField("sim", T.DoubleType())]))
+
+    id_kind = to_arrow_type(id_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = shared.value
@@ -76,7 +79,7 @@ def _multiply(rows: DataFrame, shared, k: int, dim: int, row_vec: str, kind: str
                 else:
                     top = np.argsort(-sims, 1, kind="stable")
                 found = [[{"id": ids[j], "sim": float(s[j])} for j in row if least is None or s[j] >= least] for row, s in zip(top.tolist(), sims, strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.struct([("id", pa.array(ids[:1]).type), ("sim", pa.float64())])))], [*names, name])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.struct([("id", id_kind), ("sim", pa.float64())])))], [*names, name])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, fields)]))
 

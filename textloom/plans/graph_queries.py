@@ -198,3 +198,66 @@ def catalogue_listing(spark: SparkSession, sf: str) -> DataFrame:
     """A catalogue with its authors joined into one text."""
     c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return c.groupBy("n_name", "r_name").agg(F.count("*").alias("books"), F.array_join(F.sort_array(F.collect_set("c_mktsegment")), ", ").alias("authors"))
+
+
+@query("""
+WITH c AS (SELECT conv_id, sum(length(text)) OVER w - length(text) AS s, sum(length(text)) OVER w AS e FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, text ROWS UNBOUNDED PRECEDING)), b AS (SELECT DISTINCT conv_id, s + 100 AS s, s + 700 AS e FROM c)
+SELECT c.conv_id, c.s::BIGINT AS l_start, c.e::BIGINT AS l_end, b.s::BIGINT AS r_start, b.e::BIGINT AS r_end, (b.s + b.e) / 2.0 BETWEEN c.s AND c.e AS contained FROM c JOIN b ON c.conv_id = b.conv_id AND c.s < b.e AND c.e > b.s
+""")
+def interval_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns as intervals of a conversation's text against windows that begin 100 characters after each turn."""
+    from textloom.operators.audit import overlaps
+
+    w = Window.partitionBy("conv_id").orderBy("turn", "text").rowsBetween(Window.unboundedPreceding, 0)
+    c = table(spark, sf, "conversations").select("conv_id", F.length("text").cast("long").alias("n"), F.sum(F.length("text")).over(w).alias("end")).select("conv_id", (F.col("end") - F.col("n")).alias("start"), "end")
+    windows = c.select("conv_id", (F.col("start") + 100).alias("start"), (F.col("start") + 700).alias("end")).distinct()
+    return overlaps(c, windows, "conv_id", 1024)
+
+
+@query("""
+WITH n AS (SELECT doc_id, n_chars, trim(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g')) AS t FROM documents), o AS (SELECT t, arg_min(doc_id, (n_chars, doc_id)) AS doc_id, min(n_chars) AS n_chars FROM n GROUP BY t), r AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars, doc_id) AS place FROM o)
+SELECT doc_id, n_chars, place FROM r WHERE place <= 500
+""")
+def worst_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """The 500 shortest documents, each text once: a top-k report."""
+    from textloom.operators.audit import worst
+
+    return worst(table(spark, sf, "documents").select("doc_id", "n_chars", "text"), "n_chars", "text", "doc_id").select("doc_id", "n_chars", F.col("place").cast("long").alias("place"))
+
+
+@query("SELECT doc_id, coalesce(d.n_chars, 0) AS n_chars, coalesce(l.quality, -1) AS quality FROM documents d LEFT JOIN labels l USING (doc_id)")
+def backfill(spark: SparkSession, sf: str) -> DataFrame:
+    """Missing labels filled by a default."""
+    d, l = table(spark, sf, "documents"), table(spark, sf, "labels")  # noqa: E741
+    return d.join(l.select("doc_id", "quality"), "doc_id", "left").select("doc_id", F.coalesce("n_chars", F.lit(0)).alias("n_chars"), F.coalesce("quality", F.lit(-1)).alias("quality"))
+
+
+@query("SELECT user_id, first(event_type ORDER BY ts, event_id) AS first_type, count(DISTINCT event_type) AS kinds FROM events GROUP BY user_id")
+def ledger_transitions(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").groupBy("user_id").agg(F.min_by("event_type", F.struct("ts", "event_id")).alias("first_type"), F.countDistinct("event_type").alias("kinds"))
+
+
+@query()
+def shard_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole books packed into shards of at most 1,000,000 characters."""
+    return G.shards(table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id", "n_chars", 1_000_000)
+
+
+@query()
+def consolidation_payload(spark: SparkSession, sf: str) -> DataFrame:
+    from textloom.operators.audit import payload
+
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("description"), F.col("text").alias("quote"))
+    return payload(rows, "conv_id", ["turn", "quote"])
+
+
+@query()
+def greedy_matching(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors of even number matched to those of odd number in each label, in order."""
+    from textloom.operators.audit import greedy_match
+    from textloom.operators.similarity import nearest
+
+    e = table(spark, sf, "embeddings")
+    ideas = e.where("vec_id % 2 = 1").select(F.col("vec_id").alias("idea_id"), "embedding")
+    hits = nearest(e.where("vec_id % 2 = 0"), ideas, 20).select("label", "vec_id", F.explode("hits").alias("h")).select("label", "vec_id", F.col("h.id").alias("idea_id"), F.col("h.sim").alias("sim"))
+    return greedy_match(hits, "label", "vec_id", "idea_id", "sim", 0.2).select("label", "vec_id", "idea_id", F.round("sim", 6).alias("sim"))
