@@ -1,10 +1,10 @@
 import random
 
 import numpy as np
-import pyarrow as pa
+import pytest
 
+from textloom.llm import components as cc
 from textloom.llm import near_dedup as nd
-from textloom.llm.components import components
 
 
 def shingle_set(text, k):
@@ -81,9 +81,12 @@ def test_estimate_is_close():
     assert (nd.band_keys(least)[0] == nd.band_keys(least)[1]).any()
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [1 << 20, 0])
+def test_components(spark, few, monkeypatch):
+    monkeypatch.setattr(cc, "FEW_EDGES", few)
     r = random.Random(1)
+    assert cc.components(spark.createDataFrame([], "a long, b long")).count() == 0
     edges = [(i, i + 1) for i in range(0, 40)] + [(100 + r.randrange(30), 100 + r.randrange(30)) for _ in range(20)] + [(7, 7)]
-    got = {x.node: x.component for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {x.node: x.component for x in cc.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(41))
     assert all(got[a] == got[b] for a, b in edges if a != b)
