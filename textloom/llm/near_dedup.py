@@ -33,7 +33,7 @@ from textloom.sources.tables import table
 from textloom.storage import stash
 
 MINIMA, BANDS, ROWS, BITS = 128, 28, 4, 2
-_TILE = 256
+_TILE = 1024
 #: Rounds in which buckets of several components try one member more.
 STARS = 4
 #: Ids of candidates are broadcast to the scan of the texts up to this many, and shuffled beyond.
@@ -137,18 +137,19 @@ def shared(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def fine_signatures(docs: DataFrame, ids: DataFrame, k: int, text_col: str, id_col: str) -> DataFrame:
-    """(id, fine, shingles): packed bits of FINE minima and the full set, for the rows with these ids."""
+    """(id, fine, shingles, bands): packed bits of FINE minima, the full set and the band keys, for the rows with these ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text", 1 << 20):
             values, at = row_sets(batch.column("text"), k)
             some = np.flatnonzero(np.diff(at) > 0)
             if len(some):
-                packed = planes(minima(values, np.r_[at[some], at[-1]], FINE))
+                least = minima(values, np.r_[at[some], at[-1]], FINE)
+                packed, keys = planes(least), band_keys(least)
                 full = [values[at[i] : at[i + 1]].tobytes() for i in some.tolist()]
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(some)), pa.array([x.tobytes() for x in packed], pa.binary()), pa.array(full, pa.binary())], ["id", "fine", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(some)), pa.array([x.tobytes() for x in packed], pa.binary()), pa.array(full, pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))], ["id", "fine", "shingles", "bands"])
 
-    return _texts(docs, ids, text_col, id_col).mapInArrow(run, "id long, fine binary, shingles binary")
+    return _texts(docs, ids, text_col, id_col).mapInArrow(run, "id long, fine binary, shingles binary, bands array<long>")
 
 
 def _texts(docs: DataFrame, ids: DataFrame, text_col: str, id_col: str) -> DataFrame:
@@ -230,7 +231,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text_col: st
     fine = stash(fine_signatures(docs, stash(rest.select("id").distinct(), "near-ids"), k, text_col, id_col), "near-fine")
     tiles = F.ceil(F.col("n") / _TILE).cast("int")
     tile = F.pmod(F.xxhash64("id"), tiles).cast("int")
-    dealt = rest.select("band", "id", "component", tile.alias("t"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("u")).join(reps.select("id", "bands"), "id").join(fine, "id")
+    whole = rest.join(fine, "id")
+    dealt = whole.select("band", "id", "component", "bands", "fine", "shingles", tile.alias("t"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("u"))
     dealt = dealt.select("band", F.least("t", "u").alias("p"), F.greatest("t", "u").alias("q"), "t", "id", "component", "bands", "fine", "shingles")
     least = least_estimate(percent / 100, FINE)
 
