@@ -122,7 +122,7 @@ class Writer:
     def write(self, images: list[np.ndarray], wide: list[int], comments: list[bytes]) -> list[bytes]:
         """images: MCUs x 3 x 64 coefficients, each whole rows of `wide` MCUs. Coefficients are 8-bit samples' (-1023 .. 1023)."""
         n = np.array([len(x) for x in images])
-        c = np.concatenate(images).astype(np.int64)
+        c = np.concatenate(images).astype(np.int32)
         per = -(-n // RESTART)
         image = np.repeat(np.arange(len(n)), per)
         in_image = np.arange(len(c)) - np.repeat(np.cumsum(n) - n, n)
@@ -354,11 +354,10 @@ class _Lanes:
         kept = np.cumsum(~gone) - ~gone
         self.begin = kept[np.sort(np.r_[piece, reset + 2])] * 8  # in bits
         self.lanes = 1 + np.bincount(np.searchsorted(piece, reset, "right") - 1, minlength=len(pieces))
-        b = raw[~gone].astype(np.uint64)
-        word = np.zeros(len(b), np.uint64)
+        b = np.r_[raw[~gone], np.zeros(32, np.uint8)].tobytes()
+        self.word = np.zeros((len(b) - 8) // 8 * 8, np.uint64)  # the eight bytes from each place on
         for i in range(8):
-            word[: len(b) - i] |= b[i:] << np.uint64(56 - 8 * i)
-        self.word = np.r_[word, np.zeros(16, np.uint64)]
+            self.word[i::8] = np.frombuffer(b, ">u8", len(self.word) // 8, i)
 
     def ahead(self, p: np.ndarray) -> np.ndarray:
         """The bits at p and after, from the top: 57 at least."""
