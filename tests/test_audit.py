@@ -65,3 +65,19 @@ def test_vicreg(spark):
     cov = np.cov(x.T)
     want = 15 * np.maximum(0, 1 - np.sqrt(np.diag(cov) + 1e-4)).mean() + 2 * 5 * ((cov**2).sum() - (np.diag(cov) ** 2).sum()) / 3
     assert abs(A.vicreg(df, "a", "b") - want) < 1e-8
+
+
+def test_greedy_matching_takes_every_legal_partner(spark):
+    from textloom.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()
+    x = np.array([r.embedding for r in rows], np.float64)
+    sims = (x := x / np.linalg.norm(x, axis=1)[:, None]) @ x.T
+    used, want = {}, []
+    for i, r in enumerate(rows):
+        taken = used.setdefault(r.label, set())
+        if r.vec_id % 2 == 0 and (legal := [j for j, o in enumerate(rows) if o.vec_id % 2 and sims[i, j] >= 0.2 and j not in taken]):
+            taken.add(legal[0])
+            want.append((r.label, r.vec_id, rows[legal[0]].vec_id))
+    assert sorted((r.label, r.vec_id, r.idea_id) for r in catalog.queries()["greedy_matching"](spark, sf).collect()) == sorted(want)

@@ -253,11 +253,11 @@ def consolidation_payload(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def greedy_matching(spark: SparkSession, sf: str) -> DataFrame:
-    """Vectors of even number matched to those of odd number in each label, in order."""
+    """Vectors of even number matched to those of odd number in each label, in order; every one of similarity 0.2 or more may be taken."""
     from textloom.operators.audit import greedy_match
     from textloom.operators.similarity import nearest
 
     e = table(spark, sf, "embeddings")
     ideas = e.where("vec_id % 2 = 1").select(F.col("vec_id").alias("idea_id"), "embedding")
-    hits = nearest(e.where("vec_id % 2 = 0"), ideas, 20).select("label", "vec_id", F.explode("hits").alias("h")).select("label", "vec_id", F.col("h.id").alias("idea_id"), F.col("h.sim").alias("sim"))
+    hits = nearest(e.where("vec_id % 2 = 0"), ideas, max(ideas.count(), 1), least=0.2).select("label", "vec_id", F.explode("hits").alias("h")).select("label", "vec_id", F.col("h.id").alias("idea_id"), F.col("h.sim").alias("sim"))
     return greedy_match(hits, "label", "vec_id", "idea_id", "sim", 0.2).select("label", "vec_id", "idea_id", F.round("sim", 6).alias("sim"))
