@@ -82,3 +82,16 @@ def test_empty_and_all_held_out(spark):
     assert hmm_lm.score(df.limit(0), fold("doc_id", 7) == 2).count() == 0
     row = hmm_lm.score(df, fold("doc_id", 1) == 0).first()
     assert (row.train_tokens, row.n_known, row.base_score) == (0, 0, 0.0)
+
+
+def test_states_part_whatever_the_first_block_holds(spark):
+    r = random.Random(6)
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    say = lambda i: " ".join(r.choices([f"{'ab'[i % 2]}{j}" for j in range(30)], k=40))
+    rows = [(i, say(i)) for i in range(400)]
+    for first in (lambda i: held(i), lambda i: i % 2 == 0):  # rows that are not learned from, one language alone
+        parts = [spark.createDataFrame([x for x in rows if first(x[0]) == side], "doc_id long, text string").coalesce(1) for side in (True, False)]
+        df = parts[0].union(parts[1])
+        at = lambda n: sum(x.score for x in hmm_lm.score(df, fold("doc_id", 7) == 2, states=n).collect() if x.held_out)  # noqa: B023, E731
+        tokens = 41 * sum(held(i) for i in range(400))
+        assert at(4) - at(1) > 0.2 * tokens

@@ -5,8 +5,8 @@ a class of its own), so the model's size does not grow with the vocabulary, whil
 word: p(text) is the hidden Markov model's probability of the class sequence times, for each word, its share
 (c + 1) / (N + V + 1) of its class; N and V are the class's training tokens and distinct training words.
 
-Training: initial values come from Baum-Welch rounds on the first block of texts alone; then each of
-`rounds` rounds runs forward-backward over all training texts, sums the expected counts by state in the
+Training: initial values come from all training texts, dealt to the states by hash of their words; then each
+of `rounds` rounds runs forward-backward over all training texts, sums the expected counts by state in the
 partitions, adds the partitions' sums after one shuffle, and re-estimates. In training, texts of over `SEGMENT`
 tokens are taken as several sequences; scores are always those of the whole text. Words are told apart by 64-bit hashes.
 """
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.batches import as_buffer, blocks, words
+from textloom.llm.batches import as_buffer, blocks, mix, words
 from textloom.llm.block_dictionary import Local, block_number, bucket_bits, by_frequency, pack, unpack
 from textloom.llm.splits import fold
 from textloom.sources.tables import table
@@ -80,35 +80,40 @@ def expected(model: Model, cls: np.ndarray, length: np.ndarray) -> tuple[np.ndar
     seg = np.full(int(parts.sum()), SEGMENT, np.int64)
     seg[np.cumsum(parts) - 1] = length - (parts - 1) * SEGMENT
     begin = np.cumsum(seg) - seg
-    move, emit, start = model.move.astype(np.float32), model.emit.astype(np.float32), model.start.astype(np.float32)
+    move, emit, start = model.move.astype(np.float32), np.ascontiguousarray(model.emit.T, np.float32), model.start.astype(np.float32)
     i = 0
     while i < len(seg):
         j = max(i + 1, int(np.searchsorted(begin, begin[i] + _LANES)))
         base, end = int(begin[i]), int(begin[j - 1] + seg[j - 1])
-        c = cls[base:end]
-        _, at, on = _lanes(begin[i:j] - base, seg[i:j])
-        alphas, scales = np.empty((len(c), states), np.float32), np.empty(len(c), np.float32)
-        alpha = np.empty((0, 0), np.float32)
-        for t, n in enumerate(on.tolist()):
-            where = at[:n] + t
-            alpha = (start if t == 0 else alpha[:n] @ move) * emit[c[where]]
-            scale = alpha.sum(1)
-            alpha /= scale[:, None]
-            alphas[where], scales[where] = alpha, scale
+        order, _, on = _lanes(begin[i:j] - base, seg[i:j])
+        edge = np.r_[0, np.cumsum(on)]  # tokens stand by step, then by lane
+        lane = np.empty(j - i, np.int64)
+        lane[order] = np.arange(j - i)
+        step = np.arange(end - base) - np.repeat(begin[i:j] - base, seg[i:j])
+        c = np.empty(end - base, np.int64)
+        c[edge[step] + np.repeat(lane, seg[i:j])] = cls[base:end]
+        seen = emit[:, c]
+        alphas, scales = np.empty((states, len(c)), np.float32), np.empty(len(c), np.float32)
+        cut = list(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True))
+        for t, (a, b) in enumerate(cut):
+            alpha = alphas[:, a:b]
+            np.multiply(start[:, None] if t == 0 else move.T @ alphas[:, cut[t - 1][0] : cut[t - 1][0] + b - a], seen[:, a:b], out=alpha)
+            alpha.sum(0, out=scales[a:b])
+            alpha /= scales[a:b]
         total += float(np.log(scales, dtype=np.float64).sum())
-        beta = np.ones((len(at), states), np.float32)
-        for t in range(len(on) - 1, 0, -1):
-            n = on[t]
-            where = at[:n] + t
-            before = alphas[where - 1]
-            pull = emit[c[where]] * beta[:n] / scales[where][:, None]
-            moves += before.T @ pull
-            alphas[where] *= beta[:n]  # the state's probability given the whole sequence
-            beta[:n] = pull @ move.T
-        alphas[at] *= beta
-        starts += alphas[at].sum(0, dtype=np.float64)
+        seen /= scales
+        beta = np.ones((states, j - i), np.float32)
+        for t in range(len(cut) - 1, 0, -1):
+            a, b = cut[t]
+            first = cut[t - 1][0]
+            pull = seen[:, a:b] * beta[:, : b - a]
+            moves += alphas[:, first : first + b - a] @ pull.T
+            alphas[:, a:b] *= beta[:, : b - a]  # the state's probability given the whole sequence
+            beta[:, : b - a] = move @ pull
+        alphas[:, : j - i] *= beta
+        starts += alphas[:, : j - i].sum(1, dtype=np.float64)
         for s in range(states):
-            emissions[:, s] += np.bincount(c, weights=alphas[:, s], minlength=len(emissions))
+            emissions[:, s] += np.bincount(c, weights=alphas[s], minlength=len(emissions))
         i = j
     return starts, moves * model.move, emissions, total
 
@@ -121,13 +126,19 @@ def estimate(starts: np.ndarray, moves: np.ndarray, emissions: np.ndarray, share
     return Model(start, move, emit / emit.sum(0))
 
 
+def first_model(emissions: np.ndarray, share: np.ndarray) -> Model:
+    """A model to begin with, from the emissions of texts dealt to the states."""
+    states, n = emissions.shape[1], emissions.sum()
+    return estimate(np.ones(states), np.eye(states) * n / states * 0.9 + n / states**2 * 0.1, emissions, share)
+
+
 def local_model(cls: np.ndarray, length: np.ndarray, states: int, rounds: int, seed: int = 11) -> Model:
     """Baum-Welch on some sequences alone, from texts dealt to the states at random."""
     rng = np.random.default_rng(seed)
     share = (np.bincount(cls, minlength=(1 << CLASS_BITS) + 1) + 1.0) / (len(cls) + (1 << CLASS_BITS) + 1)
     state = np.repeat(rng.integers(0, states, len(length)), length)
     emissions = np.stack([np.bincount(cls[state == s], minlength=len(share)) for s in range(states)], 1).astype(float)
-    model = estimate(np.ones(states), np.eye(states) * len(cls) / states * 0.9 + len(cls) / states**2 * 0.1, emissions, share)
+    model = first_model(emissions, share)
     for _ in range(rounds):
         model = estimate(*expected(model, cls, length)[:3], share)
     return model
@@ -158,7 +169,7 @@ def _sums(df: DataFrame) -> DataFrame:
     return df.repartition("part").mapInArrow(run, "part int, data binary")
 
 
-def score(docs: DataFrame, held_out: Column, text_col: str = "text", id_col: str = "doc_id", states: int = 8, rounds: int = 2, first_rounds: int = 12) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, text_col: str = "text", id_col: str = "doc_id", states: int = 8, rounds: int = 14) -> DataFrame:
     """One row for each row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
     held_out: true for rows that are scored but not learned from (null counts as false). A null text counts as
@@ -176,16 +187,18 @@ def score(docs: DataFrame, held_out: Column, text_col: str = "text", id_col: str
             perm = by_frequency(own.counts)
             train = np.zeros(len(own.hashes), np.uint32)
             train[perm] = np.bincount(own.local[~np.repeat(held, n)], minlength=len(perm))
+            begin = np.cumsum(n) - n
+            dealt = (mix(np.add.reduceat(tokens, begin)) % np.uint64(states) if len(n) else np.zeros(0)).astype(np.uint32)
             bound = own.bounds(bits)
             chunks = [{"bucket": int(b), "hashes": pack(own.hashes[bound[b] : bound[b + 1]]), "train": pack(train[bound[b] : bound[b + 1]])} for b in np.flatnonzero(np.diff(bound))]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([block_number(k)], pa.int64()), pa.array([batch.column("id").to_pylist()], pa.list_(batch.schema.field("id").type)), pa.array([pack(held.astype(np.uint8))]), pa.array([pack(n.astype(np.uint32))]), pa.array([pack(own.counts.astype(np.uint32))]),
+                [pa.array([block_number(k)], pa.int64()), pa.array([batch.column("id").to_pylist()], pa.list_(batch.schema.field("id").type)), pa.array([pack(held.astype(np.uint8))]), pa.array([pack(n.astype(np.uint32))]), pa.array([pack(dealt)]), pa.array([pack(own.counts.astype(np.uint32))]),
                  pa.array([pack(own.local)]), pa.array([pack(token_classes(own.hashes)[perm])]), pa.array([chunks], pa.list_(pa.struct([("bucket", pa.int32()), ("hashes", pa.binary()), ("train", pa.binary())])))],
-                ["block", "ids", "held", "lengths", "counts", "local", "classes", "chunks"],
+                ["block", "ids", "held", "lengths", "dealt", "counts", "local", "classes", "chunks"],
             )
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
-    made = texts.mapInArrow(to_blocks, f"block long, ids array<{kind}>, held binary, lengths binary, counts binary, local binary, classes binary, chunks array<struct<bucket:int,hashes:binary,train:binary>>")
+    made = texts.mapInArrow(to_blocks, f"block long, ids array<{kind}>, held binary, lengths binary, dealt binary, counts binary, local binary, classes binary, chunks array<struct<bucket:int,hashes:binary,train:binary>>")
     stored = stash(made, "lm-blocks", "none")
 
     def count(rows: pa.Table) -> pa.Table:
@@ -211,7 +224,7 @@ def score(docs: DataFrame, held_out: Column, text_col: str = "text", id_col: str
     for r in answers.select(F.explode("stats").alias("s")).groupBy("s.cls").agg(F.sum("s.n").alias("n"), F.sum("s.v").alias("v")).collect():  # a row for each class at most
         class_n[r.cls], class_v[r.cls] = r.n, r.v
     all_n, all_v = int(class_n.sum()), int(class_v.sum())
-    model = _train(stored, (class_n + 1) / (class_n.sum() + size), states, rounds, first_rounds) if all_n else Model(np.ones(1), np.ones((1, 1)), np.full((size, 1), 1 / size))
+    model = _train(stored, (class_n + 1) / (class_n.sum() + size), states, rounds) if all_n else Model(np.ones(1), np.ones((1, 1)), np.full((size, 1), 1 / size))
     shared = spark.sparkContext.broadcast(pickle.dumps((model.start, model.move, model.emit, class_n, class_v)))  # bounded by states and classes
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -229,46 +242,44 @@ def score(docs: DataFrame, held_out: Column, text_col: str = "text", id_col: str
         total = forward(model_, classes[local], length) / np.log(10) + by_row(share[local])
         return pa.table({"id": left.column("ids").combine_chunks().flatten(), "held_out": pa.array(held), "n_tokens": pa.array(length), "n_known": pa.array(by_row((c > 0).astype(np.int64)[local]).astype(np.int64)), "train_tokens": pa.array(np.full(len(length), all_n, np.int64)), "base_score": pa.array(by_row(base[local])), "score": pa.array(total)})
 
-    both = stored.drop("chunks").groupBy("block").cogroup(answers.where(F.col("block").isNotNull()).drop("stats").groupBy("block"))
+    both = stored.drop("chunks", "dealt").groupBy("block").cogroup(answers.where(F.col("block").isNotNull()).drop("stats").groupBy("block"))
     return both.applyInArrow(finish, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("id", id_col)
 
 
-def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Class sequences of each block's training rows, and their lengths."""
+def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Class sequences of each block's training rows, their lengths and the states that they are dealt to."""
     for batch in batches:
-        for held, length, local, classes in zip(*(batch.column(c).to_pylist() for c in ("held", "lengths", "local", "classes")), strict=True):
+        for held, length, dealt, local, classes in zip(*(batch.column(c).to_pylist() for c in ("held", "lengths", "dealt", "local", "classes")), strict=True):
             n, on = unpack(length).astype(np.int64), unpack(held) == 0
             cls = unpack(classes)[unpack(local)]
-            yield cls[np.repeat(on, n)].astype(np.int64), n[on]
-
+            yield cls[np.repeat(on, n)].astype(np.int64), n[on], unpack(dealt)[on].astype(np.int64)
 
-def _train(stored: DataFrame, share: np.ndarray, states: int, rounds: int, first_rounds: int) -> Model:
-    sequences = stored.select("block", "held", "lengths", "local", "classes")
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cls, n in _sequences(batches):
-            model = local_model(cls, n, states, first_rounds)
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((model.start, model.move, model.emit))])], ["model"])
-
-    model = Model(*pickle.loads(sequences.orderBy("block").limit(1).mapInArrow(first, "model binary").first().model))
-    for _ in range(rounds):
-        shared = stored.sparkSession.sparkContext.broadcast(pickle.dumps((model.start, model.move, model.emit)))
+def _train(stored: DataFrame, share: np.ndarray, states: int, rounds: int) -> Model:
+    sequences, size = stored.select("held", "lengths", "dealt", "local", "classes"), len(share)
+    model: Model | None = None
+    for _ in range(1 + rounds):
+        shared = stored.sparkSession.sparkContext.broadcast(pickle.dumps(model and (model.start, model.move, model.emit)))
 
         def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            now, total = Model(*pickle.loads(shared.value)), None
-            for cls, n in _sequences(batches):
-                got = expected(now, cls, n)[:3]
+            now, total = pickle.loads(shared.value), None
+            for cls, n, dealt in _sequences(batches):
+                if now:
+                    got = expected(Model(*now), cls, n)[:3]
+                else:  # the texts as they are dealt
+                    place = cls * states + np.repeat(dealt, n)
+                    got = np.zeros(states), np.zeros((states, states)), np.bincount(place, minlength=size * states).reshape(size, states).astype(float)
                 total = got if total is None else tuple(a + b for a, b in zip(total, got, strict=True))
             if total is None:
                 return
             parts = {-1: np.r_[total[0], total[1].ravel()]}
-            parts |= {i: total[2][i * _SLICE : (i + 1) * _SLICE].ravel() for i in range(-(-len(share) // _SLICE))}
+            parts |= {i: total[2][i * _SLICE : (i + 1) * _SLICE].ravel() for i in range(-(-size // _SLICE))}
             yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([pack(x.astype(np.float32)) for x in parts.values()])], ["part", "data"])
 
         found = {r.part: unpack(r.data) for r in _sums(sequences.mapInArrow(count, "part int, data binary")).collect()}  # the model's size
         starts, moves = found[-1][:states], found[-1][states:].reshape(states, states)
         emissions = np.concatenate([found[i].reshape(-1, states) for i in sorted(found) if i >= 0])
-        model = estimate(starts, moves, emissions, share)
+        model = estimate(starts, moves, emissions, share) if model else first_model(emissions, share)
     return model
 
 
