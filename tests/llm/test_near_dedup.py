@@ -90,3 +90,14 @@ def test_components(spark, few, monkeypatch):
     got = {x.node: x.component for x in cc.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(41))
     assert all(got[a] == got[b] for a, b in edges if a != b)
+
+
+def test_small_sets_in_crowded_buckets(spark, monkeypatch):
+    monkeypatch.setattr(nd, "STARS", 0)
+    rows = []
+    for g in range(60):
+        core = [f"{g}c{j}" for j in range(5)]
+        rows += [(len(rows) + i, " ".join([f"{g}x{i}", *core, f"{g}y{i}"])) for i in range(12)]
+        rows += [(len(rows), " ".join(core)), (len(rows) + 1, " ".join([*core, f"{g}z"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(nd.near_duplicates(df, 2)) == brute(rows, 2)

@@ -6,12 +6,13 @@
    so that copies, however many, cost one row.
 3. Representatives meet by band key. Of each band bucket only links to its least member are tried: the
    packed bits' matches give an estimate of the similarity, corrected for chance collisions of two bits, and
-   pairs within five standard errors of the threshold are confirmed on the full sets.
+   pairs that reach the threshold less five standard errors, even if no bits match by chance, are confirmed on
+   the full sets, as are all pairs with a set of under `SMALL` shingles.
 4. Links are gathered into components. A bucket whose members do not all lie in one component may hide more
    links: for up to `STARS` rounds another member, drawn by hash, is tried with those of other components.
 5. What is left is compared in tiles: every pair of a bucket that still lies in two components, in the first
-   bucket that it shares, by the packed bits of `FINE` minima and, where their estimate passes, on the full
-   sets. Only links leave a tile, so no pair that shares a band key and could join two components is left
+   bucket that it shares, by the packed bits of `FINE` minima and, where their estimate passes or a set is small, on the
+   full sets. Only links leave a tile, so no pair that shares a band key and could join two components is left
    untried, and no list of pairs is made.
 
 A pair at the threshold of 0.8 shares no band key with probability (1 - 0.8 ** 4) ** 28 = 4e-7.
@@ -40,6 +41,8 @@ STARS = 4
 BROADCAST_IDS = 1 << 21
 #: Minima of the longer signatures that members of buckets with several components are compared by.
 FINE = 1024
+#: Sets of fewer shingles are compared whole: their minima are too few different numbers for an estimate.
+SMALL = 64
 _ODD = (np.random.default_rng(20).integers(0, 1 << 32, FINE, dtype=np.uint32) | np.uint32(1)).astype(np.uint32)
 _ADD = np.random.default_rng(21).integers(0, 1 << 32, FINE, dtype=np.uint32)
 
@@ -98,10 +101,9 @@ def estimate(left: list[Column], right: list[Column]) -> Column:
 
 
 def least_estimate(similarity: float, number: int = MINIMA, errors: float = 5.0) -> float:
-    """The estimate that a pair of that similarity falls below once in some millions."""
+    """The estimate that a pair of that similarity falls below once in some millions, however few bits match by chance."""
     chance = 0.5**BITS
-    p = similarity + (1 - similarity) * chance
-    return similarity - errors * math.sqrt(p * (1 - p) / number) / (1 - chance)
+    return (similarity - errors * math.sqrt(similarity * (1 - similarity) / number) - chance) / (1 - chance)
 
 
 def signatures(docs: DataFrame, k: int, text_col: str, id_col: str) -> DataFrame:
@@ -197,18 +199,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text_col: st
     classes = stash(all_rows.where(usable).groupBy("f0", "f1", "n_shingles").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "near-classes")
     named = all_rows.select("id", "n_shingles", "f0", "f1").join(classes.where("n > 1").drop("n"), ["f0", "f1", "n_shingles"], "left").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep"))
     reps = all_rows.where(usable).join(classes.select("f0", "f1", "n_shingles", F.col("rep").alias("id")), ["f0", "f1", "n_shingles", "id"], "left_semi").dropDuplicates(["id", "f0", "f1"])
-    reps = stash(reps.select("id", *sign, "bands"), "near-representatives")
+    reps = stash(reps.select("id", *sign, "n_shingles", "bands"), "near-representatives")
     entries = reps.select("id", F.explode("bands").alias("band"))
     buckets = entries.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1")
     members = stash(entries.join(buckets, "band"), "near-buckets")
     tried = stash(members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "near-tried")
-    bits = reps.select("id", *sign)
+    bits = reps.select("id", *sign, "n_shingles")
 
     def likely(pairs: DataFrame) -> DataFrame:
         left, right = ([F.col(f"{side}{i}") for i in range(len(sign))] for side in "xy")
-        one = bits.toDF("b", *(f"y{i}" for i in range(len(sign))))
-        two = bits.toDF("a", *(f"x{i}" for i in range(len(sign))))
-        return pairs.join(one, "b").join(two, "a").where(estimate(left, right) >= least_estimate(percent / 100)).select("a", "b")
+        one = bits.toDF("b", *(f"y{i}" for i in range(len(sign))), "yn")
+        two = bits.toDF("a", *(f"x{i}" for i in range(len(sign))), "xn")
+        return pairs.join(one, "b").join(two, "a").where((F.least("xn", "yn") < SMALL) | (estimate(left, right) >= least_estimate(percent / 100))).select("a", "b")
 
     links = stash(confirm(docs, stash(likely(tried), "near-likely"), k, percent, text_col, id_col), "near-links")
     found = components(links)
@@ -240,6 +242,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text_col: st
         ids, parts, t = (rows.column(c).to_numpy() for c in ("id", "component", "t"))
         x = np.frombuffer(b"".join(rows.column("fine").to_pylist()), np.uint64).reshape(len(ids), BITS, -1)
         full = [np.frombuffer(v.as_buffer(), np.uint64) for v in rows.column("shingles")]
+        size = np.array([len(v) for v in full])
         keys = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
         p, q, band = (rows.column(c)[0].as_py() for c in ("p", "q", "band"))
         right = np.flatnonzero(t == q)
@@ -247,7 +250,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text_col: st
         for i in np.flatnonzero(t == p):
             other = right[(parts[right] != parts[i]) & ((ids[right] > ids[i]) | (p != q))]
             same = FINE - np.bitwise_count(np.bitwise_or.reduce(x[other] ^ x[i], axis=1)).sum(1, dtype=np.int64)
-            hit = other[(same / FINE - 0.5**BITS) / (1 - 0.5**BITS) >= least]
+            low, high = np.minimum(size[other], size[i]), np.maximum(size[other], size[i])
+            hit = other[(100 * low >= percent * high) & ((low < SMALL) | ((same / FINE - 0.5**BITS) / (1 - 0.5**BITS) >= least))]
             hit = hit[keys[i][(keys[hit] == keys[i]).argmax(1)] == band]  # in the first bucket that both share
             for j in hit.tolist():
                 n = shared(full[i], full[j])
