@@ -1,9 +1,10 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from textloom.llm import language_id as li
-from textloom.llm.splits import fold
+from textloom.llm.splits import bounded_sample, fold
 
 LETTERS = {"aa": "abcde", "bb": "defgh", "cc": "ghaij", "dd": "jklmé", "ee": "жзик"}
 
@@ -51,3 +52,26 @@ def test_odd_rows(spark):
     one = li.learn(spark.createDataFrame([(1, "abc", "aa")], "doc_id long, text string, lang string"))
     assert li.predict(df, one).where("doc_id = 4").first().lang_pred == "aa"
     assert li.predict(df.limit(0), model).count() == 0
+
+
+def test_decoding_equals_brute_force():
+    rows = corpus(3, 80)
+    x = li.unit(np.concatenate([li.ngram_counts(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])) for _, t, _ in rows]))
+    model = li.fit(x[:60], [lang for _, _, lang in rows[:60]])
+    best, score, gap = model.predict(x)
+    for i, v in enumerate(x.astype(float)):
+        margins = [sum(v[d] * float(model.weights[d, b]) for d in np.flatnonzero(v)) + float(model.weights[-1, b]) for b in range(model.code.shape[1])]
+        loss = [sum(t * np.log1p(np.exp(-m * c)) for t, m, c in zip(model.trust[j], margins, model.code[j], strict=True)) for j in range(len(model.langs))]
+        order = np.argsort(loss)
+        assert best[i] == order[0] and abs(gap[i] - (loss[order[1]] - loss[order[0]])) < 1e-4
+        assert abs(score[i] - 1 / sum(np.exp(-4 * (np.array(loss) - min(loss))))) < 1e-4
+
+
+def test_repeated_ids_and_clashing_names(spark):
+    df = spark.createDataFrame([(*r, "q") for r in corpus(n=200) for _ in range(3)], "doc_id long, text string, lang string, score string")
+    a, b = (li.learn(x, sample_rows=50) for x in (df.repartition(5), df.orderBy(F.desc("text")).coalesce(2)))
+    assert np.array_equal(a.weights, b.weights) and a.langs == b.langs
+    out = li.predict(df, a, keep=["doc_id", "score", "lang"])
+    assert out.columns.count("score") == 1 and out.count() == 600
+    hot = spark.createDataFrame([(7, "abc", "aa")] * 500 + [(i, "def", "bb") for i in range(20)], "doc_id long, text string, lang string")
+    assert bounded_sample(hot, "doc_id", 10).count() == 10

@@ -35,3 +35,20 @@ def test_frame(spark, tokenizer):
     want = sorted(((i, len((t or "").encode()), n := len(tokenizer.encode(t or "", add_special_tokens=False).ids), n > 100) for i, t, _ in rows), key=str)
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     assert token_counts(df.limit(0), PATH).count() == 0
+
+
+def test_other_tokenizers_are_refused():
+    import json
+
+    import public_tokenizers
+    import pytest
+    from tokenizers import Tokenizer
+
+    spec = json.load(open(public_tokenizers.path("byte_bpe_50k.json")))
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}}, {"added_tokens": [spec["added_tokens"][0] | {"lstrip": True}]}):
+        with pytest.raises(ValueError):
+            tc.ChunkedCounter(Tokenizer.from_str(json.dumps(spec | change)))
+    cut = Tokenizer.from_str(json.dumps(spec))
+    cut.enable_truncation(5)
+    cut.enable_padding(length=9)
+    assert tc.ChunkedCounter(cut).count(["a b c d e f g h", ""]) == [8, 0]

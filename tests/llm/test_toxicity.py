@@ -57,3 +57,32 @@ def test_odd_rows(spark):
     scored = tx.score(df, tx.Lexicon({"slur": 2.0}, [], [-3.0, 2.0, 1.0, 1.0])).orderBy("toxicity").collect()
     assert [r.is_toxic for r in scored] == [False, False, False, True]
     assert tx.score(df.limit(0), empty).count() == 0
+
+
+def test_hits_equal_a_naive_matcher():
+    r = random.Random(9)
+    for _ in range(60):
+        words = {"".join(r.choices("abo", k=r.randint(1, 4))): r.random() + 1 for _ in range(8)}
+        phrases = [f"{r.choice(list(words))} {''.join(r.choices('abo', k=2))}" for _ in range(3)]
+        text = "".join(r.choices("abo0@ .A", k=120))
+        got = sorted((a, b, w) for a, b, w, _ in tx.Lexicon(words, phrases).matcher().hits(text))
+        flat = tx.fold_text(text)
+        alone = lambda a, b: not (a and text[a - 1].isalnum()) and not (b < len(text) and text[b].isalnum())  # noqa: B023, E731
+        spans = lambda xs: [(a, a + len(x), x) for x in xs for a in range(len(flat)) if flat.startswith(x, a) and alone(a, a + len(x))]  # noqa: B023, E731
+        shields = spans([p for p in phrases if p not in words])
+        assert got == sorted(h for h in spans(words) if not any(a <= h[0] and h[1] <= b for a, b, _ in shields))
+
+
+def test_hits_are_given_whatever_the_score(spark):
+    lexicon = tx.Lexicon({"bad": 1.0}, [], [-30.0, 0.0, 0.0, 0.0])
+    row = tx.score(spark.createDataFrame([(1, "a bad b4d x")], "doc_id long, text string"), lexicon).first()
+    assert row.toxic_hits == ["bad", "bad"] and not row.is_toxic
+    edge = tx.Lexicon({}, [], [0.0, 0.0, 0.0, 0.0])
+    assert tx.score(spark.createDataFrame([(1, "a")], "doc_id long, text string"), edge).first().is_toxic  # exactly the threshold
+
+
+def test_repeated_ids_are_learned_from_once(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(i, f"plain words here {'vile nasty' if i % 2 else 'kind calm'} {j}") for i in range(80) for j in range(3)], "doc_id long, text string")
+    a, b = (tx.learn(x, labels) for x in (docs.repartition(4), docs.orderBy("text").coalesce(1)))
+    assert a == b and set(a.weights) == {"vile", "nasty"}

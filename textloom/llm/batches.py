@@ -10,6 +10,8 @@ import pyarrow as pa
 
 #: Bytes of text handled at once; a longer text is a block of its own.
 BLOCK_BYTES = 8 << 20
+#: Rows handled at once.
+BLOCK_ROWS = 1 << 16
 #: Words are hashed in pieces of at most about this many bytes, cut at white space.
 _SEGMENT = 2 << 20
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -27,22 +29,26 @@ def as_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, off - off[0]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut or join batches so that their column holds about `limit` bytes, by whole rows."""
+def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES, most: int = BLOCK_ROWS) -> Iterator[pa.RecordBatch]:
+    """Cut or join batches so that their column holds about `limit` bytes in at most `most` rows, by whole rows.
+
+    Callers give the rows by what a row costs them: short, empty and null texts have next to no bytes.
+    """
     kept: list[pa.RecordBatch] = []
-    size = 0
+    size = rows = 0
     for batch in batches:
         _, off = as_buffer(batch.column(column))
         at = 0
         while at < batch.num_rows:
             end = int(np.searchsorted(off, off[at] + limit - size, "right")) - 1
-            end = min(max(end, at if kept else at + 1), batch.num_rows)
+            end = min(max(end, at if kept else at + 1), batch.num_rows, at + most - rows)
             if end > at:
                 kept.append(batch.slice(at, end - at))
                 size += int(off[end] - off[at])
-            if end < batch.num_rows:
+                rows += end - at
+            if end < batch.num_rows or rows == most:
                 yield _joined(kept)
-                kept, size = [], 0
+                kept, size, rows = [], 0, 0
             at = end
     if kept:
         yield _joined(kept)
@@ -107,10 +113,10 @@ def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
             value = (total[e] - total[s]) * down[s]
         else:  # one long span: the same polynomial, piece by piece
             up, _ = _tables(2 * _SEGMENT)
-            value, factor = np.zeros(1, np.uint64), np.uint64(1)
+            value, factor = np.zeros(1, np.uint64), np.ones(1, np.uint64)
             for i in range(0, len(piece), _SEGMENT):
                 part = piece[i : i + _SEGMENT]
-                value += (part.astype(np.uint64) * up[: len(part)]).sum(dtype=np.uint64) * factor
+                value += (part.astype(np.uint64) * up[: len(part)]).sum(dtype=np.uint64, keepdims=True) * factor
                 factor = factor * up[_SEGMENT] if len(part) == _SEGMENT else factor
         out[at:stop] = mix(value + (e - s).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
         at = stop

@@ -10,6 +10,7 @@ the bytes of each id from the token table, whose size the vocabulary bounds.
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -25,6 +26,8 @@ from textloom.storage import stash_bucketed
 
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
 _PIECE = 1 << 20
+#: Words whose ids a task remembers; beyond it, it begins anew.
+_KNOWN = 1 << 20
 _CLASSES: list[np.ndarray] = []
 
 
@@ -104,12 +107,18 @@ def _piece_starts(buf: np.ndarray, inner: np.ndarray) -> np.ndarray:
     return byte[begins]
 
 
+@functools.lru_cache(maxsize=2)
 def load_ranks(path: str) -> dict[bytes, int]:
-    """A tiktoken rank file: base64 of the token's bytes, then its rank, on each line."""
+    """A tiktoken rank file: base64 of the token's bytes, then its rank, on each line. Read once by each process."""
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+@functools.lru_cache(maxsize=2)
+def _token_bytes(path: str) -> "TokenBytes":
+    return TokenBytes(load_ranks(path))
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", id_col: str = "doc_id", digests: bool = False) -> DataFrame:
     """One row for each row of docs: the id and n_tokens, and ids (array of int), or with digests instead ids_sha256 and decoded_sha256.
 
@@ -128,7 +137,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     bits = bucket_bits(spark)
 
     def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, batch in enumerate(blocks(batches, "text", BLOCK)):
+        for k, batch in enumerate(blocks(batches, "text", BLOCK, 1 << 18)):
             buf, off = as_buffer(batch.column("text"))
             start, end = pretokens(buf, off)
             own = Local(span_hashes(buf, start, end))
@@ -156,6 +165,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
         one = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=load_ranks(ranks_path), special_tokens={})._core_bpe.encode_single_piece
         known: dict[bytes, bytes] = {}
         for batch in batches:
+            if len(known) > _KNOWN:
+                known.clear()
             for block, bucket, lengths, data in zip(*(batch.column(c).to_pylist() for c in ("block", "bucket", "lengths", "data")), strict=True):
                 ends = np.cumsum(unpack(lengths).astype(np.int64)).tolist()
                 raw, at, out = unpack(data).tobytes(), 0, []
@@ -171,7 +182,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     answers = words.repartition("bucket").mapInArrow(encode_words, "block long, bucket int, n binary, ids binary")
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = _assemble(left, right, load_ranks(ranks_path) if digests else None)
+        out = _assemble(left, right, _token_bytes(ranks_path) if digests else None)
         return pa.Table.from_arrays(out, ["id", "n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["id", "n_tokens", "ids"])
 
     rest = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>"
@@ -179,8 +190,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     return both.applyInArrow(assemble, f"id {kind}, n_tokens long, {rest}").withColumnRenamed("id", id_col)
 
 
-def _assemble(left: pa.Table, right: pa.Table, ranks: dict[bytes, int] | None) -> list[pa.Array]:
-    """A block's rows: its id lists put together by position, and with ranks the digests of ids and of decoded bytes."""
+def _assemble(left: pa.Table, right: pa.Table, table_: "TokenBytes | None") -> list[pa.Array]:
+    """A block's rows: its id lists put together by position, and with a token table the digests of ids and of decoded bytes."""
     docs = left.column("ids").combine_chunks().flatten()
     counts, local = unpack(left.column("counts")[0].as_py()), unpack(left.column("local")[0].as_py())
     per_row = unpack(left.column("lengths")[0].as_py()).astype(np.int64)
@@ -191,7 +202,6 @@ def _assemble(left: pa.Table, right: pa.Table, ranks: dict[bytes, int] | None) -
     begin = np.cumsum(n) - n
     perm = by_frequency(counts)
     n, begin = n[perm], begin[perm]  # by local number
-    table_ = TokenBytes(ranks) if ranks is not None else None
     totals, first, second, at = [], [], [], 0
     row_end = np.cumsum(per_row)
     step = max(1, len(per_row) // max(1, len(local) // (1 << 19)))
@@ -249,7 +259,7 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: s
     names = rest.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = TokenBytes(load_ranks(ranks_path))
+        tokens = _token_bytes(ranks_path)
         at = names.index(ids_col)
         for batch in batches:
             out = []
@@ -263,6 +273,7 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: s
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each document's ids and of the bytes decoded from them. A null text counts as empty; repeated rows each have a row."""
     import public_tokenizers as P
 
     return encode(table(spark, sf_dir, "documents"), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, digests=True)

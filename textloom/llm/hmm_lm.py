@@ -284,6 +284,7 @@ def _train(stored: DataFrame, share: np.ndarray, states: int, rounds: int) -> Mo
 
 
 def op1_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of each document, learned from those outside fold 2 of 7. A null text is its end alone; repeated rows are learned from and scored each."""
     return score(table(spark, sf_dir, "documents"), fold("doc_id", 7) == 2)
 
 

@@ -19,10 +19,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.batches import as_buffer, blocks
-from textloom.llm.splits import bounded_sample, fold
+from textloom.llm.splits import bounded_sample, fold, one_of_each
 from textloom.sources.tables import table
 
 DIM = 4096
+#: Rows whose counts are held at once, DIM numbers for each.
+_ROWS = 512
 
 
 def ngram_counts(buf: np.ndarray, off: np.ndarray, dim: int = DIM, piece: int = 1 << 20) -> np.ndarray:
@@ -116,17 +118,21 @@ def fit(x: np.ndarray, y: list[str], rounds: int = 150, rate: float = 8.0, ridge
 
 
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_rows: int = 3000) -> Model:
-    """Fit on at most sample_rows rows that have a language and some text; rows with either null are not used."""
-    ids = bounded_sample(docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(id_col), id_col, sample_rows)
-    rows = docs.join(F.broadcast(ids.distinct()), id_col, "left_semi").where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
+    """Fit on at most sample_rows ids that have a language and some text; rows with a null in any of the three are not used.
+
+    Of the rows of one id, the one whose text and language hash least is learned from.
+    """
+    usable = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    rows = one_of_each(usable.join(F.broadcast(bounded_sample(usable, "id", sample_rows)), "id", "left_semi"), "id", ["text", "lang"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "text", 1 << 20):
+        for batch in blocks(batches, "text", 1 << 20, _ROWS):
             x = ngram_counts(*as_buffer(batch.column("text")))
             where = [np.flatnonzero(r) for r in x]
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([w.astype(np.uint16).tobytes() for w in where]), pa.array([r[w].astype(np.float32).tobytes() for r, w in zip(x, where, strict=True)])], ["lang", "at", "n"])
 
-    found = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).mapInArrow(run, "lang string, at binary, n binary").limit(2 * sample_rows).collect()
+    found = rows.select("text", "lang").mapInArrow(run, "lang string, at binary, n binary").collect()  # sample_rows at most
+    found.sort(key=lambda r: (r.lang, r.at, r.n))
     x = np.zeros((len(found), DIM), np.float32)
     for i, r in enumerate(found):
         x[i, np.frombuffer(r.at, np.uint16)] = np.frombuffer(r.n, np.float32)
@@ -137,13 +143,14 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
     """The columns `keep`, and lang_pred, score, runner_up (null where there is none), ambiguous.
 
     A null text, one without letters, or any text where no language was learned is `und` with score 0.
-    Repeated rows each have a row. No shuffle; memory is bounded by a block of text.
+    Repeated rows each have a row; columns of keep with the new ones' names are left out. No shuffle; memory is
+    bounded by 2 MB of text or one text, and by 512 rows of counts.
     """
-    keep = ["doc_id"] if keep is None else keep
+    keep = [c for c in (["doc_id"] if keep is None else keep) if c not in ("lang_pred", "score", "runner_up", "ambiguous")]
     names = [f"k{i}" for i in range(len(keep))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "text", 2 << 20):
+        for batch in blocks(batches, "text", 2 << 20, _ROWS):
             buf, off = as_buffer(batch.column("text"))
             n = batch.num_rows
             lang, score, second, unsure = np.full(n, "und", object), np.zeros(n), np.full(n, None, object), np.zeros(n, bool)
@@ -152,7 +159,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
             some = letter[off[1:]] > letter[off[:-1]]
             for i in np.flatnonzero(~some & (off[1:] > off[:-1])):
                 some[i] = any(map(str.isalpha, bytes(buf[off[i] : off[i + 1]]).decode("utf-8", "replace")))
-            if model.langs:
+            if model.langs and some.any():
                 x = unit(ngram_counts(buf, off))
                 best, p, gap = model.predict(x)
                 order = model.losses(x).argsort(1)
@@ -169,6 +176,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document, by a model of the rows outside fold 0 of 5. A null text or one without a letter is `und`; repeated rows each have a row."""
     docs = table(spark, sf_dir, "documents")
     model = learn(docs.where(fold("doc_id", 5) != 0))
     out = predict(docs.select("doc_id", "text"), model)

@@ -205,6 +205,7 @@ def dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_d
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document without the lines that repeat in five or more. A null text has one empty line; of repeated ids every row loses the same lines."""
     out = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 

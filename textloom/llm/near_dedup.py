@@ -110,7 +110,7 @@ def signatures(docs: DataFrame, k: int, text_col: str, id_col: str) -> DataFrame
     """(id, n_shingles, f0, f1, s0 .. , bands) of each row; null f0 and bands for rows without a shingle or an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "text", 2 << 20):
+        for batch in blocks(batches, "text", 2 << 20, 1 << 14):
             values, at = row_sets(batch.column("text"), k)
             n = np.diff(at)
             some = np.flatnonzero(n > 0)
@@ -142,7 +142,7 @@ def fine_signatures(docs: DataFrame, ids: DataFrame, k: int, text_col: str, id_c
     """(id, fine, shingles, bands): packed bits of FINE minima, the full set and the band keys, for the rows with these ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "text", 1 << 20):
+        for batch in blocks(batches, "text", 1 << 20, 1 << 11):
             values, at = row_sets(batch.column("text"), k)
             some = np.flatnonzero(np.diff(at) > 0)
             if len(some):
@@ -268,6 +268,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text_col: st
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of each document, on two-word shingles. Empty and null texts stand alone; repeated rows have the same answer."""
     return near_duplicates(table(spark, sf_dir, "documents"), k=2)
 
 

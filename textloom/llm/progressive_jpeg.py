@@ -24,6 +24,8 @@ from textloom.sources.tables import table
 UNIT = 192
 _NOTE = b"payload "
 _BATCH = 3 << 20
+#: Images handled at once: even an empty text has a file with its tables.
+_ROWS = 4096
 
 
 def payload(text: bytes) -> bytes:
@@ -49,7 +51,7 @@ def encode(docs: DataFrame, text_col: str = "text", out_col: str = "media") -> D
     at = rest.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, names[at], _BATCH):
+        for batch in blocks(batches, names[at], _BATCH, _ROWS):
             buf, off = as_buffer(batch.column(at))
             raw = buf.tobytes()
             files = pictures([payload(raw[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)])
@@ -117,7 +119,7 @@ def decode(media: DataFrame, media_col: str = "media", tensors: bool = True) ->
     at = rest.columns.index(media_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, names[at], _BATCH):
+        for batch in blocks(batches, names[at], _BATCH, _ROWS):
             files = batch.column(at).to_pylist()
             some = iter(_read([f for f in files if f is not None], tensors))
             rows = [(None,) * 5 if f is None else next(some) for f in files]
@@ -133,6 +135,7 @@ def decode(media: DataFrame, media_col: str = "media", tensors: bool = True) ->
 
 
 def op10_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as a progressive JPEG and read back. A null text counts as empty; repeated rows each have a row."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
     media = encode(docs).select("doc_id", "n_bytes", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
     return decode(media, tensors=False).select(

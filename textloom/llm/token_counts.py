@@ -5,13 +5,14 @@ overlap by `overlap_chars`; each is encoded with offsets. Two neighbours are spl
 boundary inside their overlap: a place p where text[p] is a space between two characters that are not
 white space. There the byte-level pre-tokenizer cuts whatever stands further left (no alternative of its
 pattern goes on from a non-space to a space), so what is left of p never depends on what follows, and what
-begins at p depends on the right side alone; added special tokens hold no white space, so none spans p. Both encodings must also show a token boundary at p. If an overlap
-has no such place the right chunk begins earlier: the overlap doubles, until it takes in everything from
+begins at p depends on the right side alone; added special tokens hold no white space, so none spans p. Other kinds of tokenizer are refused. Both
+encodings must also show a token boundary at p. If an overlap has no such place the right chunk begins earlier: the overlap doubles, until it takes in everything from
 the last splice, which is then encoded as one.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -25,10 +26,24 @@ from textloom.sources.tables import table
 _STABLE = re.compile(r"(?<=\S) (?=\S)")
 
 
+def check_stable(tokenizer) -> None:
+    """Raise ValueError for a tokenizer for which the places above are not proven to be cuts."""
+    spec = json.loads(tokenizer.to_str())
+    pre = spec.get("pre_tokenizer") or {}
+    if spec.get("normalizer") is not None or pre.get("type") != "ByteLevel" or not pre.get("use_regex", True) or pre.get("add_prefix_space"):
+        raise ValueError("only byte-level tokenizers that split by their own pattern, without normaliser or prefix space, can be spliced")
+    for token in spec.get("added_tokens", []):
+        if token.get("lstrip") or token.get("rstrip") or any(c.isspace() for c in token["content"]):
+            raise ValueError(f"added token {token['content']!r} takes in white space")
+
+
 class ChunkedCounter:
-    """Counts tokens as tokenizer.encode(text, add_special_tokens=False) would."""
+    """Counts tokens as tokenizer.encode(text, add_special_tokens=False) would, without truncation and padding."""
 
     def __init__(self, tokenizer, chunk_chars: int = 1 << 15, overlap_chars: int = 1 << 10):
+        check_stable(tokenizer)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
         self.tokenizer, self.chunk, self.overlap = tokenizer, chunk_chars, max(4, overlap_chars)
         self.widened = 0  # times an overlap had to grow
 
@@ -125,6 +140,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, text_col: str = "text", i
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of each document. A null text counts as empty; repeated rows each have a row."""
     import public_tokenizers
 
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

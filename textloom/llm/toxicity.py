@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.llm.batches import blocks
-from textloom.llm.splits import bounded_sample, fold
+from textloom.llm.splits import bounded_sample, fold, one_of_each
 from textloom.sources.tables import table
 from textloom.storage import stash
 
@@ -101,13 +101,13 @@ class Matcher:
             found = [hit for hit, inside in covers if not inside]
         return found
 
-    def features(self, text: str) -> list[float]:
-        found = self.hits(text)
+    def features(self, text: str, found: list | None = None) -> list[float]:
+        found = self.hits(text) if found is None else found
         total = sum(h[3] for h in found)
         return [math.log1p(max(total, 0.0)), 100.0 * total / (len(text) + 200.0), math.log1p(len({h[2] for h in found}))]
 
-    def score(self, text: str) -> float:
-        z = self.lexicon.curve[0] + sum(a * b for a, b in zip(self.lexicon.curve[1:], self.features(text), strict=True))
+    def score(self, text: str, found: list | None = None) -> float:
+        z = self.lexicon.curve[0] + sum(a * b for a, b in zip(self.lexicon.curve[1:], self.features(text, found), strict=True))
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
@@ -127,12 +127,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 5
 def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", text_col: str = "text", id_col: str = "doc_id", sample_rows: int = 6000, lexicon_size: int = 500, min_docs: int = 3) -> Lexicon:
     """A lexicon from at most sample_rows labelled ids; labels other than 0 and 1 are not used, and of an id labelled twice the larger counts.
 
+    Of the rows of one id, the one whose text hashes least is learned from. At most lexicon_size words (of 3 to 40
+    letters) and as many exception phrases are kept, the most telling first: the lexicon is sent to all tasks.
     Texts that are null count as empty. Without both labels among the rows the lexicon is empty and every score 0.
     """
     named = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
-    chosen = bounded_sample(named, "id", sample_rows)
+    chosen = named.join(F.broadcast(bounded_sample(named, "id", sample_rows)), "id", "left_semi")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    rows = texts.select("text", "y")
+    rows = stash(one_of_each(texts, "id", ["text", "y"]).select("text", "y"), "toxic-sample")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text"):
@@ -183,7 +185,7 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", text_col
             x = [matcher.features(t or "") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("y"), *(pa.array([r[i] for r in x], pa.float64()) for i in range(3))], ["y", "a", "b", "c"])
 
-    x = rows.mapInArrow(features, "y int, a double, b double, c double").limit(2 * sample_rows).collect()
+    x = rows.mapInArrow(features, "y int, a double, b double, c double").orderBy("y", "a", "b", "c").collect()  # sample_rows at most
     return Lexicon(mild.weights, mild.exceptions, _logistic(np.array([[r.a, r.b, r.c] for r in x]), np.array([float(r.y) for r in x])))
 
 
@@ -201,8 +203,9 @@ def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", threshold:
         at = names.index(text_col)
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            p = [matcher.score(t or "") for t in texts]
-            hits = [[h[2] for h in matcher.hits(t or "")] if s > 1e-3 else [] for t, s in zip(texts, p, strict=True)]
+            found = [matcher.hits(t or "") for t in texts]
+            p = [matcher.score(t or "", h) for t, h in zip(texts, found, strict=True)]
+            hits = [[h[2] for h in x] for x in found]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64()), pa.array(hits, pa.list_(pa.string()))], [*names, "toxicity", "toxic_hits"])
 
     schema = T.StructType([*rest.schema.fields, T.StructField("toxicity", T.DoubleType()), T.StructField("toxic_hits", T.ArrayType(T.StringType()))])
@@ -210,6 +213,7 @@ def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", threshold:
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of each document, by a lexicon of the labelled rows outside fold 0 of 5. Null texts count as empty; repeated rows each have a row."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0)
     out = score(docs, learn(docs, labels))
