@@ -1,3 +1,4 @@
+import json
 import random
 
 import public_tokenizers
@@ -38,17 +39,11 @@ def test_frame(spark, tokenizer):
 
 
 def test_other_tokenizers_are_refused():
-    import json
-
-    import public_tokenizers
-    import pytest
-    from tokenizers import Tokenizer
-
     spec = json.load(open(public_tokenizers.path("byte_bpe_50k.json")))
     for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}}, {"added_tokens": [spec["added_tokens"][0] | {"lstrip": True}]}):
         with pytest.raises(ValueError):
-            tc.ChunkedCounter(Tokenizer.from_str(json.dumps(spec | change)))
+            ChunkedCounter(Tokenizer.from_str(json.dumps(spec | change)))
     cut = Tokenizer.from_str(json.dumps(spec))
     cut.enable_truncation(5)
     cut.enable_padding(length=9)
-    assert tc.ChunkedCounter(cut).count(["a b c d e f g h", ""]) == [8, 0]
+    assert ChunkedCounter(cut).count(["a b c d e f g h", ""]) == [8, 0]
