@@ -95,3 +95,55 @@ def test_states_part_whatever_the_first_block_holds(spark):
         at = lambda n: sum(x.score for x in hmm_lm.score(df, fold("doc_id", 7) == 2, states=n).collect() if x.held_out)  # noqa: B023, E731
         tokens = 41 * sum(held(i) for i in range(400))
         assert at(4) - at(1) > 0.2 * tokens
+
+
+def plain_counts(model, cls):
+    """Forward and backward over one sequence, step by step."""
+    n, k = len(cls), len(model.start)
+    e = model.emit[cls]
+    a, b, c = np.zeros((n, k)), np.ones((n, k)), np.zeros(n)
+    for t in range(n):
+        a[t] = (a[t - 1] @ model.move if t else model.start) * e[t]
+        c[t] = a[t].sum()
+        a[t] /= c[t]
+    for t in range(n - 2, -1, -1):
+        b[t] = model.move @ (e[t + 1] * b[t + 1]) / c[t + 1]
+    g = a * b
+    moves = sum((np.outer(a[t], e[t + 1] * b[t + 1]) * model.move / c[t + 1] for t in range(n - 1)), np.zeros((k, k)))
+    emit = np.zeros(model.emit.shape)
+    np.add.at(emit, cls, g)
+    return g[0], moves, emit, np.log(c).sum()
+
+
+def test_counts_of_long_texts_are_those_of_the_whole(monkeypatch):
+    model, rng = small_model(3, 6, seed=2), np.random.default_rng(8)
+    length = np.array([1, 23, 8, 7, 60, 2, 16, 17])
+    cls = rng.integers(0, 6, length.sum())
+    want = [sum(x) for x in zip(*(plain_counts(model, x) for x in np.split(cls, np.cumsum(length)[:-1])), strict=True)]
+    for segment, lanes in ((1024, 1 << 19), (8, 1 << 19), (8, 20), (2, 5), (7, 9)):
+        monkeypatch.setattr(hmm_lm, "SEGMENT", segment)
+        monkeypatch.setattr(hmm_lm, "_LANES", lanes)
+        got = hmm_lm.expected(model, cls, length)
+        for x, y in zip(got, want, strict=True):
+            assert np.allclose(x, y, atol=2e-4, rtol=1e-5), segment
+
+
+def test_layout_and_merging_change_nothing(spark, monkeypatch):
+    r = random.Random(2)
+    df = spark.createDataFrame([(i, " ".join(r.choices([f"{'ab'[i % 2]}{j}" for j in range(30)], k=40 if i % 9 else 3000))) for i in range(120)], "doc_id long, text string")
+    a, b = ({x.doc_id: x for x in hmm_lm.score(d, fold("doc_id", 7) == 2, states=3, rounds=6).collect()} for d in (df.repartition(5), df.orderBy("text").coalesce(1)))
+    for i, x in a.items():
+        assert (x.n_tokens, x.n_known, x.train_tokens) == (b[i].n_tokens, b[i].n_known, b[i].train_tokens)
+        assert math.isclose(x.base_score, b[i].base_score, rel_tol=1e-9) and math.isclose(x.score, b[i].score, rel_tol=2e-3)
+
+
+def test_merged_counts():
+    rng, at, n, every = np.random.default_rng(4), np.zeros(0, np.uint64), np.zeros(0, np.int64), Counter()
+    for _ in range(5):
+        held = [(np.unique(rng.integers(0, 50, 20).astype(np.uint64)),) for _ in range(3)]
+        held = [(h, rng.integers(0, 9, len(h))) for (h,) in held]
+        for h, c in held:
+            for x, y in zip(h.tolist(), c.tolist(), strict=True):
+                every[x] += y
+        at, n = hmm_lm._merge(at, n, held)
+    assert dict(zip(at.tolist(), n.tolist(), strict=True)) == dict(every) and (np.diff(at.astype(np.int64)) > 0).all()

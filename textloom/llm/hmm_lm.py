@@ -7,8 +7,10 @@ word: p(text) is the hidden Markov model's probability of the class sequence tim
 
 Training: initial values come from all training texts, dealt to the states by hash of their words; then each
 of `rounds` rounds runs forward-backward over all training texts, sums the expected counts by state in the
-partitions, adds the partitions' sums after one shuffle, and re-estimates. In training, texts of over `SEGMENT`
-tokens are taken as several sequences; scores are always those of the whole text. Words are told apart by 64-bit hashes.
+partitions, adds the partitions' sums after one shuffle, and re-estimates. Texts of over `SEGMENT` tokens are worked
+on in segments side by side; each segment's product of transfer matrices carries the forward and backward values
+over the cuts, so the counts are those of the whole text and memory stays that of segments. Words are told apart
+by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -26,14 +28,16 @@ from textloom.llm.batches import as_buffer, blocks, mix, words
 from textloom.llm.block_dictionary import Local, block_number, bucket_bits, by_frequency, pack, unpack
 from textloom.llm.splits import fold
 from textloom.sources.tables import table
-from textloom.storage import stash
+from textloom.storage import stash, stash_bucketed
 
 CLASS_BITS = 14
 SEGMENT = 1024
 _BLOCK = 8 << 20
-_LANES = 1 << 20  # tokens for which forward and backward values are held at once
+_LANES = 1 << 19  # tokens for which forward and backward values are held at once
+_SCALE = 4  # steps between which forward and backward values are not brought back to 1
 END = np.uint64(0x5EED0F0E0D0C0B0A)
 _SLICE = 1 << 10
+_MERGE = 1 << 20  # words of chunks held before they are merged
 
 
 @dataclass
@@ -72,49 +76,126 @@ def forward(model: Model, cls: np.ndarray, length: np.ndarray) -> np.ndarray:
     return out
 
 
+def _steps(begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray]:
+    """Sequences side by side: their order by falling length, each step's places, and the place of every token."""
+    order, _, on = _lanes(begin, length)
+    edge = np.r_[0, np.cumsum(on)]  # tokens stand by step, then by lane
+    lane = np.empty(len(length), np.int64)
+    lane[order] = np.arange(len(length))
+    step = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+    return order, list(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)), edge[step] + np.repeat(lane, length)
+
+
+def _seen(emit: np.ndarray, cls: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes by place, their emissions scaled to a maximum of 1 at each place, and the scales."""
+    c = np.empty(len(cls), np.int64)
+    c[place] = cls
+    seen = emit[:, c]
+    scale = seen.max(0)
+    seen /= scale
+    return c, seen, scale
+
+
+def _groups(length: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of segments of about _LANES tokens."""
+    end, i = np.cumsum(length), 0
+    while i < len(length):
+        j = max(i + 1, int(np.searchsorted(end, (end[i - 1] if i else 0) + _LANES, "right")))
+        yield i, j
+        i = j
+
+
+def _transfers(move: np.ndarray, emit: np.ndarray, cls: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """For each segment the product of move x emission over its tokens, up to a factor: n x states (before) x states (after)."""
+    states, pull = len(move), np.ascontiguousarray(move.T)
+    out = np.empty((len(length), states, states), np.float32)
+    for i, j in _groups(length):
+        order, cut, place = _steps(begin[i:j], length[i:j])
+        at = np.concatenate([np.arange(b, b + n) for b, n in zip(begin[i:j].tolist(), length[i:j].tolist(), strict=True)])
+        _, seen, _ = _seen(emit, cls[at], place)
+        now = np.repeat(np.eye(states, dtype=np.float32)[:, None, :], j - i, 1)  # after x lane x before
+        for t, (a, b) in enumerate(cut):
+            n = b - a
+            x = (pull @ now[:, :n].reshape(states, -1)).reshape(states, n, states)
+            x *= seen[:, a:b, None]
+            if t % _SCALE == _SCALE - 1:
+                x /= x.max((0, 2))[None, :, None]
+            now[:, :n] = x
+        out[i + order] = now.transpose(1, 2, 0)
+    return out
+
+
 def expected(model: Model, cls: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Baum-Welch counts of the sequences: starts, moves, emissions (classes + 1 x states), and the log likelihood."""
     states = len(model.start)
     starts, moves, emissions, total = np.zeros(states), np.zeros((states, states)), np.zeros(model.emit.shape), 0.0
+    move, emit, start = model.move.astype(np.float32), np.ascontiguousarray(model.emit.T, np.float32), model.start.astype(np.float32)
+    back = np.ascontiguousarray(move.T)
     parts = np.maximum(-(-length // SEGMENT), 1)
     seg = np.full(int(parts.sum()), SEGMENT, np.int64)
-    seg[np.cumsum(parts) - 1] = length - (parts - 1) * SEGMENT
-    begin = np.cumsum(seg) - seg
-    move, emit, start = model.move.astype(np.float32), np.ascontiguousarray(model.emit.T, np.float32), model.start.astype(np.float32)
-    i = 0
-    while i < len(seg):
-        j = max(i + 1, int(np.searchsorted(begin, begin[i] + _LANES)))
+    last = np.cumsum(parts) - 1
+    seg[last] = length - (parts - 1) * SEGMENT
+    begin, head = np.cumsum(seg) - seg, np.zeros(len(seg), bool)
+    head[last - parts + 1] = True
+    before = np.tile(start[:, None], len(seg))  # forward values before each segment, and backward ones after it
+    after = np.ones((states, len(seg)), np.float32)
+    if (parts > 1).any():
+        many = np.flatnonzero(np.repeat(parts > 1, parts))
+        pass_ = np.empty((len(seg), states, states), np.float32)
+        pass_[many] = _transfers(move, emit, cls, begin[many] + head[many], seg[many] - head[many])  # no move leads to a text's first token
+        for k in range(int(parts.max()) - 1):
+            on = (last - parts + 1 + k)[parts > k + 1]
+            x = (before[:, on] if k else before[:, on] * emit[:, cls[begin[on]]]).T[:, None, :] @ pass_[on]
+            before[:, on + 1] = (x[:, 0] / x.sum((1, 2))[:, None]).T
+            on = (last - k)[parts > k + 1]
+            y = pass_[on] @ after[:, on].T[:, :, None]
+            after[:, on - 1] = (y[:, :, 0] / y.max((1, 2))[:, None]).T
+    for i, j in _groups(seg):
         base, end = int(begin[i]), int(begin[j - 1] + seg[j - 1])
-        order, _, on = _lanes(begin[i:j] - base, seg[i:j])
-        edge = np.r_[0, np.cumsum(on)]  # tokens stand by step, then by lane
-        lane = np.empty(j - i, np.int64)
-        lane[order] = np.arange(j - i)
-        step = np.arange(end - base) - np.repeat(begin[i:j] - base, seg[i:j])
-        c = np.empty(end - base, np.int64)
-        c[edge[step] + np.repeat(lane, seg[i:j])] = cls[base:end]
-        seen = emit[:, c]
-        alphas, scales = np.empty((states, len(c)), np.float32), np.empty(len(c), np.float32)
-        cut = list(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True))
+        order, cut, place = _steps(begin[i:j] - base, seg[i:j])
+        c, seen, scale = _seen(emit, cls[base:end], place)
+        first, initial = head[i:j][order], before[:, i:j][:, order]
+        alphas, betas = np.empty((states, len(c)), np.float32), np.empty((states, len(c)), np.float32)
         for t, (a, b) in enumerate(cut):
             alpha = alphas[:, a:b]
-            np.multiply(start[:, None] if t == 0 else move.T @ alphas[:, cut[t - 1][0] : cut[t - 1][0] + b - a], seen[:, a:b], out=alpha)
-            alpha.sum(0, out=scales[a:b])
-            alpha /= scales[a:b]
-        total += float(np.log(scales, dtype=np.float64).sum())
-        seen /= scales
-        beta = np.ones((states, j - i), np.float32)
-        for t in range(len(cut) - 1, 0, -1):
+            if t:
+                np.matmul(back, alphas[:, cut[t - 1][0] : cut[t - 1][0] + b - a], out=alpha)
+            else:
+                alpha[:] = np.where(first, initial, back @ initial)
+            alpha *= seen[:, a:b]
+            if t % _SCALE == _SCALE - 1:
+                norm = alpha.sum(0)
+                alpha /= norm
+                total += float(np.log(norm, dtype=np.float64).sum())
+        n_steps = seg[i:j][order]
+        ends = np.array([cut[n - 1][0] for n in n_steps.tolist()]) + np.arange(j - i)
+        total += float(np.log(alphas[:, ends].sum(0, dtype=np.float64)).sum() + np.log(scale, dtype=np.float64).sum())
+        beta = np.ascontiguousarray(after[:, i:j][:, order])
+        for t in range(len(cut) - 1, -1, -1):
             a, b = cut[t]
-            first = cut[t - 1][0]
-            pull = seen[:, a:b] * beta[:, : b - a]
-            moves += alphas[:, first : first + b - a] @ pull.T
-            alphas[:, a:b] *= beta[:, : b - a]  # the state's probability given the whole sequence
-            beta[:, : b - a] = move @ pull
-        alphas[:, : j - i] *= beta
-        starts += alphas[:, : j - i].sum(1, dtype=np.float64)
+            now = betas[:, a:b]
+            now[:] = beta[:, : b - a]
+            if t:
+                pull = seen[:, a:b] * now
+                np.matmul(move, pull, out=beta[:, : b - a])
+                if t % _SCALE == 0:
+                    beta[:, : b - a] /= beta[:, : b - a].max(0)
+        ahead = np.empty_like(seen)  # what came before each token
+        ahead[:, : j - i] = initial
+        for (a, b), (x, _) in zip(cut[1:], cut[:-1], strict=True):
+            ahead[:, a:b] = alphas[:, x : x + b - a]
+        alphas *= betas  # the states' probabilities given the whole sequence, up to a factor for each token
+        alphas /= alphas.sum(0)
+        starts += alphas[:, : j - i][:, first].sum(1, dtype=np.float64)
         for s in range(states):
             emissions[:, s] += np.bincount(c, weights=alphas[s], minlength=len(emissions))
-        i = j
+        seen *= betas
+        np.matmul(back, ahead, out=betas)
+        betas *= seen
+        seen /= betas.sum(0)
+        if first.any():
+            seen[:, : j - i][:, first] = 0  # no move leads to a text's first token
+        moves += ahead @ seen.T
     return starts, moves * model.move, emissions, total
 
 
@@ -144,6 +225,24 @@ def local_model(cls: np.ndarray, length: np.ndarray, states: int, rounds: int, s
     return model
 
 
+def _merge(words_: np.ndarray, counts: np.ndarray, held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Words in order and their counts, with those of more chunks."""
+    every = np.concatenate([words_, *(h for h, _ in held)])
+    out, at = np.unique(every, return_inverse=True)
+    total = np.zeros(len(out), np.int64)
+    np.add.at(total, at, np.concatenate([counts, *(n for _, n in held)]))
+    return out, total
+
+
+def _bucket_row(bucket: int, words_: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    cls, where = np.unique(token_classes(words_)[counts > 0], return_inverse=True)
+    n, v = np.zeros(len(cls), np.int64), np.bincount(where, minlength=len(cls))
+    np.add.at(n, where, counts[counts > 0])
+    stats = [{"cls": int(a), "n": int(b), "v": int(d)} for a, b, d in zip(cls, n, v, strict=True)]
+    kind = pa.list_(pa.struct([("cls", pa.int32()), ("n", pa.int64()), ("v", pa.int64())]))
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([pack(words_)]), pa.array([pack(counts)]), pa.array([stats], kind)], ["bucket", "hashes", "counts", "stats"])
+
+
 def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the tokens of all rows, each row's end included, and tokens by row."""
     buf, off = as_buffer(column)
@@ -180,7 +279,7 @@ def score(docs: DataFrame, held_out: Column, text_col: str = "text", id_col: str
     bits = bucket_bits(spark)
 
     def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, batch in enumerate(blocks(batches, "text", _BLOCK)):
+        for k, batch in enumerate(blocks(batches, "text", _BLOCK, 1 << 18)):
             tokens, n = _tokens(batch.column("text"))
             held = batch.column("held").to_numpy(zero_copy_only=False).astype(bool)
             own = Local(tokens)
@@ -199,34 +298,51 @@ def score(docs: DataFrame, held_out: Column, text_col: str = "text", id_col: str
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
     made = texts.mapInArrow(to_blocks, f"block long, ids array<{kind}>, held binary, lengths binary, dealt binary, counts binary, local binary, classes binary, chunks array<struct<bucket:int,hashes:binary,train:binary>>")
-    stored = stash(made, "lm-blocks", "none")
-
-    def count(rows: pa.Table) -> pa.Table:
-        hashes = [unpack(x) for x in rows.column("hashes").to_pylist()]
-        train = [unpack(x) for x in rows.column("train").to_pylist()]
-        every, back = np.unique(np.concatenate(hashes), return_inverse=True)
-        c = np.bincount(back, weights=np.concatenate(train)).astype(np.int64)
-        out, at = [], 0
-        for h in hashes:
-            out.append(pack(c[back[at : at + len(h)]]))
-            at += len(h)
-        cls, where = np.unique(token_classes(every)[c > 0], return_inverse=True)
-        n, v = np.bincount(where, weights=c[c > 0]).astype(np.int64), np.bincount(where)
-        stats = [{"cls": int(a), "n": int(b), "v": int(d)} for a, b, d in zip(cls, n, v, strict=True)]
-        blank = [None] * len(out)
-        kind_ = pa.list_(pa.struct([("cls", pa.int32()), ("n", pa.int64()), ("v", pa.int64())]))
-        return pa.table({"block": pa.array([*rows.column("block").to_pylist(), None], pa.int64()), "bucket": pa.array([*rows.column("bucket").to_pylist(), None], pa.int32()), "known": pa.array([*out, None], pa.binary()), "stats": pa.array([*blank, stats], kind_)})
+    stored = stash_bucketed(made, "lm-blocks", "block")  # the end joins by block without moving it again
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A bucket's words and their counts, merged as the chunks come, bucket after bucket."""
+        now, words_, counts, held, size_ = None, np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+        for batch in batches:
+            for bucket, hashes, train in zip(*(batch.column(c).to_pylist() for c in ("bucket", "hashes", "train")), strict=True):
+                if bucket != now:
+                    if now is not None:
+                        yield _bucket_row(now, *_merge(words_, counts, held))
+                    now, words_, counts, held, size_ = bucket, np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+                held.append((unpack(hashes), unpack(train).astype(np.int64)))
+                size_ += len(held[-1][0])
+                if size_ > max(_MERGE, len(words_)):
+                    words_, counts = _merge(words_, counts, held)
+                    held, size_ = [], 0
+        if now is not None:
+            yield _bucket_row(now, *_merge(words_, counts, held))
 
     chunks = stored.select("block", F.explode("chunks").alias("c")).select("block", "c.bucket", "c.hashes", "c.train")
-    answers = stash(chunks.groupBy("bucket").applyInArrow(count, "block long, bucket int, known binary, stats array<struct<cls:int,n:long,v:long>>"), "lm-counts", "none")
+    every = chunks.drop("block").repartition("bucket").sortWithinPartitions("bucket")
+    totals = stash(every.mapInArrow(total, "bucket int, hashes binary, counts binary, stats array<struct<cls:int,n:long,v:long>>"), "lm-counts", "none")
     size = (1 << CLASS_BITS) + 1
     class_n, class_v = np.zeros(size), np.zeros(size)
-    for r in answers.select(F.explode("stats").alias("s")).groupBy("s.cls").agg(F.sum("s.n").alias("n"), F.sum("s.v").alias("v")).collect():  # a row for each class at most
+    for r in totals.select(F.explode("stats").alias("s")).groupBy("s.cls").agg(F.sum("s.n").alias("n"), F.sum("s.v").alias("v")).collect():  # a row for each class at most
         class_n[r.cls], class_v[r.cls] = r.n, r.v
     all_n, all_v = int(class_n.sum()), int(class_v.sum())
     model = _train(stored, (class_n + 1) / (class_n.sum() + size), states, rounds) if all_n else Model(np.ones(1), np.ones((1, 1)), np.full((size, 1), 1 / size))
     shared = spark.sparkContext.broadcast(pickle.dumps((model.start, model.move, model.emit, class_n, class_v)))  # bounded by states and classes
 
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each chunk's counts; a bucket's row of counts comes before its chunks."""
+        words_ = counts = np.zeros(0, np.uint64)
+        for batch in batches:
+            out = []
+            for block, bucket, hashes, c in zip(*(batch.column(c).to_pylist() for c in ("block", "bucket", "hashes", "counts")), strict=True):
+                if c is not None:
+                    words_, counts = unpack(hashes), unpack(c)
+                else:
+                    out.append((block, bucket, pack(counts[np.searchsorted(words_, unpack(hashes))])))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.int32(), pa.binary()))], ["block", "bucket", "known"])
+
+    asked = chunks.select("block", "bucket", "hashes", F.lit(None).cast("binary").alias("counts")).unionByName(totals.select(F.lit(None).cast("long").alias("block"), "bucket", "hashes", "counts"))
+    answers = asked.repartition("bucket").sortWithinPartitions("bucket", F.col("block").asc_nulls_first()).mapInArrow(answer, "block long, bucket int, known binary")
+
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         *parts, n_, v_ = pickle.loads(shared.value)
         model_ = Model(*parts)
@@ -242,7 +358,7 @@ def score(docs: DataFrame, held_out: Column, text_col: str = "text", id_col: str
         total = forward(model_, classes[local], length) / np.log(10) + by_row(share[local])
         return pa.table({"id": left.column("ids").combine_chunks().flatten(), "held_out": pa.array(held), "n_tokens": pa.array(length), "n_known": pa.array(by_row((c > 0).astype(np.int64)[local]).astype(np.int64)), "train_tokens": pa.array(np.full(len(length), all_n, np.int64)), "base_score": pa.array(by_row(base[local])), "score": pa.array(total)})
 
-    both = stored.drop("chunks", "dealt").groupBy("block").cogroup(answers.where(F.col("block").isNotNull()).drop("stats").groupBy("block"))
+    both = stored.drop("chunks", "dealt").groupBy("block").cogroup(answers.groupBy("block"))
     return both.applyInArrow(finish, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("id", id_col)
 
 
