@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 
+from textloom.llm import skew
 from textloom.llm.cuckoo import CuckooFilter
 from textloom.llm.line_dedup import LineIndex, dedup
 
@@ -67,3 +68,16 @@ def test_insertions_and_deletions_are_reversible(spark):
     assert sorted(map(str, index.refs.collect())) == sorted(map(str, fresh.refs.collect()))
     index.filter_bytes = 0  # the way beyond the bound
     assert result(index.apply(frame(rows[:30]))) == brute(rows[:30])
+
+
+def test_hot_lines_and_filters_by_shard(spark, monkeypatch):
+    monkeypatch.setattr(skew, "MOST", 2)
+    rows = corpus(90, seed=8)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    index = LineIndex(spark, 3, 10, shards=4, filter_bytes=0).insert(df)
+    probed, every = index._probed(index.pairs), index.pairs
+    frequent = index.frequent().select("key")
+    assert probed.join(frequent, "key").count() == every.join(frequent, "key").count() and probed.count() < every.count()
+    assert result(index.apply(df)) == brute(rows)
+    none = LineIndex(spark, 999, 10, filter_bytes=-1).insert(df)
+    assert none._probed(none.pairs).count() == 0

@@ -5,6 +5,7 @@ import pytest
 
 from textloom.llm import components as cc
 from textloom.llm import near_dedup as nd
+from textloom.llm import skew
 
 
 def shingle_set(text, k):
@@ -101,3 +102,24 @@ def test_small_sets_in_crowded_buckets(spark, monkeypatch):
         rows += [(len(rows), " ".join(core)), (len(rows) + 1, " ".join([*core, f"{g}z"]))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert result(nd.near_duplicates(df, 2)) == brute(rows, 2)
+
+
+def test_hot_keys_small_tiles_and_shuffled_ids(spark, monkeypatch):
+    monkeypatch.setattr(skew, "MOST", 2)
+    for name, value in (("_PAIRS", 2), ("BROADCAST_IDS", 0), ("_TILE_BYTES", 200), ("_TILE", 5)):
+        monkeypatch.setattr(nd, name, value)
+    rows = corpus(9)
+    shared = [f"s{i}" for i in range(40)]
+    rows += [(len(rows) + i, " ".join([*shared, *(f"{i // 2}x{j}" for j in range(8)), f"{i}y"])) for i in range(40)]
+    assert result(nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2)) == brute(rows, 2)
+
+
+def test_join_dealt(spark, monkeypatch):
+    monkeypatch.setattr(skew, "MOST", 3)
+    left = spark.createDataFrame([(k, i) for k, n in ((1, 50), (2, 3), (None, 9), (4, 7)) for i in range(n)], "k int, i int")
+    right = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, "d"), (None, "e")], "k int, v string")
+    want = sorted(map(str, left.join(right, "k").select("k", "i", "v").collect()))
+    assert sorted(map(str, skew.join_dealt(left, right, "k", "i").select("k", "i", "v").collect())) == want
+    hot = skew.hot_keys(left.groupBy("k").count(), "k", "count")
+    assert {(r.k, r._parts) for r in hot.collect() if r.k} == {(1, 17), (4, 3)}
+    assert sorted(map(str, skew.join_dealt(left, right, "k", "i", hot).select("k", "i", "v").collect())) == want

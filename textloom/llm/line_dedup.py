@@ -6,9 +6,10 @@ of the keys a cuckoo filter of the keys that are frequent now. Inserting documen
 them lowers counts; keys that cross the threshold go into or out of their shard's filter, so that a document
 that left no longer costs another its lines. A filter that gets too full is built anew from the exact table.
 
-Dedup probes the filters first, so that only pairs with (almost surely) frequent keys are shuffled to the
-exact table, which then decides. The filters are broadcast while they hold at most `filter_bytes`; beyond
-that all pairs are joined with the exact table, with the same result.
+Dedup probes the filters first, so that only pairs with (almost surely) frequent keys reach the exact table,
+which then decides. The filters are broadcast while they hold at most `filter_bytes`; beyond that each shard's
+pairs are dealt to several tasks, which read the shard's filter before them. Keys of very many documents are dealt
+to several tasks too.
 """
 
 from __future__ import annotations
@@ -22,10 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.llm.cuckoo import CuckooFilter
+from textloom.llm.skew import hot_keys, join_dealt
 from textloom.sources.tables import table
 from textloom.storage import stash
 
 _ENDS = " \t\n\x0b\x0c\r"
+#: Tasks that a shard's pairs are dealt to where the filters are not broadcast.
+_SLICES = 8
 
 
 def line_key(line: str, min_chars: int) -> bytes | None:
@@ -142,7 +146,7 @@ class LineIndex:
         """The pairs whose key may be frequent."""
         size = self.filters.agg(F.sum(F.length("filter"))).first()[0] or 0
         if size > self.filter_bytes:
-            return pairs
+            return self._probed_by_shard(pairs)
         shared = self.spark.sparkContext.broadcast([(r.shard, bytes(r.filter)) for r in self.filters.collect()])  # at most filter_bytes
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,10 +162,34 @@ class LineIndex:
 
         return pairs.select("key", "doc", self._shard().alias("shard")).mapInArrow(run, "key binary, doc long")
 
+    def _probed_by_shard(self, pairs: DataFrame) -> DataFrame:
+        """As _probed, with one shard's filter at a time in a task. A shard's pairs are dealt to _SLICES tasks by document."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, own = None, None
+            for batch in batches:
+                shards, given = batch.column("shard").to_numpy(), batch.column("filter").is_valid().to_numpy(zero_copy_only=False)
+                cut = np.flatnonzero(given | (np.r_[-1 if now is None else now, shards[:-1]] != shards))
+                for a, b in zip(np.r_[0, cut], np.r_[cut, len(shards)], strict=True):
+                    if a == b:
+                        continue
+                    if shards[a] != now or given[a]:
+                        now, own = shards[a], None
+                    if given[a]:
+                        own, a = CuckooFilter.from_bytes(batch.column("filter")[int(a)].as_py()), a + 1
+                    if own is not None and b > a:
+                        part = batch.slice(int(a), int(b - a)).select(["key", "doc"])
+                        yield part.filter(pa.array(own.contains(_hashes(part.column("key").to_pylist()))))
+
+        asked = pairs.select(self._shard().alias("shard"), F.pmod(F.xxhash64("doc"), F.lit(_SLICES)).cast("int").alias("slice"), F.lit(None).cast("binary").alias("filter"), "key", "doc")
+        first = self.filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(_SLICES - 1))).alias("slice"), "filter", F.lit(None).cast("binary").alias("key"), F.lit(None).cast("long").alias("doc"))
+        return asked.unionByName(first).repartition("shard", "slice").sortWithinPartitions("shard", "slice", F.col("filter").isNull()).mapInArrow(run, "key binary, doc long")
+
     def dropped(self, pairs: DataFrame | None = None) -> DataFrame:
         """(doc, keys): the keys whose lines each document loses, those frequent ones that a larger document holds."""
         probed = self._probed(self.pairs if pairs is None else pairs)
-        hit = probed.join(self.frequent().select("key", "max_doc"), "key").where(F.col("doc") != F.col("max_doc"))
+        hot = hot_keys(self.frequent(), "key", "n_docs")
+        hit = join_dealt(probed, self.frequent().select("key", "max_doc"), "key", "doc", hot).where(F.col("doc") != F.col("max_doc"))
         return hit.groupBy("doc").agg(F.collect_set("key").alias("keys"))
 
     def apply(self, docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", of_index: bool = False) -> DataFrame:

@@ -12,7 +12,7 @@
    links: for up to `STARS` rounds another member, drawn by hash, is tried with those of other components.
 5. What is left is compared in tiles: every pair of a bucket that still lies in two components, in the first
    bucket that it shares, by the packed bits of `FINE` minima and, where their estimate passes or a set is small, on the
-   full sets. Only links leave a tile, so no pair that shares a band key and could join two components is left
+   full sets. Tiles are bounded by rows and by the bytes of their sets. Only links leave a tile, so no pair that shares a band key and could join two components is left
    untried, and no list of pairs is made.
 
 A pair at the threshold of 0.8 shares no band key with probability (1 - 0.8 ** 4) ** 28 = 4e-7.
@@ -30,11 +30,16 @@ from pyspark.sql import functions as F
 
 from textloom.llm.batches import as_buffer, blocks, distinct_by_row, mix, shingles, words
 from textloom.llm.components import components
+from textloom.llm.skew import hot_keys, join_dealt
 from textloom.sources.tables import table
 from textloom.storage import stash
 
 MINIMA, BANDS, ROWS, BITS = 128, 28, 4, 2
 _TILE = 1024
+#: Bytes of full sets that one side of a tile has, but for a set that is larger by itself.
+_TILE_BYTES = 16 << 20
+#: Pairs of one document that go to one task.
+_PAIRS = 256
 #: Rounds in which buckets of several components try one member more.
 STARS = 4
 #: Ids of candidates are broadcast to the scan of the texts up to this many, and shuffled beyond.
@@ -170,7 +175,9 @@ def confirm(docs: DataFrame, pairs: DataFrame, k: int, percent: int, text_col: s
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([values[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["id", "shingles"])
 
     sets = stash(_texts(docs, ids, text_col, id_col).mapInArrow(to_sets, "id long, shingles binary"), "near-sets", "none")
-    both = pairs.select("a", "b").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
+    both = join_dealt(pairs.select("a", "b"), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b", "a", most=_PAIRS)
+    hot = hot_keys(pairs.groupBy("a").agg(F.count("*").alias("n")), "a", most=_PAIRS)
+    both = join_dealt(both, sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a", "b", hot)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,9 +207,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text_col: st
     named = all_rows.select("id", "n_shingles", "f0", "f1").join(classes.where("n > 1").drop("n"), ["f0", "f1", "n_shingles"], "left").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep"))
     reps = all_rows.where(usable).join(classes.select("f0", "f1", "n_shingles", F.col("rep").alias("id")), ["f0", "f1", "n_shingles", "id"], "left_semi").dropDuplicates(["id", "f0", "f1"])
     reps = stash(reps.select("id", *sign, "n_shingles", "bands"), "near-representatives")
-    entries = reps.select("id", F.explode("bands").alias("band"))
-    buckets = entries.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1")
-    members = stash(entries.join(buckets, "band"), "near-buckets")
+    entries = reps.select("id", "n_shingles", F.explode("bands").alias("band"))
+    buckets = stash(entries.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1"), "near-bands")
+    hot = stash(hot_keys(buckets, "band"), "near-hot")
+    members = stash(join_dealt(entries, buckets, "band", "id", hot), "near-buckets")
     tried = stash(members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "near-tried")
     bits = reps.select("id", *sign, "n_shingles")
 
@@ -210,16 +218,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text_col: st
         left, right = ([F.col(f"{side}{i}") for i in range(len(sign))] for side in "xy")
         one = bits.toDF("b", *(f"y{i}" for i in range(len(sign))), "yn")
         two = bits.toDF("a", *(f"x{i}" for i in range(len(sign))), "xn")
-        return pairs.join(one, "b").join(two, "a").where((F.least("xn", "yn") < SMALL) | (estimate(left, right) >= least_estimate(percent / 100))).select("a", "b")
+        dealt = hot_keys(pairs.groupBy("a").agg(F.count("*").alias("n")), "a")
+        return join_dealt(join_dealt(pairs, one, "b", "a"), two, "a", "b", dealt).where((F.least("xn", "yn") < SMALL) | (estimate(left, right) >= least_estimate(percent / 100))).select("a", "b")
 
     links = stash(confirm(docs, stash(likely(tried), "near-likely"), k, percent, text_col, id_col), "near-links")
     found = components(links)
     wide = stash(members.where("n > 2"), "near-wide")
+    place = lambda: wide.join(found, wide["id"] == found["node"], "left").select("band", "id", "n", "n_shingles", F.coalesce("component", "id").alias("component"))
     for turn in range(STARS):  # buckets that still touch several components: another member is tried with those of other components
-        placed = wide.join(found, wide["id"] == found["node"], "left").select("band", "id", "n", F.coalesce("component", "id").alias("component"))
+        placed = place()
         heads = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by(F.struct("id", "component"), F.xxhash64("id", "band", F.lit(turn))).alias("head"))
         heads = heads.where("low <> high").select("band", F.col("head.id").alias("h"), F.col("head.component").alias("hc"))
-        fresh = placed.join(heads, "band").where("component <> hc").select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b")).distinct()
+        fresh = join_dealt(placed, heads, "band", "id", hot).where("component <> hc").select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b")).distinct()
         fresh = stash(fresh.join(tried, ["a", "b"], "left_anti"), "near-tried")
         tried = tried.unionByName(fresh)
         more = stash(confirm(docs, stash(likely(fresh), "near-likely"), k, percent, text_col, id_col), "near-links")
@@ -227,11 +237,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text_col: st
             break
         links = links.unionByName(more)
         found = components(links)
-    placed = wide.join(found, wide["id"] == found["node"], "left").select("band", "id", "n", F.coalesce("component", "id").alias("component"))
-    split = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-    rest = stash(placed.join(split, "band"), "near-rest")
+    placed = place()
+    split = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum("n_shingles").alias("weight")).where("low <> high").select("band", "weight")
+    rest = stash(join_dealt(placed, split, "band", "id", hot), "near-rest")
     fine = stash(fine_signatures(docs, stash(rest.select("id").distinct(), "near-ids"), k, text_col, id_col), "near-fine")
-    tiles = F.ceil(F.col("n") / _TILE).cast("int")
+    tiles = F.ceil(F.greatest(F.col("n") / _TILE, F.col("weight") * 8 / _TILE_BYTES)).cast("int")
     tile = F.pmod(F.xxhash64("id"), tiles).cast("int")
     whole = rest.join(fine, "id")
     dealt = whole.select("band", "id", "component", "bands", "fine", "shingles", tile.alias("t"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("u"))
