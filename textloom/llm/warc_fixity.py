@@ -1,10 +1,13 @@
 """WARC fixity: Merkle trees over records and ordered offset ranges, compared from the root down.
 
-A replica's leaves are SHA-256 of a zero byte and the record. In order of their ids (ties: of their hashes)
-the records have positions and byte offsets, found by range partitions and one total for each partition, not
-by a single task. A node covers up to `fan` neighbours of the level below: the hash of a one byte, its
-children's hashes in order; with it go the offsets it spans. An audit lays both replicas out by the first
-one's manifest, compares the roots, and goes on only below nodes that differ, down to the records.
+Each replica has a tree of its own. Its leaves are SHA-256 of a zero byte and the record, in order of ids and hashes,
+equal records folded into one leaf with a count; positions and byte offsets are running sums over range partitions, so
+no task sees all rows. A leaf whose own hash is a multiple of `fan` begins a node, of `fan` ** 2 one of the level
+above, and so on: about `fan` children make a node, and a record lost or added moves no boundary but its own. A node's
+hash covers its children's hashes, the byte ranges they span within it and their copies; nodes are known by the record
+that they begin with. An audit compares the roots and goes on only below nodes that differ, in both replicas, down to
+the records; it gives the byte ranges that differ on each level. Records are laid out by id: an archive's own order
+of records is not audited.
 """
 
 from __future__ import annotations
@@ -33,12 +36,17 @@ def record_of(id_: Column, url: Column, body: Column) -> Column:
 
 
 def write_warc(records: DataFrame, path: str, record_col: str = "record") -> None:
-    """Write records (text bodies) as WARC files, one for each partition."""
-    records.select(F.regexp_replace(F.decode(record_col, "UTF-8"), "\r\n\r\n$", "").alias("value")).write.option("lineSep", "\r\n\r\n").text(path)
+    """Write records, whatever their bytes, as WARC files, one for each partition. Null records are left out."""
+    body = F.substring(F.col(record_col), F.lit(1), F.length(record_col) - 4)  # all but the last line ends, which the writer puts there
+    records.where(F.col(record_col).isNotNull()).select(body.cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").text(path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(file, byte_offset, record_id, url, record, body) of the records of plain WARC files; each file is held in one task."""
+    """(file, byte_offset, record_id, url, record, body) of the records of plain WARC files.
+
+    Each file is one row of a task: files should be of some hundred MB at most. An empty file has no records; a record
+    without the header of its id or url has null there; bytes that are no record raise ValueError.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field_ = lambda head, name: (m.group(1).decode() if (m := re.search(rb"(?mi)^" + name + rb":[ \t]*(.*?)\r$", head)) else None)
@@ -60,84 +68,152 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, "file string, byte_offset long, record_id string, url string, record binary, body binary")
 
 
-def leaves(records: DataFrame, id_col: str, record_col: str = "record") -> DataFrame:
-    """(id, turn, n_bytes, leaf, position, byte_offset) of each record; turn: its place among those of its id."""
-    hashed = records.select(F.col(id_col).alias("id"), F.length(record_col).cast("long").alias("n_bytes"), F.sha2(F.concat(F.lit(b"\x00"), F.col(record_col)), 256).alias("leaf"))
-    kind = hashed.schema["id"].dataType.simpleString()
+def running(df: DataFrame, order: list[str], sums: list[str]) -> DataFrame:
+    """df with the columns `sums` summed over all rows before, in order. Ranges of rows are summed apart, then one total for each is added."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = offset = 0
-        part = TaskContext.get().partitionId()
+        part, at = TaskContext.get().partitionId(), dict.fromkeys(sums, 0)
         for batch in batches:
-            n = batch.column("n_bytes").to_numpy().astype(np.int64)
-            sums = np.cumsum(n)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(n), part, np.int32)), pa.array(at + np.arange(len(n))), pa.array(offset + sums - n)], ["id", "n_bytes", "leaf", "part", "position", "byte_offset"])
-            at, offset = at + len(n), offset + int(sums[-1]) if len(n) else offset
-
-    ordered = hashed.repartitionByRange(F.col("id").asc_nulls_first(), "leaf").sortWithinPartitions(F.col("id").asc_nulls_first(), "leaf")
-    local = stash(ordered.mapInArrow(run, f"id {kind}, n_bytes long, leaf string, part int, position long, byte_offset long"), "warc-leaves")
-    totals = local.groupBy("part").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("b")).orderBy("part").collect()  # a row for each partition
-    base, at, offset = [], 0, 0
+            made = []
+            for c in sums:
+                n = batch.column(c).to_numpy().astype(np.int64)
+                made += [pa.array(n), pa.array(at[c] + np.cumsum(n) - n)]
+                at[c] += int(n.sum())
+            rest = [batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*rest, *made, pa.array(np.full(batch.num_rows, part, np.int32))], [*names, *(x for c in sums for x in (f"_{c}", c)), "_part"])
+
+    names = [c for c in df.columns if c not in sums]
+    by = [F.col(c).asc_nulls_first() for c in order]
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in names), *(f"`_{c}` long, `{c}` long" for c in sums), "_part int"])
+    local = stash(df.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(run, schema), "running")
+    totals = local.groupBy("_part").agg(*(F.sum(f"_{c}").alias(c) for c in sums)).orderBy("_part").collect()  # a row for each partition
+    base, at = [], [0] * len(sums)
     for r in totals:
-        base.append((r.part, at, offset))
-        at, offset = at + r.n, offset + r.b
-    small = F.broadcast(records.sparkSession.createDataFrame(base, "part int, p long, o long"))
-    placed = local.join(small, "part").select("id", "n_bytes", "leaf", (F.col("position") + F.col("p")).alias("position"), (F.col("byte_offset") + F.col("o")).alias("byte_offset"))
-    begin = placed.groupBy("id").agg(F.min("position").alias("first"))
-    out = placed.join(begin.withColumnRenamed("id", "id_"), F.col("id").eqNullSafe(F.col("id_"))).drop("id_")
-    return stash(out.withColumn("turn", F.col("position") - F.col("first")).drop("first"), "warc-placed")
+        base.append((r._part, *at))
+        at = [x + r[c] for x, c in zip(at, sums, strict=True)]
+    small = F.broadcast(df.sparkSession.createDataFrame(base, ", ".join(["_part int", *(f"_b{i} long" for i in range(len(sums)))])))
+    return local.join(small, "_part").select(*names, *((F.col(c) + F.col(f"_b{i}")).alias(c) for i, c in enumerate(sums)))
+
+
+def leaves(records: DataFrame, id_col: str, record_col: str = "record", height: int = 1, fan: int = FAN) -> DataFrame:
+    """(id, leaf, n_bytes, copies, position, byte_offset, u1 ..) of the distinct records in order; u1 ..: the numbers of the nodes they lie in."""
+    record = F.coalesce(F.col(record_col), F.lit(b""))
+    hashed = records.select(F.col(id_col).alias("id"), F.length(record).cast("long").alias("n_bytes"), F.sha2(F.concat(F.lit(b"\x00"), record), 256).alias("leaf"))
+    distinct = hashed.groupBy("id", "leaf", "n_bytes").agg(F.count("*").alias("copies"))
+    mark = F.xxhash64("id", "leaf")
+    marks = [(F.pmod(mark, F.lit(fan**level)) == 0).cast("long").alias(f"m{level}") for level in range(1, height + 1)]
+    sized = distinct.select("id", "leaf", "n_bytes", "copies", F.col("copies").alias("position"), (F.col("copies") * F.col("n_bytes")).alias("byte_offset"), *marks, *(m.alias(f"u{i}") for i, m in enumerate(marks, 1)))
+    summed = running(sized, ["id", "leaf", "n_bytes"], ["position", "byte_offset", *(f"u{i}" for i in range(1, height + 1))])
+    up = [(F.col(f"u{i}") + F.col(f"m{i}")).alias(f"u{i}") for i in range(1, height + 1)]
+    return stash(summed.select("id", "leaf", "n_bytes", "copies", "position", "byte_offset", *up), "warc-leaves")
 
 
 @dataclass
 class Tree:
-    """Node tables from the leaves (level 0) to the root: (node, hash, begin, end); fan as built."""
+    """A replica's leaves and its node tables from level 1 up: (number, key, hash, begin, end, parent)."""
 
+    leaves: DataFrame
     levels: list[DataFrame]
-    fan: int
+    root: str | None
 
-    def root(self) -> str | None:
-        row = self.levels[-1].orderBy("node").first()
-        return row.hash if row else None
 
+def _hex(x: Column) -> Column:
+    return F.lpad(F.hex(x), 16, "0")
 
-def tree(placed: DataFrame, height: int, fan: int = FAN) -> Tree:
-    """The tree over (position, leaf, byte_offset, n_bytes) with `height` levels above the leaves."""
-    levels = [placed.select(F.col("position").alias("node"), F.col("leaf").alias("hash"), F.col("byte_offset").alias("begin"), (F.col("byte_offset") + F.col("n_bytes")).alias("end"))]
-    for _ in range(height):
-        children = F.transform(F.array_sort(F.collect_list(F.struct("node", "hash"))), lambda x: x["hash"])
-        up = levels[-1].groupBy(F.floor(F.col("node") / fan).alias("node")).agg(F.sha2(F.concat(F.lit(b"\x01"), F.unhex(F.array_join(children, ""))), 256).alias("hash"), F.min("begin").alias("begin"), F.max("end").alias("end"))
-        levels.append(stash(up, "warc-level"))
-    return Tree(levels, fan)
 
+def _hash(children: Column, begin: Column) -> Column:
+    """SHA-256 of a one byte and the children in order: hash, begin after the node's own begin, length, number of copies."""
+    parts = F.transform(F.array_sort(children), lambda c: F.concat(c["hash"], _hex(c["begin"] - begin), _hex(c["end"] - c["begin"]), _hex(c["copies"])))
+    return F.sha2(F.concat(F.lit(b"\x01"), F.unhex(F.array_join(parts, ""))), 256)
 
-def audit(first: DataFrame, second: DataFrame, id_col: str, record_col: str = "record", fan: int = FAN) -> DataFrame:
-    """One row for each record of either replica: id, turn, position, byte_offset, n_bytes, sha256, other_sha256, status.
 
-    status: intact, corrupt (both have the record, hashes differ), missing (only the first has it) or extra
-    (only the second; no position). Records of one id are matched in order of their hashes. Equal roots end
-    the audit at once; two empty replicas give no rows.
-    """
-    one = leaves(first, id_col, record_col)
-    two = leaves(second, id_col, record_col)
-    manifest = one.select(F.col("id").alias("id_"), F.col("turn").alias("turn_"), F.col("position").alias("position_"), F.col("byte_offset").alias("offset_"), F.col("n_bytes").alias("bytes_"))
-    laid = stash(two.join(manifest, F.col("id").eqNullSafe(F.col("id_")) & (F.col("turn") == F.col("turn_")), "left"), "warc-laid")
-    n, height = one.count(), 1
+def tree(placed: DataFrame, height: int) -> Tree:
+    """The tree over a replica's leaves with `height` levels of nodes below the root."""
+    key = F.concat_ws(":", "leaf", F.coalesce(F.col("id").cast("string"), F.lit("null")))
+    now = placed.select("position", key.alias("key"), F.col("leaf").alias("hash"), F.col("byte_offset").alias("begin"), (F.col("byte_offset") + F.col("copies") * F.col("n_bytes")).alias("end"), "copies", *(f"u{i}" for i in range(1, height + 1)))
+    levels: list[DataFrame] = []
+    for level in range(1, height + 1):
+        rest = [f"u{i}" for i in range(level + 1, height + 1)]
+        up = now.groupBy(F.col(f"u{level}").alias("number")).agg(
+            F.collect_list(F.struct("position", "hash", "begin", "end", "copies")).alias("children"), F.min_by("key", "position").alias("key"), F.min("position").alias("position"), F.min("begin").alias("begin"), F.max("end").alias("end"), *(F.min(c).alias(c) for c in rest)
+        )
+        named = F.when(F.col("number") == 0, "first").otherwise(F.col("key"))  # what comes before the first boundary
+        up = up.select("number", named.alias("key"), "position", _hash(F.col("children"), F.col("begin")).alias("hash"), "begin", "end", F.lit(1).cast("long").alias("copies"), *rest)
+        levels.append(now := stash(up, "warc-level"))
+    top = now.agg(F.collect_list(F.struct("position", "hash", "begin", "end", "copies")).alias("children"), F.min("begin").alias("begin")).select(_hash(F.col("children"), F.col("begin")).alias("hash"), F.size("children").alias("n")).first()
+    return Tree(placed, levels, top.hash if top.n else None)
+
+
+@dataclass
+class Comparison:
+    """records: as audit gives them. ranges: (level, begin, end, other_begin, other_end) of the byte ranges that differ, null where a replica has no such range."""
+
+    records: DataFrame
+    ranges: DataFrame
+    root: str | None
+    other_root: str | None
+
+
+def _matched(left: DataFrame, order: str) -> DataFrame:
+    """Rows of (k, leaf, n, ..) once for each of n copies, with their place among those of k."""
+    from textloom.llm.skew import join_dealt
+
+    summed = running(left.withColumn("g", F.col("n")), ["k", "leaf"], ["g"])
+    first = summed.groupBy("k").agg(F.min("g").alias("first"))
+    every = join_dealt(summed, first, "k", "leaf").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    return every.withColumn(order, F.col("g") - F.col("first") + F.col("i"))
+
+
+def compare(first: DataFrame, second: DataFrame, id_col: str, record_col: str = "record", fan: int = FAN) -> Comparison:
+    n, height = max(first.count(), second.count()), 1
     while fan**height < n:
         height += 1
-    a = tree(one, height, fan)
-    b = tree(laid.where("position_ is not null").select(F.col("position_").alias("position"), "leaf", F.col("offset_").alias("byte_offset"), F.col("bytes_").alias("n_bytes")), height, fan)
-    bad: DataFrame | None = None
-    for level in range(height, -1, -1):
-        x, y = a.levels[level].select("node", F.col("hash").alias("x")), b.levels[level].select("node", F.col("hash").alias("y"))
-        if bad is not None:
-            x, y = (z.withColumn("up", F.floor(F.col("node") / fan)).join(bad.select(F.col("node").alias("up")), "up", "left_semi").drop("up") for z in (x, y))
-        bad = stash(x.join(y, "node", "full").where(~F.col("x").eqNullSafe(F.col("y"))), "warc-differ")
-        if bad.isEmpty():
-            break
-    state = F.when(F.col("node").isNull(), "intact").when(F.col("y").isNull(), "missing").otherwise("corrupt")
-    known = one.join(bad, one["position"] == bad["node"], "left").select("id", "turn", "position", "byte_offset", "n_bytes", F.col("leaf").alias("sha256"), F.when(F.col("node").isNull(), F.col("leaf")).otherwise(F.col("y")).alias("other_sha256"), state.alias("status"))
-    extra = laid.where("position_ is null").select("id", "turn", F.lit(None).cast("long").alias("position"), F.lit(None).cast("long").alias("byte_offset"), "n_bytes", F.lit(None).cast("string").alias("sha256"), F.col("leaf").alias("other_sha256"), F.lit("extra").alias("status"))
-    return known.unionByName(extra).withColumnRenamed("id", id_col)
+    a, b = (tree(leaves(x, id_col, record_col, height, fan), height) for x in (first, second))
+    spark = first.sparkSession
+    ranges = spark.createDataFrame([], "level int, begin long, end long, other_begin long, other_end long")
+    key = F.coalesce(F.concat(F.lit("v"), F.col("id").cast("string")), F.lit("n")).alias("k")
+    cols = ["k", "id", "leaf", "n_bytes", "n", "position", "byte_offset"]
+    x, y = (t.leaves.select(key, "id", "leaf", "n_bytes", F.col("copies").alias("n"), "position", "byte_offset", "u1") for t in (a, b))
+    if a.root == b.root:
+        x, y = x.limit(0), y.limit(0)
+    else:
+        bad = None
+        for level in range(height, 0, -1):
+            p, q = (t.levels[level - 1].select("number", "key", "hash", "begin", "end", *([f"u{level + 1}"] if level < height else [])) for t in (a, b))
+            if bad is not None:
+                p, q = (z.join(bad.where(f"{side} is not null").select(F.col(side).alias(f"u{level + 1}")), f"u{level + 1}", "left_semi").drop(f"u{level + 1}") for z, side in ((p, "x"), (q, "y")))
+            q = q.toDF("y", "key", "other_hash", "other_begin", "other_end")
+            both = p.withColumnRenamed("number", "x").join(q, "key", "full").where(~F.col("hash").eqNullSafe(F.col("other_hash")))
+            bad = stash(both.select("x", "y", "begin", "end", "other_begin", "other_end"), "warc-differ")
+            ranges = ranges.unionByName(bad.select(F.lit(level).alias("level"), "begin", "end", "other_begin", "other_end"))
+        x, y = (z.join(bad.where(f"{side} is not null").select(F.col(side).alias("u1")), "u1", "left_semi") for z, side in ((x, "x"), (y, "y")))
+    x, y = x.select(cols), y.select(F.col("k").alias("k_"), F.col("leaf").alias("leaf_"), *(F.col(c).alias(f"{c}_") for c in ("id", "n_bytes", "n")))
+    both = stash(x.join(y, (F.col("k") == F.col("k_")) & (F.col("leaf") == F.col("leaf_")) & (F.col("n_bytes") == F.col("n_bytes_")), "full"), "warc-both")
+    same = F.least(F.coalesce("n", F.lit(0)), F.coalesce("n_", F.lit(0)))
+    here = both.where(F.coalesce("n", F.lit(0)) > same).select("k", "id", "leaf", "n_bytes", (F.col("n") - same).alias("n"), (F.col("position") + same).alias("position"))
+    there = both.where(F.coalesce("n_", F.lit(0)) > same).select(F.col("k_").alias("k"), F.col("id_").alias("id"), F.col("leaf_").alias("leaf"), F.col("n_bytes_").alias("n_bytes"), (F.col("n_") - same).alias("n"))
+    lost = _matched(here, "turn").select("k", "turn", (F.col("position") + F.col("i")).alias("p"))
+    found = _matched(there, "turn").select("k", "turn", F.col("id").alias("other_id"), F.col("leaf").alias("other"), F.col("n_bytes").alias("other_bytes"))
+    changed = stash(lost.join(found, ["k", "turn"], "full").select("p", "other_id", "other", "other_bytes"), "warc-changed")
+    every = a.leaves.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).select("id", (F.col("position") + F.col("i")).alias("position"), (F.col("byte_offset") + F.col("i") * F.col("n_bytes")).alias("byte_offset"), "n_bytes", F.col("leaf").alias("sha256"))
+    state = F.when(F.col("p").isNull(), "intact").when(F.col("other").isNull(), "missing").otherwise("corrupt")
+    known = every.join(changed.where("p is not null"), F.col("position") == F.col("p"), "left")
+    known = known.select("id", "position", "byte_offset", "n_bytes", "sha256", F.when(F.col("p").isNull(), F.col("sha256")).otherwise(F.col("other")).alias("other_sha256"), state.alias("status"))
+    null = lambda kind: F.lit(None).cast(kind)
+    extra = changed.where("p is null").select(F.col("other_id").alias("id"), null("long").alias("position"), null("long").alias("byte_offset"), F.col("other_bytes").alias("n_bytes"), null("string").alias("sha256"), F.col("other").alias("other_sha256"), F.lit("extra").alias("status"))
+    return Comparison(known.unionByName(extra).withColumnRenamed("id", id_col), ranges, a.root, b.root)
+
+
+def audit(first: DataFrame, second: DataFrame, id_col: str, record_col: str = "record", fan: int = FAN) -> DataFrame:
+    """One row for each record of either replica: id, position, byte_offset, n_bytes, sha256, other_sha256, status.
+
+    status: intact, corrupt (both have a record of the id, hashes differ), missing (only the first has it) or extra
+    (only the second; no position, its own n_bytes). Equal records of one id, null ids included, are matched first,
+    the others of that id in order of their hashes. A null record counts as empty. Repeated records have a row each. Equal roots end the audit at
+    once; two empty replicas give no rows.
+    """
+    return compare(first, second, id_col, record_col, fan).records
 
 
 def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
