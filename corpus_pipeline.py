@@ -31,13 +31,17 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, similarity 0.8): the one of least doc_id, once.
+    """One document of each group of near duplicates (five words, similarity 0.8): the one of least doc_id.
 
-    Rows with a null doc_id belong to no group and all stay; of rows with the same doc_id one stays.
+    Rows with a null doc_id belong to no group and all stay. Rows of one doc_id are one document: its equal texts
+    stay once, with the other columns that hash least, and its different texts all stay.
     """
-    kept = near_dedup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull())
-    return named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    kept = near_dedup.near_duplicates(docs).where("kept and doc_id is not null")
+    ids = stash(kept.groupBy("doc_id").agg(F.count("*").alias("_n")), "kept-ids")
+    once = docs.join(ids.where("_n = 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    often = docs.join(ids.where("_n > 1").select("doc_id"), "doc_id", "left_semi")
+    often = often.groupBy("doc_id", "text").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_r")).select("_r.*")
+    return once.unionByName(often).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
