@@ -71,3 +71,23 @@ def test_odd_rows_pass(spark, tmp_path):
         for _, stage in cp.STAGES:
             docs = stage(spark, docs, str(tmp_path))
         assert docs.count() == n
+
+
+def test_rows_of_one_id(spark):
+    rows = [(1, "a b c d e f g", "en"), (1, "a b c d e f g", "de"), (1, "quite another text than the first one", "en"), (2, "A B c d e f g", "en"), (3, "one more text that nobody else has", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    picks = {tuple(sorted(map(str, cp.keep_one_of_each_group(spark, d, SF).collect()))) for d in (df, df.orderBy("lang"), df.repartition(3))}
+    assert len(picks) == 1
+    assert sorted((r.doc_id, r.text[:5]) for r in cp.keep_one_of_each_group(spark, df, SF).collect()) == [(1, "a b c"), (1, "quite"), (3, "one m")]
+
+
+def test_run_equals_the_stages_by_hand(stages):
+    """Toxicity as scored, then every stage by brute force."""
+    rows = [(r.doc_id, r.text) for r in stages[1].collect()]
+    rows = [(int(i), text) for i, _, _, text in brute_lines(rows, 5, 40)]
+    texts = dict(rows)
+    rows = [(int(i), texts[int(i)]) for i, _, _, kept in brute_near(rows, 5) if kept]
+    items = [(r.item_id, r.text) for r in table(stages[0].sparkSession, SF, "benchmark").collect()]
+    gone = {int(d) for d, *_ in brute_leaks(rows, items)}
+    want = {i: hashlib.sha256(t.encode()).hexdigest() for i, t in rows if i not in gone}
+    assert {r.doc_id: r.decoded_sha256 for r in stages[5].collect()} == want
