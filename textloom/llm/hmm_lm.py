@@ -34,7 +34,6 @@ CLASS_BITS = 14
 SEGMENT = 1024
 _BLOCK = 8 << 20
 _LANES = 1 << 19  # tokens for which forward and backward values are held at once
-_SCALE = 4  # steps between which forward and backward values are not brought back to 1
 END = np.uint64(0x5EED0F0E0D0C0B0A)
 _SLICE = 1 << 10
 _MERGE = 1 << 20  # words of chunks held before they are merged
@@ -86,16 +85,6 @@ def _steps(begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, list[tupl
     return order, list(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)), edge[step] + np.repeat(lane, length)
 
 
-def _seen(emit: np.ndarray, cls: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Classes by place, their emissions scaled to a maximum of 1 at each place, and the scales."""
-    c = np.empty(len(cls), np.int64)
-    c[place] = cls
-    seen = emit[:, c]
-    scale = seen.max(0)
-    seen /= scale
-    return c, seen, scale
-
-
 def _groups(length: np.ndarray) -> Iterator[tuple[int, int]]:
     """Runs of segments of about _LANES tokens."""
     end, i = np.cumsum(length), 0
@@ -108,94 +97,86 @@ def _groups(length: np.ndarray) -> Iterator[tuple[int, int]]:
 def _transfers(move: np.ndarray, emit: np.ndarray, cls: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
     """For each segment the product of move x emission over its tokens, up to a factor: n x states (before) x states (after)."""
     states, pull = len(move), np.ascontiguousarray(move.T)
+    emit = emit / emit.max(0)
     out = np.empty((len(length), states, states), np.float32)
     for i, j in _groups(length):
         order, cut, place = _steps(begin[i:j], length[i:j])
-        at = np.concatenate([np.arange(b, b + n) for b, n in zip(begin[i:j].tolist(), length[i:j].tolist(), strict=True)])
-        _, seen, _ = _seen(emit, cls[at], place)
+        c = np.empty(len(place), np.int64)
+        c[place] = np.concatenate([cls[b : b + n] for b, n in zip(begin[i:j].tolist(), length[i:j].tolist(), strict=True)])
         now = np.repeat(np.eye(states, dtype=np.float32)[:, None, :], j - i, 1)  # after x lane x before
         for t, (a, b) in enumerate(cut):
-            n = b - a
-            x = (pull @ now[:, :n].reshape(states, -1)).reshape(states, n, states)
-            x *= seen[:, a:b, None]
-            if t % _SCALE == _SCALE - 1:
-                x /= x.max((0, 2))[None, :, None]
-            now[:, :n] = x
+            x = (pull @ now[:, : b - a].reshape(states, -1)).reshape(states, b - a, states)
+            x *= emit[:, c[a:b], None]
+            if t % 4 == 3:
+                x /= x[:, :, 0].sum(0)[None, :, None]
+            if b - a == now.shape[1]:
+                now = x
+            else:
+                now[:, : b - a] = x
         out[i + order] = now.transpose(1, 2, 0)
     return out
 
 
-def expected(model: Model, cls: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Baum-Welch counts of the sequences: starts, moves, emissions (classes + 1 x states), and the log likelihood."""
-    states = len(model.start)
-    starts, moves, emissions, total = np.zeros(states), np.zeros((states, states)), np.zeros(model.emit.shape), 0.0
+def _carried(model: Model, cls: np.ndarray, begin: np.ndarray, seg: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the segments of all sequences: whether they begin one, the forward values before them, and the backward ones after them."""
     move, emit, start = model.move.astype(np.float32), np.ascontiguousarray(model.emit.T, np.float32), model.start.astype(np.float32)
-    back = np.ascontiguousarray(move.T)
-    parts = np.maximum(-(-length // SEGMENT), 1)
-    seg = np.full(int(parts.sum()), SEGMENT, np.int64)
-    last = np.cumsum(parts) - 1
-    seg[last] = length - (parts - 1) * SEGMENT
-    begin, head = np.cumsum(seg) - seg, np.zeros(len(seg), bool)
+    last, head = np.cumsum(parts) - 1, np.zeros(len(seg), bool)
     head[last - parts + 1] = True
-    before = np.tile(start[:, None], len(seg))  # forward values before each segment, and backward ones after it
-    after = np.ones((states, len(seg)), np.float32)
+    before, after = np.tile(start[:, None], len(seg)), np.ones((len(start), len(seg)), np.float32)
     if (parts > 1).any():
         many = np.flatnonzero(np.repeat(parts > 1, parts))
-        pass_ = np.empty((len(seg), states, states), np.float32)
-        pass_[many] = _transfers(move, emit, cls, begin[many] + head[many], seg[many] - head[many])  # no move leads to a text's first token
+        passed = np.empty((len(seg), len(start), len(start)), np.float32)
+        passed[many] = _transfers(move, emit, cls, begin[many] + head[many], seg[many] - head[many])  # no move leads to a text's first token
         for k in range(int(parts.max()) - 1):
             on = (last - parts + 1 + k)[parts > k + 1]
-            x = (before[:, on] if k else before[:, on] * emit[:, cls[begin[on]]]).T[:, None, :] @ pass_[on]
+            x = (before[:, on] if k else before[:, on] * emit[:, cls[begin[on]]]).T[:, None, :] @ passed[on]
             before[:, on + 1] = (x[:, 0] / x.sum((1, 2))[:, None]).T
             on = (last - k)[parts > k + 1]
-            y = pass_[on] @ after[:, on].T[:, :, None]
+            y = passed[on] @ after[:, on].T[:, :, None]
             after[:, on - 1] = (y[:, :, 0] / y.max((1, 2))[:, None]).T
+    return head, before, after
+
+
+def expected(model: Model, cls: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch counts of the sequences: starts, moves, emissions (classes + 1 x states), and the log likelihood."""
+    states = len(model.start)
+    starts, moves, emissions, total = np.zeros(states), np.zeros((states, states)), np.zeros(model.emit.shape), 0.0
+    move, emit = model.move.astype(np.float32), np.ascontiguousarray(model.emit.T, np.float32)
+    parts = np.maximum(-(-length // SEGMENT), 1)
+    seg = np.full(int(parts.sum()), SEGMENT, np.int64)
+    seg[np.cumsum(parts) - 1] = length - (parts - 1) * SEGMENT
+    begin = np.cumsum(seg) - seg
+    head, before, after = _carried(model, cls, begin, seg, parts)
     for i, j in _groups(seg):
         base, end = int(begin[i]), int(begin[j - 1] + seg[j - 1])
         order, cut, place = _steps(begin[i:j] - base, seg[i:j])
-        c, seen, scale = _seen(emit, cls[base:end], place)
+        c = np.empty(end - base, np.int64)
+        c[place] = cls[base:end]
+        seen = emit[:, c]
         first, initial = head[i:j][order], before[:, i:j][:, order]
-        alphas, betas = np.empty((states, len(c)), np.float32), np.empty((states, len(c)), np.float32)
+        alphas, scales = np.empty((states, len(c)), np.float32), np.empty(len(c), np.float32)
         for t, (a, b) in enumerate(cut):
             alpha = alphas[:, a:b]
-            if t:
-                np.matmul(back, alphas[:, cut[t - 1][0] : cut[t - 1][0] + b - a], out=alpha)
-            else:
-                alpha[:] = np.where(first, initial, back @ initial)
-            alpha *= seen[:, a:b]
-            if t % _SCALE == _SCALE - 1:
-                norm = alpha.sum(0)
-                alpha /= norm
-                total += float(np.log(norm, dtype=np.float64).sum())
-        n_steps = seg[i:j][order]
-        ends = np.array([cut[n - 1][0] for n in n_steps.tolist()]) + np.arange(j - i)
-        total += float(np.log(alphas[:, ends].sum(0, dtype=np.float64)).sum() + np.log(scale, dtype=np.float64).sum())
-        beta = np.ascontiguousarray(after[:, i:j][:, order])
+            x, y = cut[t - 1] if t else (0, 0)
+            np.multiply(move.T @ alphas[:, x : x + b - a] if t else np.where(first, initial, move.T @ initial), seen[:, a:b], out=alpha)
+            alpha.sum(0, out=scales[a:b])
+            alpha /= scales[a:b]
+        total += float(np.log(scales, dtype=np.float64).sum())
+        seen /= scales
+        ends = np.array([x for x, _ in cut])[seg[i:j][order] - 1] + np.arange(j - i)
+        beta = after[:, i:j][:, order]
+        beta = beta / (alphas[:, ends] * beta).sum(0)
         for t in range(len(cut) - 1, -1, -1):
             a, b = cut[t]
-            now = betas[:, a:b]
-            now[:] = beta[:, : b - a]
+            pull = seen[:, a:b] * beta[:, : b - a]
+            came = alphas[:, cut[t - 1][0] : cut[t - 1][0] + b - a] if t else initial[:, ~first]
+            moves += came @ (pull if t else pull[:, ~first]).T
+            alphas[:, a:b] *= beta[:, : b - a]  # the state's probability given the whole sequence
             if t:
-                pull = seen[:, a:b] * now
-                np.matmul(move, pull, out=beta[:, : b - a])
-                if t % _SCALE == 0:
-                    beta[:, : b - a] /= beta[:, : b - a].max(0)
-        ahead = np.empty_like(seen)  # what came before each token
-        ahead[:, : j - i] = initial
-        for (a, b), (x, _) in zip(cut[1:], cut[:-1], strict=True):
-            ahead[:, a:b] = alphas[:, x : x + b - a]
-        alphas *= betas  # the states' probabilities given the whole sequence, up to a factor for each token
-        alphas /= alphas.sum(0)
+                beta[:, : b - a] = move @ pull
         starts += alphas[:, : j - i][:, first].sum(1, dtype=np.float64)
         for s in range(states):
             emissions[:, s] += np.bincount(c, weights=alphas[s], minlength=len(emissions))
-        seen *= betas
-        np.matmul(back, ahead, out=betas)
-        betas *= seen
-        seen /= betas.sum(0)
-        if first.any():
-            seen[:, : j - i][:, first] = 0  # no move leads to a text's first token
-        moves += ahead @ seen.T
     return starts, moves * model.move, emissions, total
 
 
