@@ -33,7 +33,8 @@ from textloom.storage import stash, stash_bucketed
 CLASS_BITS = 14
 SEGMENT = 1024
 _BLOCK = 8 << 20
-_LANES = 1 << 19  # tokens for which forward and backward values are held at once
+_LANES = 1 << 20  # tokens for which forward and backward values are held at once
+_SCALE = 4  # steps after which forward values are brought back to 1
 END = np.uint64(0x5EED0F0E0D0C0B0A)
 _SLICE = 1 << 10
 _MERGE = 1 << 20  # words of chunks held before they are merged
@@ -106,7 +107,7 @@ def _transfers(move: np.ndarray, emit: np.ndarray, cls: np.ndarray, begin: np.nd
         now = np.repeat(np.eye(states, dtype=np.float32)[:, None, :], j - i, 1)  # after x lane x before
         for t, (a, b) in enumerate(cut):
             x = (pull @ now[:, : b - a].reshape(states, -1)).reshape(states, b - a, states)
-            x *= emit[:, c[a:b], None]
+            x *= np.take(emit, c[a:b], axis=1, mode="clip")[:, :, None]
             if t % 4 == 3:
                 x /= x[:, :, 0].sum(0)[None, :, None]
             if b - a == now.shape[1]:
@@ -147,33 +148,43 @@ def expected(model: Model, cls: np.ndarray, length: np.ndarray) -> tuple[np.ndar
     seg[np.cumsum(parts) - 1] = length - (parts - 1) * SEGMENT
     begin = np.cumsum(seg) - seg
     head, before, after = _carried(model, cls, begin, seg, parts)
+    most = emit.max(0)
+    emit, back = emit / most, np.ascontiguousarray(move.T)  # a place's best emission is 1, so values may go unscaled for some steps
     for i, j in _groups(seg):
         base, end = int(begin[i]), int(begin[j - 1] + seg[j - 1])
         order, cut, place = _steps(begin[i:j] - base, seg[i:j])
         c = np.empty(end - base, np.int64)
         c[place] = cls[base:end]
-        seen = emit[:, c]
+        total += float(np.log(most, dtype=np.float64) @ np.bincount(c, minlength=len(most)))
+        seen = np.empty((states, len(c)), np.float32)
+        for s in range(states):
+            np.take(emit[s], c, mode="clip", out=seen[s])
         first, initial = head[i:j][order], before[:, i:j][:, order]
-        alphas, scales = np.empty((states, len(c)), np.float32), np.empty(len(c), np.float32)
+        alphas = np.empty((states, len(c)), np.float32)
         for t, (a, b) in enumerate(cut):
             alpha = alphas[:, a:b]
-            x, y = cut[t - 1] if t else (0, 0)
-            np.multiply(move.T @ alphas[:, x : x + b - a] if t else np.where(first, initial, move.T @ initial), seen[:, a:b], out=alpha)
-            alpha.sum(0, out=scales[a:b])
-            alpha /= scales[a:b]
-        total += float(np.log(scales, dtype=np.float64).sum())
-        seen /= scales
+            x = cut[t - 1][0] if t else 0
+            np.multiply(back @ alphas[:, x : x + b - a] if t else np.where(first, initial, back @ initial), seen[:, a:b], out=alpha)
+            if t % _SCALE == 0:
+                scale = alpha.sum(0)
+                total += float(np.log(scale, dtype=np.float64).sum())
+                alpha /= scale
+                seen[:, a:b] /= scale  # what the way back is scaled by
         ends = np.array([x for x, _ in cut])[seg[i:j][order] - 1] + np.arange(j - i)
+        total += float(np.log(alphas[:, ends].sum(0, dtype=np.float64)).sum())
         beta = after[:, i:j][:, order]
         beta = beta / (alphas[:, ends] * beta).sum(0)
         for t in range(len(cut) - 1, -1, -1):
             a, b = cut[t]
             pull = seen[:, a:b] * beta[:, : b - a]
-            came = alphas[:, cut[t - 1][0] : cut[t - 1][0] + b - a] if t else initial[:, ~first]
-            moves += came @ (pull if t else pull[:, ~first]).T
+            if t:
+                x = cut[t - 1][0]
+                moves += alphas[:, x : x + b - a] @ pull.T
+            else:
+                moves += initial[:, ~first] @ pull[:, ~first].T
             alphas[:, a:b] *= beta[:, : b - a]  # the state's probability given the whole sequence
             if t:
-                beta[:, : b - a] = move @ pull
+                np.matmul(move, pull, out=beta[:, : b - a])
         starts += alphas[:, : j - i][:, first].sum(1, dtype=np.float64)
         for s in range(states):
             emissions[:, s] += np.bincount(c, weights=alphas[s], minlength=len(emissions))
@@ -268,17 +279,19 @@ def score(docs: DataFrame, held_out: Column, text_col: str = "text", id_col: str
             train = np.zeros(len(own.hashes), np.uint32)
             train[perm] = np.bincount(own.local[~np.repeat(held, n)], minlength=len(perm))
             begin = np.cumsum(n) - n
+            classes = token_classes(own.hashes)[perm]
+            on = np.repeat(~held, n)
             dealt = (mix(np.add.reduceat(tokens, begin)) % np.uint64(states) if len(n) else np.zeros(0)).astype(np.uint32)
             bound = own.bounds(bits)
             chunks = [{"bucket": int(b), "hashes": pack(own.hashes[bound[b] : bound[b + 1]]), "train": pack(train[bound[b] : bound[b + 1]])} for b in np.flatnonzero(np.diff(bound))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([block_number(k)], pa.int64()), pa.array([batch.column("id").to_pylist()], pa.list_(batch.schema.field("id").type)), pa.array([pack(held.astype(np.uint8))]), pa.array([pack(n.astype(np.uint32))]), pa.array([pack(dealt)]), pa.array([pack(own.counts.astype(np.uint32))]),
-                 pa.array([pack(own.local)]), pa.array([pack(token_classes(own.hashes)[perm])]), pa.array([chunks], pa.list_(pa.struct([("bucket", pa.int32()), ("hashes", pa.binary()), ("train", pa.binary())])))],
-                ["block", "ids", "held", "lengths", "dealt", "counts", "local", "classes", "chunks"],
+                 pa.array([pack(own.local)]), pa.array([pack(classes)]), pa.array([pack(classes[own.local[on]].astype(np.uint16))]), pa.array([chunks], pa.list_(pa.struct([("bucket", pa.int32()), ("hashes", pa.binary()), ("train", pa.binary())])))],
+                ["block", "ids", "held", "lengths", "dealt", "counts", "local", "classes", "sequence", "chunks"],
             )
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
-    made = texts.mapInArrow(to_blocks, f"block long, ids array<{kind}>, held binary, lengths binary, dealt binary, counts binary, local binary, classes binary, chunks array<struct<bucket:int,hashes:binary,train:binary>>")
+    made = texts.mapInArrow(to_blocks, f"block long, ids array<{kind}>, held binary, lengths binary, dealt binary, counts binary, local binary, classes binary, sequence binary, chunks array<struct<bucket:int,hashes:binary,train:binary>>")
     stored = stash_bucketed(made, "lm-blocks", "block")  # the end joins by block without moving it again
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,21 +352,20 @@ def score(docs: DataFrame, held_out: Column, text_col: str = "text", id_col: str
         total = forward(model_, classes[local], length) / np.log(10) + by_row(share[local])
         return pa.table({"id": left.column("ids").combine_chunks().flatten(), "held_out": pa.array(held), "n_tokens": pa.array(length), "n_known": pa.array(by_row((c > 0).astype(np.int64)[local]).astype(np.int64)), "train_tokens": pa.array(np.full(len(length), all_n, np.int64)), "base_score": pa.array(by_row(base[local])), "score": pa.array(total)})
 
-    both = stored.drop("chunks", "dealt").groupBy("block").cogroup(answers.groupBy("block"))
+    both = stored.drop("chunks", "dealt", "sequence").groupBy("block").cogroup(answers.groupBy("block"))
     return both.applyInArrow(finish, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("id", id_col)
 
 
 def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Class sequences of each block's training rows, their lengths and the states that they are dealt to."""
     for batch in batches:
-        for held, length, dealt, local, classes in zip(*(batch.column(c).to_pylist() for c in ("held", "lengths", "dealt", "local", "classes")), strict=True):
+        for held, length, dealt, sequence in zip(*(batch.column(c).to_pylist() for c in ("held", "lengths", "dealt", "sequence")), strict=True):
             n, on = unpack(length).astype(np.int64), unpack(held) == 0
-            cls = unpack(classes)[unpack(local)]
-            yield cls[np.repeat(on, n)].astype(np.int64), n[on], unpack(dealt)[on].astype(np.int64)
+            yield unpack(sequence), n[on], unpack(dealt)[on].astype(np.int64)
 
 
 def _train(stored: DataFrame, share: np.ndarray, states: int, rounds: int) -> Model:
-    sequences, size = stored.select("held", "lengths", "dealt", "local", "classes"), len(share)
+    sequences, size = stored.select("held", "lengths", "dealt", "sequence"), len(share)
     model: Model | None = None
     for _ in range(1 + rounds):
         shared = stored.sparkSession.sparkContext.broadcast(pickle.dumps(model and (model.start, model.move, model.emit)))
@@ -364,7 +376,7 @@ def _train(stored: DataFrame, share: np.ndarray, states: int, rounds: int) -> Mo
                 if now:
                     got = expected(Model(*now), cls, n)[:3]
                 else:  # the texts as they are dealt
-                    place = cls * states + np.repeat(dealt, n)
+                    place = cls.astype(np.int64) * states + np.repeat(dealt, n)
                     got = np.zeros(states), np.zeros((states, states)), np.bincount(place, minlength=size * states).reshape(size, states).astype(float)
                 total = got if total is None else tuple(a + b for a, b in zip(total, got, strict=True))
             if total is None:
