@@ -28,10 +28,15 @@ VARIABLES = [
     "st_k", "at_1", "phi_omega", "phi", "omega", "theta_pi",
 ]
 KEYWORDS = {
-    "expectation": [r"\mathbb{E}"], "expected value": [r"\mathbb{E}"], "expected": [r"\mathbb{E}"], "gradient": [r"\nabla"], "policy gradient": [r"\nabla", r"\pi"],
+    "expectation": [r"\mathbb{E}"], "expected value": [r"\mathbb{E}"], "expected": [r"\mathbb{E}"], "gradient": [r"\nabla"], "policy gradient": [r"\nabla", r"var:\pi"],
     "derivative": [r"\nabla", r"\partial"], "partial derivative": [r"\partial"], "loss": [r"\mathcal{L}"], "objective": [r"\mathcal{L}"], "loss function": [r"\mathcal{L}"],
     "cost function": [r"\mathcal{L}"], "kl divergence": ["KL", "var:KL"], "relative entropy": ["KL", "var:KL"], "summation": [r"\sum"], "sum": [r"\sum"], "probability": ["P("],
     "likelihood": ["P(", r"\log"], "integral": [r"\int"], "integrate": [r"\int"], "logarithm": [r"\log"], "log likelihood": [r"\log", "P("], "log-likelihood": [r"\log", "P("],
+    "exponential": [r"\exp"], "softmax": [r"\exp", r"\sum"], "variance": [r"var:\sigma"], "covariance": [r"var:\sigma"], "argmax": [r"\arg\max"], "argmin": [r"\argmin"],
+    "bellman": ["var:Q", "var:V"], "temporal difference": ["var:Q", "var:V"], "td loss": [r"\mathcal{L}", "var:Q"], "td error": ["var:Q"], "q-learning": ["var:Q"], "policy": [r"var:\pi"],
+    "parameters": [r"var:\theta"], "weights": ["var:W"], "norm": [r"\|"], "l2 norm": [r"\|"], "transpose": [r"^T"], "square root": [r"\sqrt"], "subgoal": ["var:g"],
+    "discount factor": [r"var:\gamma"], "gamma": [r"var:\gamma"], "theta": [r"var:\theta"], "phi": [r"var:\phi"], "alpha": [r"var:\alpha"], "beta": [r"var:\beta"],
+    "lambda": [r"var:\lambda"], "epsilon": [r"var:\epsilon"], "sigma": [r"var:\sigma"], "replay buffer": [r"var:\mathcal{D}"], "determinant": [r"\det"], "laplacian": [r"\Delta"],
 }
 _SPECIAL = {"=": r"(?<![=!<>])=(?!=)", r"\|": r"\|(?:\||\s*\|)?", "P(": r"(?i)\bP\s*\(", "KL": r"(?i)\bKL\b"}
 
@@ -59,7 +64,7 @@ def formula_features(text: str) -> np.ndarray:
     for word, targets in KEYWORDS.items():
         if re.search(rf"\b{re.escape(word)}\b", low):
             for t in targets:
-                at = _NAMES.index(t) if t in OPERATORS else 64 + _bucket(t.removeprefix("var:"), 64)
+                at = 64 + _bucket(t.removeprefix("var:"), 64) if t.startswith("var:") else _NAMES.index(t)
                 out[at] += 1.8
     return out
 
