@@ -1,7 +1,7 @@
 """Patterns and word lists that fix results. Java syntax; (?i) where case does not count."""
 
 # The patterns below are part of the rules' definition.
-FORMULA = (
+FORMULA_MARKED = (
     r"(?i)(?:"
     r"\\[a-zA-Z]+|"
     r"\$\$[\s\S]+?\$\$|"
@@ -12,9 +12,14 @@ FORMULA = (
     r"\b[a-zA-Z]\^(?:\{[^{}]+\}|[a-zA-Z0-9\*\+⊤⊥\-]\b)|(?<=[\)\}\]])\^(?:\{[^{}]+\}|[a-zA-Z0-9\*\+⊤⊥\-]\b)|"
     r"[∑∫∏∂∇√αβγδεζηθικλμνξοπρστυφχψωΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ≤≥≠≈≡≢∈∉∀∃⊂⊃⊆⊇∪∩∼∝⊤⊥∠∧∨⊕⊗⊙⊘⊚⊢⊣⊨⊩⊪⋅⋆°′″‴…⋮⋯⋱≜≝≐≒≓≔≕]|"
     r"[ℝℤℕℚℂ𝔼ℙℒℋℱ𝒟]|"
-    r":=|≔|\bcoloneqq\b|≜|\btriangleq\b|"
+    r":=|≔|≜|"
+    r"(?<![A-Za-z0-9_,\(\)\{\}\[\]\^])[A-Za-z0-9_,\(\)\{\}\[\]\^]+\s*(?:=|≈|~|:=|≔|≤|<=|≥|>=)\s*(?:E\s*[\[(]|\\sum|\\int|\\prod|tr\b|[0-9A-Za-z_\\\(])"
+    r")"
+)
+FORMULA_WORDS = (
+    r"(?i)(?:"
+    r"\bcoloneqq\b|\btriangleq\b|"
     r"\b(?:tr|Cov|Var|argmax|argmin|arg\s*max|arg\s*min|diag|det|sup|inf|log|exp|softmax|sigmoid|ReLU|GeLU)\s*[\(\[_]|"
-    r"[A-Za-z0-9_,\(\)\{\}\[\]\^]+\s*(?:=|≈|~|:=|≔|≤|<=|≥|>=)\s*(?:E\s*[\[(]|\\sum|\\int|\\prod|tr\b|[0-9A-Za-z_\\\(])|"
     r"\b(?:Theorem|Lemma|Proposition|Corollary|Axiom)\s+\d+[:.]|"
     r"\b(?:mod|pmod)\s+[0-9a-zA-Z]+|\bcongruent\s+to\s+[0-9a-zA-Z]+|"
     r"\b(?:quasiconvex|quasi-convex|Lipschitz|Hessian|eigenvalue|eigenvector|spectral\s+bound)\b"

@@ -193,9 +193,22 @@ def formula_sides(raw: Column) -> Column:
     return out
 
 
+#: Characters of which a formula of the first pattern has one, and some more: ranges are found fast.
+_MARKS = r"[\\$_^=~\u00b0\u0370-\u03ff\u2026\u2032-\u2034\u2100-\u2bff\x{1d400}-\x{1d7ff}]"
+
+
+def without_links_and_money(text: Column) -> Column:
+    return F.when(F.contains(text, F.lit("$")) | F.contains(F.lower(text), F.lit("http")), F.regexp_replace(F.regexp_replace(text, P.URL, " "), P.CURRENCY, " ")).otherwise(text)
+
+
+def formula_in(bare: Column) -> Column:
+    """Whether a formula pattern is found. The marks that the first needs are looked for before it, which spares most texts its search."""
+    return (bare.rlike(_MARKS) & bare.rlike(P.FORMULA_MARKED)) | bare.rlike(P.FORMULA_WORDS)
+
+
 def has_formula(text: Column) -> Column:
     """A formula outside URLs and sums of money."""
-    return F.coalesce(F.regexp_replace(F.regexp_replace(text, P.URL, " "), P.CURRENCY, " ").rlike(P.FORMULA), F.lit(False))
+    return F.coalesce(formula_in(without_links_and_money(text)), F.lit(False))
 
 
 def _words(text: Column, least: int) -> Column:
@@ -252,6 +265,46 @@ def query_terms(question: Column) -> Column:
     return F.array_except(F.array_distinct(F.concat(quoted, F.array(q), n(3), n(2), w)), dull)
 
 
+def query_terms_by_rank(question: Column) -> Column:
+    """struct(full_query, phrase_terms, word_terms) of a question: without its opening phrase and closing marks; quoted and linked phrases, the whole, triples and pairs of words; words. Generic concepts are left out, 15 of each kind kept, first spelling first."""
+    raw = F.trim(question)
+    q = raw
+    for prefix in P.QUESTION_PREFIXES:
+        q = F.trim(F.regexp_replace(q, f"(?i){prefix}", ""))
+    q = F.trim(F.regexp_replace(q, r"[?.!]+$", ""))
+    full = F.coalesce(F.nullif(q, F.lit("")), raw)
+    w = F.filter(F.regexp_extract_all(full, F.lit(r"(?U)[\w-]+"), F.lit(0)), lambda x: F.length(x) >= 2)
+    dull = F.array(*map(F.lit, P.GENERIC_CONCEPTS))
+    none = F.array().cast("array<string>")
+    runs = lambda k: F.when(F.size(w) >= k, F.filter(F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.array_join(F.slice(w, i, F.lit(k)), " ")), lambda x: ~F.array_contains(dull, F.lower(x)))).otherwise(none)
+    marked = lambda p: F.filter(F.transform(F.regexp_extract_all(raw, F.lit(p), F.lit(1)), lambda x: F.trim(x)), lambda x: F.size(F.split(x, r"\s+")) >= 2)
+    named = F.concat(marked(r'"([^"]+)"'), marked(r"\[\[(.*?)\]\]"))
+    whole = F.when((F.size(w) >= 2) & ~F.exists(named, lambda x: F.lower(x) == F.lower(full)), F.array(full)).otherwise(none)
+    bare = lambda xs: F.transform(xs, lambda x: F.regexp_replace(x, r"""^[ *"'\[\]]+|[ *"'\[\]]+$""", ""))
+    once = lambda xs: F.aggregate(xs, none, lambda acc, x: F.when(F.exists(acc, lambda y: F.lower(y) == F.lower(x)), acc).otherwise(F.concat(acc, F.array(x))))
+    phrases = once(F.filter(bare(F.concat(whole, named, runs(3), runs(2))), lambda x: F.length(x) >= 3))
+    words = once(F.filter(bare(w), lambda x: (F.length(x) >= 2) & ~F.array_contains(dull, F.lower(x))))
+    empty = raw == ""
+    return F.struct(F.when(empty, "").otherwise(full).alias("full_query"), F.when(empty, none).otherwise(F.slice(phrases, 1, 15)).alias("phrase_terms"), F.when(empty, none).otherwise(F.slice(words, 1, 15)).alias("word_terms"))
+
+
+def candidate_terms(note: Column, question: Column) -> Column:
+    """Terms of a Markdown note: bold, quoted and listed ones of 2 to 60 characters, once each, without generic concepts that the question does not name; those that share more words with the question first."""
+    none = F.array().cast("array<string>")
+    found = lambda p: F.transform(F.regexp_extract_all(note, F.lit(p), F.lit(1)), lambda x: F.trim(x))
+    bold = F.filter(found(r"\*\*([^*]+)\*\*"), lambda x: ~F.startswith(x, F.lit("http")))
+    rows = F.filter(F.transform(F.split(note, "\n"), lambda x: F.trim(x)), lambda x: x.rlike(r"^[-*•]"))
+    items = F.transform(rows, lambda x: F.regexp_replace(F.trim(F.split(F.split(F.regexp_replace(x, r"^[-*•]+", ""), ":")[0], " - ")[0]), r"\[\[(.*?)\]\]", "$1"))
+    every = F.filter(F.concat(bold, found(r'"([^"]+)"'), items), lambda x: F.length(x).between(2, 60))
+    plain = lambda x: F.trim(F.regexp_replace(F.lower(x), r"""^[ *"'\[\]]+|[ *"'\[\]]+$""", ""))
+    dull, asked = F.array(*map(F.lit, P.GENERIC_CONCEPTS)), F.lower(F.trim(question))
+    kept = F.filter(every, lambda x: (F.length(plain(x)) >= 2) & ~(F.array_contains(dull, plain(x)) & ~F.contains(asked, plain(x))) & ~F.contains(plain(x), F.lit("reference document")) & ~F.contains(plain(x), F.lit("document chunk")))
+    once = F.aggregate(kept, none, lambda acc, x: F.when(F.exists(acc, lambda y: plain(y) == plain(x)), acc).otherwise(F.concat(acc, F.array(x))))
+    words = F.array_distinct(F.regexp_extract_all(asked, F.lit(r"(?U)\w+"), F.lit(0)))
+    ranked = F.transform(once, lambda x, i: F.struct((-F.size(F.array_intersect(F.array_distinct(F.regexp_extract_all(plain(x), F.lit(r"(?U)\w+"), F.lit(0))), words))).alias("k"), i.alias("i"), x.alias("x")))
+    return F.transform(F.array_sort(ranked), lambda r: r["x"])
+
+
 def exact_score(query: str, name: Column, category: Column, summary: Column, detail: Column) -> Column:
     """struct(match_score, match_type) of a lexical search; score null where nothing matches."""
     q = query.strip().lower()

@@ -9,26 +9,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import patterns as P
-from textloom.functions.text import any_of, count_of, has, has_formula, lines
+from textloom.functions.text import any_of, count_of, formula_in, has, lines, without_links_and_money
 
 
 @dataclass(frozen=True)
 class Chunk:
-    """The columns that rules look at; titles and breadcrumb may be literals."""
+    """The columns that rules look at; titles and breadcrumb may be literals. own: the text's lines, where they are there already."""
 
     text: Column
     section: Column
     chapter: Column
     crumb: Column
     formula: Column
+    own: Column | None = None
 
     @property
     def n(self) -> Column:
         return F.length(self.text)
 
+    @property
+    def lines(self) -> Column:
+        return lines(self.text) if self.own is None else self.own
+
     @property
     def rows(self) -> Column:
-        return F.size(lines(self.text))
+        return F.size(self.lines)
 
     @property
     def prose(self) -> Column:
@@ -44,10 +49,10 @@ def empty(c: Chunk) -> Column:
 
 
 def reference_section(c: Chunk) -> Column:
-    first = F.coalesce(F.try_element_at(lines(c.text), F.lit(1)), F.lit(""))
+    first = F.coalesce(F.try_element_at(c.lines, F.lit(1)), F.lit(""))
     return any_of(
         *(has(x, _TITLE) for x in (c.section, c.chapter, c.crumb)), has(first, rf"(?i)^{P.REFERENCE_TITLE}\b"),
-        has(c.text, P.TOC_DOTS) & (c.n < 900), has(c.text, P.GOVERNANCE) & (c.n < 320) & ~c.prose,
+        (c.n < 900) & has(c.text, P.TOC_DOTS), (c.n < 320) & has(c.text, P.GOVERNANCE) & ~c.prose,
     )
 
 
@@ -55,17 +60,17 @@ def bibliography(c: Chunk) -> Column:
     t, n, rows = c.text, c.n, c.rows
     brackets, bib, authors = count_of(t, P.CITATION_BRACKET), count_of(t, P.BIB_LINE), count_of(t, P.AUTHOR_TOKEN)
     named = has(t, P.DOI) | has(t, P.ARXIV_ID) | has(t, P.VENUE)
-    bare = F.regexp_replace(t, P.LINKS, "")
+    bare = F.when(F.contains(t, F.lit(":")), F.regexp_replace(t, P.LINKS, "")).otherwise(t)
     tail = (rows <= 4) & (authors >= 5) | (n < 220) & has(t, P.CITATION_TAIL) | (n < 250) & named & has(t, P.YEAR) & (has(t, P.NUMBERED_AUTHOR) | (authors >= 2))
     return any_of(
-        (brackets >= 5) & (rows <= brackets + 3) | (brackets >= 8), named & (bib >= 2) & (rows <= bib + 3), has(t, P.ARXIV_AUTHORS) & (rows <= 5), (rows <= 4) & has(t, P.PROCEEDINGS_SLICE),
-        (rows <= 3) & (authors >= 4) & (n < 350), has(t, P.REFERENCES_TURN) & (n < 650), ~c.prose & ~F.contains(bare, F.lit(":")) & ~F.contains(bare, F.lit("?")) & (n < 280) & tail,
+        F.contains(t, F.lit("[")) & ((brackets >= 5) & (rows <= brackets + 3) | (brackets >= 8)), (bib >= 2) & (rows <= bib + 3) & named, F.contains(t, F.lit("arXiv:")) & has(t, P.ARXIV_AUTHORS) & (rows <= 5), (rows <= 4) & has(t, P.PROCEEDINGS_SLICE),
+        (n < 350) & (rows <= 3) & (authors >= 4), (n < 650) & has(t, P.REFERENCES_TURN), (n < 280) & tail & ~c.prose & ~F.contains(bare, F.lit(":")) & ~F.contains(bare, F.lit("?")),
     )
 
 
 def boilerplate(c: Chunk) -> Column:
     heads = count_of(c.text, P.CODE_HEADER)
-    return any_of((heads >= 3) & (c.rows <= heads + 3), has(c.text, P.LICENSE) & (c.n < 400), has(c.text, P.SCRAPE_NOISE) & (c.rows <= 5), (c.n < 300) & ~has(c.text, r"(?i)\bAbstract\b") & ~c.prose & has(c.text, P.AFFILIATION))
+    return any_of(F.contains(c.text, F.lit("#")) & (heads >= 3) & (c.rows <= heads + 3), (c.n < 400) & has(c.text, P.LICENSE), (c.rows <= 5) & has(c.text, P.SCRAPE_NOISE), (c.n < 300) & has(c.text, P.AFFILIATION) & ~has(c.text, r"(?i)\bAbstract\b") & ~c.prose)
 
 
 def stimulus(c: Chunk) -> Column:
@@ -75,18 +80,18 @@ def stimulus(c: Chunk) -> Column:
 
 
 def diagram(c: Chunk) -> Column:
-    own = lines(c.text)
+    own = c.lines
     n = F.size(own)
     total = F.aggregate(own, F.lit(0), lambda s, x: s + F.length(x))
     short = F.size(F.filter(own, lambda x: F.length(x) <= 45))
     ends = F.size(F.filter(own, lambda x: x.endswith(".") | x.endswith(";")))
-    scattered = (n >= 8) & ~F.exists(own, lambda x: x.rlike(P.TABLE_RULE)) & ~F.exists(own, lambda x: x.rlike(P.CODE_WORDS)) & (ends <= 1) & (total <= 22 * n) & (short >= 0.85 * n)
-    return ~c.formula & any_of(has(c.text, P.CHECKMARKS) & (c.n < 600), has(c.text, P.CALLOUTS) & (c.n < 450), scattered)
+    scattered = F.contains(c.text, F.lit("\n")) & (n >= 8) & ~F.exists(own, lambda x: x.rlike(P.TABLE_RULE)) & ~F.exists(own, lambda x: x.rlike(P.CODE_WORDS)) & (ends <= 1) & (total <= 22 * n) & (short >= 0.85 * n)
+    return ~c.formula & any_of((c.n < 600) & has(c.text, P.CHECKMARKS), (c.n < 450) & F.contains(c.text, F.lit("01")) & has(c.text, P.CALLOUTS), scattered)
 
 
 def caption(c: Chunk) -> Column:
-    label = has(c.text, P.SUBFIGURES) | (c.n < 140) & has(c.text, P.CAPTION) & ~has(c.text, P.CAPTION_VERBS) | (c.n < 160) & has(c.text, P.SIGNPOST)
-    return ~c.formula & (c.n < 200) & ~c.prose & label
+    label = F.startswith(c.text, F.lit("(")) & has(c.text, P.SUBFIGURES) | (c.n < 140) & has(c.text, P.CAPTION) & ~has(c.text, P.CAPTION_VERBS) | (c.n < 160) & has(c.text, P.SIGNPOST)
+    return (c.n < 200) & ~c.formula & label & ~c.prose
 
 
 #: Rules in the order in which they are asked; each skips. More can be registered under other names.
@@ -94,13 +99,16 @@ RULES: dict[str, Rule] = {"empty": empty, "ref_sections": reference_section, "bi
 DISPLAY_ORDER = ["formulas", *RULES, "limbo", "chunk_sim", "passed"]
 
 
-def formula_column(text: Column) -> Column:
-    """Whether a chunk holds a formula; lone weak symbols in a bibliography do not count."""
-    bare = F.regexp_replace(F.regexp_replace(text, P.URL, " "), P.CURRENCY, " ")
-    found = F.transform(F.regexp_extract_all(bare, F.lit(P.FORMULA), F.lit(0)), lambda x: F.trim(x))
-    weak = F.forall(found, lambda x: x.isin(P.WEAK_SYMBOLS))
-    c = Chunk(text, F.lit(""), F.lit(""), F.lit(""), F.lit(False))
-    return F.coalesce(has_formula(text) & ~(weak & bibliography(c)), F.lit(False))
+def formula_column(text: Column, own: Column | None = None, bare: Column | None = None) -> Column:
+    """Whether a chunk holds a formula; lone weak symbols in a bibliography do not count.
+
+    They are alone if nothing is found once they are taken out, by a mark that no formula holds.
+    """
+    symbols = "".join(P.WEAK_SYMBOLS)
+    bare = without_links_and_money(text) if bare is None else bare
+    weak = bare.rlike(f"[{symbols}]") & ~formula_in(F.translate(bare, symbols, "\x01" * len(symbols)))
+    c = Chunk(text, F.lit(""), F.lit(""), F.lit(""), F.lit(False), own)
+    return F.coalesce(formula_in(bare) & ~(weak & bibliography(c)), F.lit(False))
 
 
 def classify(df: DataFrame, text: str = "text", section: str | None = None, chapter: str | None = None, crumb: str | None = None, formulas: bool = True, rules: list[str] | None = None, sim: Column | None = None, low: float = 0.72, high: float = 0.87) -> DataFrame:
@@ -111,15 +119,16 @@ def classify(df: DataFrame, text: str = "text", section: str | None = None, chap
     """
     get = lambda name: F.trim(F.coalesce(F.col(name), F.lit(""))) if name else F.lit("")
     body = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"^\s+|\s+$", "")
-    out = df.withColumn("_body", body).withColumn("has_formula", formula_column(F.col("_body")))
-    c = Chunk(F.col("_body"), get(section), get(chapter), get(crumb), F.col("has_formula"))
+    out = df.withColumn("_body", body).withColumn("_lines", F.when(F.contains("_body", F.lit("\n")), lines(F.col("_body"))).when(F.col("_body") != "", F.array("_body")).otherwise(F.array().cast("array<string>")))
+    out = out.withColumn("_bare", without_links_and_money(F.col("_body"))).withColumn("has_formula", formula_column(F.col("_body"), F.col("_lines"), F.col("_bare")))
+    c = Chunk(F.col("_body"), get(section), get(chapter), get(crumb), F.col("has_formula"), F.col("_lines"))
     case = F.when(F.lit(formulas) & c.formula & (c.text != ""), "retain:formulas")
     for name in rules if rules is not None else list(RULES):
         case = case.when(RULES[name](c), f"skip:{name}")
     if sim is not None:
         case = case.when(sim >= high, "retain:limbo").when((sim >= low) & ~c.formula & (c.n < 1024), "skip:limbo")
     out = out.withColumn("_verdict", case.otherwise("retain:passed"))
-    return out.withColumn("decision", F.substring_index("_verdict", ":", 1)).withColumn("category", F.substring_index("_verdict", ":", -1)).drop("_verdict", "_body")
+    return out.withColumn("decision", F.substring_index("_verdict", ":", 1)).withColumn("category", F.substring_index("_verdict", ":", -1)).drop("_verdict", "_body", "_lines", "_bare")
 
 
 def stats(classified: DataFrame) -> DataFrame:

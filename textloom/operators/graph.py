@@ -35,9 +35,12 @@ def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def consistency(local: DataFrame, remote: DataFrame) -> DataFrame:
-    """Counts by type side by side; totals are compared only where all types agree."""
+    """Counts by type side by side. Where all types agree a row `total` compares all rows, null types too."""
     both = local.groupBy("type").agg(F.count("*").alias("here")).join(remote.groupBy("type").agg(F.count("*").alias("there")), "type", "full")
     both = both.select("type", F.coalesce("here", F.lit(0)).alias("here"), F.coalesce("there", F.lit(0)).alias("there"))
+    totals = local.agg(F.count("*").alias("here")).join(remote.agg(F.count("*").alias("there")), F.lit(True)).select(F.lit("total").alias("type"), "here", "there")
+    agree = both.agg(F.coalesce(F.bool_and(F.col("here") == F.col("there")), F.lit(True)).alias("agree"))
+    both = both.unionByName(totals.join(F.broadcast(agree), F.lit(True)).where("agree").drop("agree"))
     return both.withColumn("difference", F.col("here") - F.col("there")).withColumn("state", F.when(F.col("difference") == 0, "equal").when(F.col("difference") > 0, "missing there").otherwise("extra there"))
 
 
@@ -114,11 +117,13 @@ def redirect(edges: DataFrame, aliases: DataFrame) -> DataFrame:
 
 def neighbours(edges: DataFrame, seeds: DataFrame, hops: int = 1) -> DataFrame:
     """(seed, id, hop): nodes within `hops` steps of each seed (id), whatever the direction; the least number of steps."""
-    both = edges.select(F.col("src").alias("x"), F.col("dst").alias("y")).union(edges.select(F.col("dst").alias("x"), F.col("src").alias("y"))).distinct()
-    reached = seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("hop")).distinct()
-    front = reached
+    both = edges.select(F.col("src").alias("x"), F.col("dst").alias("y")).union(edges.select(F.col("dst").alias("x"), F.col("src").alias("y")))
+    reached = front = seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("hop")).distinct()
     for h in range(1, hops + 1):
-        front = front.join(both, front["id"] == both["x"]).select("seed", F.col("y").alias("id"), F.lit(h).alias("hop")).distinct()
+        if h > 1:
+            front = front.select("seed", "id").distinct()
+        near = both.join(front.select(F.col("id").alias("x")).distinct(), "x", "left_semi").distinct()  # only what the frontier touches is told apart
+        front = front.join(near, front["id"] == near["x"]).select("seed", F.col("y").alias("id"), F.lit(h).alias("hop"))
         reached = reached.union(front)
     return reached.groupBy("seed", "id").agg(F.min("hop").alias("hop")).where("hop > 0")
 
@@ -151,6 +156,35 @@ def row_hash(columns: list[str], length: int = 32) -> Column:
     return F.left(F.sha2(F.concat_ws("\n", *pairs), 256), F.lit(length))
 
 
+def node_hash(df: DataFrame, id_col: str = "id", label: str = "type", length: int = 32) -> Column:
+    """Hex digest of a node: its id, label, and all other columns but content_hash by name as key=value. Vectors count by their first 16 numbers to four places and their length; other lists and structs as JSON; nulls are left out."""
+    parts = [F.concat_ws(":", id_col, label, F.lit(""))]
+    for f in sorted(df.schema.fields, key=lambda f: f.name):
+        if f.name in (id_col, label, "content_hash"):
+            continue
+        c, kind = F.col(f.name), f.dataType.simpleString()
+        if kind in ("array<float>", "array<double>"):
+            value = F.concat(F.array_join(F.transform(F.slice(c, 1, 16), lambda x: F.format_string("%.4f", x.cast("double"))), ","), F.lit(";len="), F.size(c))
+        else:
+            value = F.to_json(c) if kind.startswith(("array", "struct", "map")) else c.cast("string")
+        parts.append(F.when(c.isNotNull(), F.concat(F.lit(f"{f.name}="), value, F.lit("|"))))
+    return F.left(F.sha2(F.concat_ws("", *parts), 256), F.lit(length))
+
+
+def compare_graphs(a_nodes: DataFrame, a_edges: DataFrame, b_nodes: DataFrame, b_edges: DataFrame, samples: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(types, one): nodes by type and edges by relation on both sides with their difference and mean text length (nodes with text); and compare()'s row of idea names with up to `samples` names that one side alone has."""
+    def counts(nodes: DataFrame, edges: DataFrame, side: str) -> DataFrame:
+        chars = F.avg(F.length("text")) if "text" in nodes.columns else F.lit(None).cast("double")
+        n = nodes.groupBy(F.lit("node").alias("kind"), F.col("type").alias("name")).agg(F.count("*").alias(f"n_{side}"), chars.alias(f"chars_{side}"))
+        return n.unionByName(edges.groupBy(F.lit("edge").alias("kind"), F.col("relation").alias("name")).agg(F.count("*").alias(f"n_{side}"), F.lit(None).cast("double").alias(f"chars_{side}")))
+
+    both = counts(a_nodes, a_edges, "a").join(counts(b_nodes, b_edges, "b"), ["kind", "name"], "full").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_a", "n_b")})
+    x, y = (n.where("type in ('Concept', 'Idea')").select(F.lower(F.trim("name")).alias("name")).distinct() for n in (a_nodes, b_nodes))
+    first = lambda p, q, out: p.join(q, "name", "left_anti").orderBy("name").limit(samples).agg(F.sort_array(F.collect_list("name")).alias(out))
+    one = compare(x, y).join(first(x, y, "samples_a"), F.lit(True)).join(first(y, x, "samples_b"), F.lit(True))
+    return both.withColumn("difference", F.col("n_b") - F.col("n_a")), one
+
+
 def group_hash(df: DataFrame, key: str, digest: str, order: str) -> DataFrame:
     """(key, content_hash): digest of the rows' digests in order; combined in the group, so groups are to be of bounded size (a book)."""
     rows = F.transform(F.array_sort(F.collect_list(F.struct(order, digest))), lambda r: r[digest])
@@ -185,21 +219,25 @@ def chunk_order(chapter: Column, chunk_idx: Column, chunk_id: Column, crumb: Col
 def shards(sizes: DataFrame, book: str, size: str, limit: float) -> DataFrame:
     """(book, shard): whole books in order of id, a new shard where the next would pass the limit.
 
-    A fold in order over one row for each book, so only ids and sizes meet in one task.
+    Greedy packing is sequential: ids and sizes, a row for each book, stream in order through one task, which holds one
+    batch of them.
     """
-    import pandas as pd
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, shard, used, out = rows.sort_values(book), 0, 0.0, []
-        for s in rows[size].fillna(0.0):
-            if used and used + s > limit:
-                shard, used = shard + 1, 0.0
-            used += s
-            out.append(shard)
-        return pd.DataFrame({book: rows[book].to_numpy(), "shard": out})
+    import pyarrow as pa
+
+    def run(batches):
+        shard, used = 0, 0.0
+        for batch in batches:
+            out = []
+            for s in batch.column(1).to_pylist():
+                if used and used + s > limit:
+                    shard, used = shard + 1, 0.0
+                used += s
+                out.append(shard)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], [book, "shard"])
 
     kind = sizes.schema[book].dataType.simpleString()
-    return sizes.select(book, F.col(size).cast("double").alias(size), F.lit(0).alias("_all")).groupBy("_all").applyInPandas(run, f"{book} {kind}, shard long")
+    own = sizes.select(book, F.coalesce(F.col(size).cast("double"), F.lit(0.0)).alias(size))
+    return own.repartition(1).sortWithinPartitions(book).mapInArrow(run, f"{book} {kind}, shard long")
 
 
 def spine(nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...] = ("Book", "Section", "Concept")) -> tuple[DataFrame, DataFrame]:

@@ -10,19 +10,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Numbers (of four bytes) in a block that is sent to all tasks.
+from textloom.storage import stash
+
+#: Numbers in a block that is sent to all tasks.
 BLOCK_NUMBERS = 8 << 20
+#: Blocks after which the answers so far are merged and written down, so that no task chains many steps.
+BLOCKS_AT_ONCE = 4
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     """Rows of unit length; zero rows for nulls and other lengths."""
     out = np.zeros((len(column), dim))
-    for i, v in enumerate(column.to_pylist()):
-        if v is not None and len(v) == dim:
-            out[i] = [0.0 if x is None else x for x in v]
+    at = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(column), dim), False).to_numpy(zero_copy_only=False))
+    if len(at):
+        flat = column.take(pa.array(at)).flatten()
+        out[at] = (flat.fill_null(0) if flat.null_count else flat).to_numpy(zero_copy_only=False).reshape(len(at), dim)
     n = np.sqrt((out * out).sum(1, keepdims=True))
     return np.divide(out, n, out=np.zeros_like(out), where=n > 1e-12)
 
@@ -42,7 +48,7 @@ def nearest(rows: DataFrame, targets: DataFrame, k: int, row_vec: str = "embeddi
     dim, total = shape["dim"], shape["count"]
     usable = usable.where(F.size("v") == dim)
     blocks = max(1, -(-total * dim // BLOCK_NUMBERS))
-    name = f"_{out}"
+    name, made = f"_{out}", []
     for b in range(blocks):
         part = usable.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == b).orderBy("t").toPandas()  # about BLOCK_NUMBERS numbers
         ids = part["t"].tolist()
@@ -50,9 +56,15 @@ def nearest(rows: DataFrame, targets: DataFrame, k: int, row_vec: str = "embeddi
         n = np.sqrt((matrix * matrix).sum(1, keepdims=True))
         shared = spark.sparkContext.broadcast((ids, np.divide(matrix, n, out=np.zeros_like(matrix), where=n > 1e-12)))
         rows = _multiply(rows, shared, k, dim, row_vec, kind, f"{name}{b}", least)
-    together = F.concat(*(F.col(f"{name}{b}") for b in range(blocks)))
-    best = F.slice(F.array_sort(together, lambda x, y: F.when(x["sim"] > y["sim"], -1).when(x["sim"] < y["sim"], 1).when(x["id"] < y["id"], -1).when(x["id"] > y["id"], 1).otherwise(0)), 1, k) if blocks > 1 else together
-    return rows.withColumn(out, best).drop(*(f"{name}{b}" for b in range(blocks)))
+        made.append(f"{name}{b}")
+        if b == blocks - 1 or len(made) > BLOCKS_AT_ONCE:
+            together = F.concat(*map(F.col, made))
+            best = F.slice(F.array_sort(together, lambda x, y: F.when(x["sim"] > y["sim"], -1).when(x["sim"] < y["sim"], 1).when(x["id"] < y["id"], -1).when(x["id"] > y["id"], 1).otherwise(0)), 1, k) if len(made) > 1 else together
+            rows = rows.withColumn(name, best).drop(*(c for c in made if c != name))
+            made = [name]
+            if b < blocks - 1:
+                rows = stash(rows, "nearest")
+    return rows.withColumnRenamed(name, out) if out not in rows.columns else rows.withColumn(out, F.col(name)).drop(name)
 
 
 def _multiply(rows: DataFrame, shared, k: int, dim: int, row_vec: str, kind: str, name: str, least: float | None) -> DataFrame:
@@ -66,6 +78,7 @@ def _multiply(rows: DataFrame, shared, k: int, dim: int, row_vec: str, kind: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = shared.value
+        names_ = pa.array(ids, id_kind)
         m = min(k, len(ids))
         for whole in batches:
             for a in range(0, whole.num_rows, 1024):
@@ -78,8 +91,10 @@ def _multiply(rows: DataFrame, shared, k: int, dim: int, row_vec: str, kind: str
                     top = np.stack([c[np.lexsort((c, -s[c]))][:m] for s, c in ((s, np.flatnonzero(s >= e)) for s, e in zip(sims, edge, strict=True))])
                 else:
                     top = np.argsort(-sims, 1, kind="stable")
-                found = [[{"id": ids[j], "sim": float(s[j])} for j in row if least is None or s[j] >= least] for row, s in zip(top.tolist(), sims, strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.struct([("id", id_kind), ("sim", pa.float64())])))], [*names, name])
+                best = np.take_along_axis(sims, top, 1)
+                keep = np.ones(best.shape, bool) if least is None else best >= least
+                fields_ = pa.StructArray.from_arrays([names_.take(pa.array(top[keep])), pa.array(best[keep])], ["id", "sim"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(keep.sum(1))].astype(np.int32)), fields_)], [*names, name])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, fields)]))
 

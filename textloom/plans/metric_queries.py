@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import vectors as V
+from textloom.operators import audit
 from textloom.operators import metrics as M
 from textloom.operators import similarity as S
 from textloom.plans.catalog import query
@@ -110,15 +111,16 @@ def skipping_leverage(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""
-WITH a AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 10 = 0), b AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 10 IN (0, 1) AND vec_id % 4 <> 0),
+WITH a AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 10 = 0), b AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 10 <> 0),
 f AS (SELECT a.vec_id, max(list_cosine_similarity(a.v, b.v)) AS s FROM a, b GROUP BY 1), k AS (SELECT b.vec_id, max(list_cosine_similarity(a.v, b.v)) AS s FROM a, b GROUP BY 1),
 ca AS (SELECT list(m ORDER BY i) AS c FROM (SELECT i, avg(v[i]) AS m FROM a, range(1, 65) t(i) GROUP BY i)), cb AS (SELECT list(m ORDER BY i) AS c FROM (SELECT i, avg(v[i]) AS m FROM b, range(1, 65) t(i) GROUP BY i))
 SELECT round(avg(f.s), 6) AS forward, round(any_value(k2.m), 6) AS backward, round(2 * avg(f.s) * any_value(k2.m) / (avg(f.s) + any_value(k2.m)), 6) AS harmonic, round(any_value(list_cosine_similarity(ca.c, cb.c)), 6) AS centroid_cosine, round(quantile_cont(f.s, 0.1), 6) AS p10, round(min(f.s), 6) AS least, count(*) FILTER (WHERE f.s < {TAU}) AS dropped
 FROM f, (SELECT avg(s) AS m FROM k) k2, ca, cb
 """)
 def drift_forward_backward(spark: SparkSession, sf: str) -> DataFrame:
+    """How well ideas and chunks stand for each other: every vector is on one side."""
     e = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    one = M.drift(e.where("vec_id % 10 = 0"), e.where("vec_id % 10 in (0, 1) and vec_id % 4 <> 0"), "vec_id", tau=TAU)
+    one = M.drift(e.where("vec_id % 10 = 0"), e.where("vec_id % 10 <> 0"), "vec_id", tau=TAU)
     return one.select(*(F.round(c, 6).alias(c) if c != "dropped" else F.col(c) for c in one.columns))
 
 
@@ -143,11 +145,10 @@ def zero_anchor(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT doc_id, round(cume_dist() OVER (ORDER BY n_chars), 9) AS rank FROM documents")
 def percentile_rank(spark: SparkSession, sf: str) -> DataFrame:
-    """Share of documents no longer than each: counts by length, running sums over the distinct lengths."""
-    docs = table(spark, sf, "documents").select("doc_id", "n_chars")
-    counts = docs.groupBy("n_chars").count()
-    shares = counts.withColumn("share", F.sum("count").over(Window.orderBy("n_chars").rowsBetween(Window.unboundedPreceding, 0)) / F.sum("count").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return docs.join(shares, "n_chars").select("doc_id", F.round("share", 9).alias("rank"))
+    """Share of documents no longer than each."""
+    from textloom.operators.ranges import percentile_rank as rank
+
+    return rank(table(spark, sf, "documents").select("doc_id", "n_chars"), "n_chars", "share").select("doc_id", F.round("share", 9).alias("rank"))
 
 
 @query("SELECT doc_id, round((n_chars - min(n_chars) OVER ()) / greatest(1e-6, max(n_chars) OVER () - min(n_chars) OVER ()), 9) AS scaled FROM documents")
@@ -192,12 +193,10 @@ def coherence_histogram(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT b.item_id, coalesce(max(CASE WHEN contains(d.text, b.text) THEN 1 ELSE 0 END) = 1, false) AS actual, b.item_id % 2 = 0 AS expected, coalesce(max(CASE WHEN contains(d.text, b.text) THEN 1 ELSE 0 END) = 1, false) = (b.item_id % 2 = 0) AS passed FROM benchmark b, documents d GROUP BY b.item_id")
 def checklist_pass(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether each item's text stands verbatim in some document, against what is expected: items are the query set, sent to the scan of documents."""
+    """Whether each item's text stands verbatim in some document, against what is expected."""
     items = table(spark, sf, "benchmark").select("item_id", "text")
-    grouped = items.agg(F.collect_list(F.struct("item_id", "text")).alias("items"))
-    found = table(spark, sf, "documents").select(F.col("text").alias("t")).join(F.broadcast(grouped), F.lit(True)).select(F.explode(F.filter("items", lambda x: F.contains(F.col("t"), x["text"]))).alias("x")).select("x.item_id").distinct().withColumn("hit", F.lit(True))
-    out = items.join(found, "item_id", "left").select("item_id", F.coalesce("hit", F.lit(False)).alias("actual"), (F.col("item_id") % 2 == 0).alias("expected"))
-    return out.withColumn("passed", F.col("actual") == F.col("expected"))
+    found = audit.held_verbatim(table(spark, sf, "documents"), items, [], ["item_id"], F.col("text"), F.col("text")).distinct()
+    return M.checklist(items.select("item_id", (F.col("item_id") % 2 == 0).alias("expected")), found.withColumn("actual", F.lit(True)), "item_id")
 
 
 @query(f"""
