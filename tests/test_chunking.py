@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -101,3 +103,54 @@ def test_first_match_dedup(spark):
     rows = [("b", 1, "Idea", "short", [1.0, 0.0]), ("b", 2, "idea", "a longer text", [0.0, 1.0]), ("b", 3, "Else", "x", [0.0, 1.0]), ("b", 4, "New", "y", [-1.0, 0.0])]
     df = spark.createDataFrame(rows, "book string, i int, name string, brief string, embedding array<double>")
     assert sorted((r.name, r.merged) for r in O.first_match_dedup(df, "book", ["i"]).collect()) == [("New", 1), ("idea", 3)]
+
+
+def old_rolling(said, ends, sims, limit, tokens, least, most, overlap, paragraphs):
+    """Cuts, sentence by sentence."""
+    n, out, start, last = len(said), [], 0, -1
+    while start < n:
+        used, cuts, cut, why = 0, [], n - 1, "document_end"
+        for i in range(start, n):
+            used += tokens[i]
+            if i == n - 1:
+                if used >= most and cuts:
+                    cut, why = C._best_cut(cuts, paragraphs), "max_tokens_exceeded"
+                break
+            if i <= last or used < least:
+                continue
+            if used > most:
+                cut, why = (C._best_cut(cuts, paragraphs) if cuts else i), "max_tokens_exceeded"
+                break
+            cuts.append((float(sims[i]), i, ends[i]))
+            if sims[i] < limit * (1.10 if ends[i] and paragraphs else 1.0):
+                cut, why = i, "semantic_drop"
+                break
+        out.append((start, cut, why))
+        if cut >= n - 1:
+            break
+        last, start = cut, max(cut + 1 - overlap, start + 1)
+    return out
+
+
+def test_rolling_cuts_equal_a_loop():
+    r = random.Random(6)
+    for _ in range(120):
+        text = "\n\n".join(" ".join("Word " + " ".join(r.choices("abc def ghi jkl".split(), k=r.randint(0, 12))) + r.choice(".!?") for _ in range(r.randint(1, 5))) for _ in range(r.randint(1, 5)))
+        least, most, overlap, paragraphs, fixed = r.randint(0, 20), r.randint(5, 50), r.randint(0, 3), r.random() < 0.5, r.choice([0.0, 0.2, 0.6])
+        pairs = C.split_sentences(text)
+        said, ends = [p[0] for p in pairs], [p[1] for p in pairs]
+        sims = C.window_similarities(said, C.hashed_vector, 3)[1]
+        want = old_rolling(said, ends, sims, fixed, [C.count_tokens(s) for s in said], least, most, overlap, paragraphs)
+        assert [(c["start_sentence"], c["end_sentence"], c["split_reason"]) for c in C.rolling_chunks(text, C.hashed_vector, 3, least, most, fixed, overlap=overlap, paragraphs=paragraphs)] == want
+    rows = C.sentence_similarities("One two. Three four. Five.", C.hashed_vector)
+    assert [x["split_idx"] for x in rows] == [0, 1] and rows[0]["left_context"] == "One two." and C.sentence_similarities("One.", C.hashed_vector) == []
+
+
+def test_chunk_similarity(spark):
+    e = [1.0, 0.0]
+    rows = [("b", 1, "Opt", "first", "passed", False, e), ("b", 2, "Opt", "again", "passed", False, e), ("b", 3, "Opt", "other", "passed", False, [0.0, 1.0]), ("b", 4, "Opt", "x" * 500, "passed", False, e), ("b", 5, "Opt", "formula", "passed", True, e), ("b", 6, "Opt", "none", "passed", False, None),
+            ("b", 7, "Opt", "skipped", "biblio", False, e), ("b", 8, "Else", "anchor", "passed", False, e), ("b", 9, "else ", "again", "passed", False, e), ("b", 10, "Opt", "long", "passed", False, [1.0, 0.0, 0.0])]
+    df = spark.createDataFrame([(b, i, 1, s, t, c, "retain" if c == "passed" else "skip", f, v) for b, i, s, t, c, f, v in rows], "book string, i int, chapter_idx int, section_title string, text string, category string, decision string, has_formula boolean, embedding array<double>")
+    got = {r.i: (r.category, r.similarity_to_cover) for r in O.chunk_similarity(df, "book", ["i"]).collect()}
+    assert sorted(i for i, (c, _) in got.items() if c == "chunk_sim") == [2, 9] and got[1][1] is None and got[3][1] == 0.0 and got[4][1] == 1.0 and got[6][1] is None and got[10][1] == -1.0
+    assert got[7] == ("biblio", None)

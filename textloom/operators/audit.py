@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,29 +28,54 @@ def overlaps(left: DataFrame, right: DataFrame, key: str, width: int = 4096) ->
 
 
 def locate(text: Column, query: Column) -> Column:
-    """struct(start, end), from 0, of a query in a text: exact, else between its first and last 50 characters; nulls if not found."""
+    """struct(start, end), from 0, of a query in a text: exact, else between its first and last 50 characters (queries of over 100), else with any run of blanks for a run of blanks; nulls if not found."""
     at = F.instr(text, query)
     head, tail = F.instr(text, F.left(query, F.lit(50))), F.instr(text, F.right(query, F.lit(50)))
     near = (F.length(query) > 100) & (head > 0) & (tail > head)
-    return F.when((query != "") & (at > 0), F.struct((at - 1).alias("start"), (at - 1 + F.length(query)).alias("end"))).when(near, F.struct((head - 1).alias("start"), (tail - 1 + 50).alias("end")))
+    words = F.transform(F.filter(F.split(query, r"\s+"), lambda x: x != ""), lambda x: F.concat(F.lit("\\Q"), F.replace(x, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
+    found = F.regexp_substr(text, F.array_join(words, "\\s+"))
+    loose = F.instr(text, found)
+    span = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
+    return F.when((query != "") & (at > 0), span(at - 1, at - 1 + F.length(query))).when(near, span(head - 1, tail - 1 + 50)).when((F.size(words) > 0) & found.isNotNull(), span(loose - 1, loose - 1 + F.length(found)))
+
+
+def held_verbatim(docs: DataFrame, items: DataFrame, doc_cols: list[str], item_cols: list[str], text: Column, item_text: Column, block_chars: int = 8_000_000) -> DataFrame:
+    """(doc_cols, item_cols): the items whose text a document holds. Items are the stated query set: sent to the scan of the documents in blocks of about block_chars characters; blank ones are held by nothing."""
+    own = items.select(*item_cols, item_text.alias("_i")).where("_i <> ''")
+    total = own.agg(F.sum(F.length("_i"))).first()[0] or 0
+    blocks = max(1, -(-total // block_chars))
+    out = None
+    for b in range(blocks):
+        part = own.where(F.pmod(F.xxhash64(*item_cols), F.lit(blocks)) == b).agg(F.collect_list(F.struct(*item_cols, "_i")).alias("_items"))
+        both = docs.select(*doc_cols, text.alias("_t")).join(F.broadcast(part), F.lit(True))
+        hit = both.select(*doc_cols, F.explode(F.filter("_items", lambda x: F.contains(F.col("_t"), x["_i"]))).alias("_x")).select(*doc_cols, *(F.col(f"_x.{c}").alias(c) for c in item_cols))
+        out = hit if out is None else out.unionByName(hit)
+    return out
 
 
 def greedy_match(sims: DataFrame, block: str, left: str, right: str, sim: str, least: float) -> DataFrame:
-    """(block, left, right, sim): each left item, in order, takes its first unmatched right item of that similarity or more. A block is held in one task."""
-    own = sims.where(F.col(sim) >= least).select(block, left, right, sim)
+    """(block, left, right, sim): each left item, in order, takes its first unmatched right item of that similarity or more.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        used: set = set()
-        taken = []
-        for _, part in rows.sort_values([left, right], kind="stable").groupby(left, sort=False):
-            for r in part.to_dict("records"):
-                if r[right] not in used:
-                    used.add(r[right])
-                    taken.append(r)
-                    break
-        return pd.DataFrame(taken, columns=list(rows.columns))
-
-    return own.groupBy(block).applyInPandas(run, own.schema)
+    Blocks stream through tasks in order; a task holds the right items that its block has used, not its pairs.
+    """
+    own = sims.where((F.col(sim) >= least) & F.col(left).isNotNull() & F.col(right).isNotNull()).select(block, left, right, sim)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, item, done, used = object(), None, False, set()
+        for batch in batches:
+            keep = []
+            for i, (b, x, y) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+                if b != now:
+                    now, item, used = b, object(), set()
+                if x != item:
+                    item, done = x, False
+                if not done and y not in used:
+                    used.add(y)
+                    done = True
+                    keep.append(i)
+            yield batch.take(pa.array(keep, pa.int64()))
+
+    return own.repartition(block).sortWithinPartitions(block, left, right).mapInArrow(run, own.schema)
 
 
 def worst(df: DataFrame, sim: str, text: str, id_col: str, offset: int = 0, most: int = 500, chars: int | None = None) -> DataFrame:

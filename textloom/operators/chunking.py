@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import patterns as P
@@ -167,31 +167,27 @@ def rolling_chunks(text: str, embed: Embed, window: int = 3, least: int = 150, m
     pairs = split_sentences(text)
     if not pairs:
         return []
-    said, ends = [p[0] for p in pairs], [p[1] for p in pairs]
+    said, ends = [p[0] for p in pairs], np.array([p[1] for p in pairs])
     n = len(said)
-    left = embed([" ".join(said[max(0, i - window + 1) : i + 1]) for i in range(n - 1)]) if n > 1 else np.zeros((0, 1))
-    right = embed([" ".join(said[i + 1 : i + 1 + window]) for i in range(n - 1)]) if n > 1 else np.zeros((0, 1))
-    norms = np.sqrt((left**2).sum(1) * (right**2).sum(1)) if n > 1 else np.zeros(0)
-    sims = np.divide((left * right).sum(1), norms, out=np.zeros_like(norms), where=norms > 1e-12) if n > 1 else np.zeros(0)
-    limit, tokens = threshold(sims, kind, fixed, amount), [count_tokens(s) for s in said]
+    _, sims = window_similarities(said, embed, window)
+    upto = np.r_[0, np.cumsum([count_tokens(s) for s in said])]  # tokens before each sentence
+    drops = sims < threshold(sims, kind, fixed, amount) * np.where(ends[: n - 1] & paragraphs, 1.10, 1.0)
     out, start, last = [], 0, -1
     while start < n:
-        used, cuts, cut, why = 0, [], n - 1, "document_end"
-        for i in range(start, n):
-            used += tokens[i]
-            if i == n - 1:
-                if used >= most and cuts:
-                    cut, why = _best_cut(cuts, paragraphs), "max_tokens_exceeded"
-                break
-            if i <= last or used < least:
-                continue
-            if used > most:
-                cut, why = (_best_cut(cuts, paragraphs) if cuts else i), "max_tokens_exceeded"
-                break
-            cuts.append((float(sims[i]), i, ends[i]))
-            if sims[i] < limit * (1.10 if ends[i] and paragraphs else 1.0):
-                cut, why = i, "semantic_drop"
-                break
+        # a cut may stand behind the sentences from `low` (enough tokens, past the last cut) to `high` (not too many), all before the last
+        low = max(last + 1, start, int(np.searchsorted(upto, upto[start] + least)) - 1)
+        high = min(int(np.searchsorted(upto, upto[start] + most, "right")) - 1, n - 1)
+        fits = np.arange(low, max(low, high))
+        dropped = fits[drops[fits]] if len(fits) else fits
+        cuts = [(float(sims[i]), int(i), bool(ends[i])) for i in fits]
+        if len(dropped):
+            cut, why = int(dropped[0]), "semantic_drop"
+        elif max(high, low) < n - 1:
+            cut, why = (_best_cut(cuts, paragraphs) if cuts else max(high, low)), "max_tokens_exceeded"
+        elif cuts and upto[n] - upto[start] >= most:
+            cut, why = _best_cut(cuts, paragraphs), "max_tokens_exceeded"
+        else:
+            cut, why = n - 1, "document_end"
         body = "".join(s + ("" if j == cut else "\n\n" if ends[j] else " ") for j, s in zip(range(start, cut + 1), said[start : cut + 1], strict=True))
         out.append({"chunk_idx": len(out), "text": body, "token_count": count_tokens(body), "char_count": len(body), "word_count": len(body.split()), "start_sentence": start, "end_sentence": cut, "split_reason": why})
         if cut >= n - 1:
@@ -266,6 +262,44 @@ def explode_texts(df: DataFrame, text: str, schema: str, make: Callable[[str], l
     return own.mapInArrow(run, T.StructType([*(own.schema[c] for c in keep), *kinds.fields]))
 
 
+def batches(df: DataFrame, key: str, order: list[str], items: int) -> DataFrame:
+    """df with batch (from 0): so many rows of a key at a time, in order."""
+    return df.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1) / items))
+
+
+def context(df: DataFrame, key: str, order: list[str], text: str = "text", chars: int = 500) -> DataFrame:
+    """df with before and after: the last characters of the row before and the first of the row after, in the key's order; null at the ends."""
+    w = Window.partitionBy(key).orderBy(*order)
+    return df.withColumns({"before": F.right(F.lag(text).over(w), F.lit(chars)), "after": F.left(F.lead(text).over(w), F.lit(chars))})
+
+
+def neighbour_pairs(df: DataFrame, key: str, order: list[str], text: str = "text", least: int = 40) -> DataFrame:
+    """Distinct pairs (a, b) of texts that follow one another, both of `least` characters or more without the blanks around."""
+    pairs = df.select(F.col(text).alias("a"), F.lead(text).over(Window.partitionBy(key).orderBy(*order)).alias("b"))
+    return pairs.where((F.length(F.trim("a")) >= least) & (F.length(F.trim("b")) >= least)).distinct()
+
+
+def sentence_similarities(text: str, embed: Embed, window: int = 3, fixed: float = 0.5, kind: str = "similarity_threshold", amount: float = 95.0) -> list[dict]:
+    """What rolling_chunks sees at each place between two sentences: the similarity of the windows on both sides, the threshold, and whether a paragraph ends."""
+    pairs = split_sentences(text)
+    if len(pairs) <= 1:
+        return []
+    said = [p[0] for p in pairs]
+    sides, sims = window_similarities(said, embed, window)
+    limit = threshold(sims, kind, fixed, amount)
+    return [{"split_idx": i, "sentence_before": said[i], "sentence_after": said[i + 1], "similarity": round(float(s), 4), "threshold": round(limit, 4), "is_below_threshold": bool(s < limit), "is_paragraph_end": pairs[i][1], "left_context": a, "right_context": b} for i, (s, (a, b)) in enumerate(zip(sims, sides, strict=True))]
+
+
+def window_similarities(said: list[str], embed: Embed, window: int) -> tuple[list[tuple[str, str]], np.ndarray]:
+    """The windows of sentences before and after each place between two, and their cosines."""
+    sides = [(" ".join(said[max(0, i + 1 - window) : i + 1]), " ".join(said[i + 1 : i + 1 + window])) for i in range(len(said) - 1)]
+    if not sides:
+        return sides, np.zeros(0)
+    left, right = (np.asarray(embed([s[j] for s in sides]), float) for j in (0, 1))
+    norms = np.sqrt((left**2).sum(1) * (right**2).sum(1))
+    return sides, np.divide((left * right).sum(1), norms, out=np.zeros_like(norms), where=norms > 1e-12)
+
+
 def pack(df: DataFrame, key: str, order: list[str], size: Column, most: float, items: int | None) -> DataFrame:
     """df with batch (from 0): rows of a key in order, a new batch where the next row would pass `most` or `items`. An item over the limit stands alone."""
     sized = df.withColumn("_size", size.cast("double"))

@@ -133,6 +133,13 @@ def cross_check(df: DataFrame, block: str, dropped: str, probes: str, quality_a:
     return one.withColumn("gate_quality", F.col("mean_b") - F.col("mean_a") >= -0.03).withColumn("gate_seam", F.col("mean_seam") >= 0.80)
 
 
+def checklist(expected: DataFrame, verdicts: DataFrame, key: str) -> DataFrame:
+    """(key, actual, expected, passed) of a checklist (key, expected): an item without a verdict (key, actual) is actually false; of several verdicts one that is true counts."""
+    got = verdicts.groupBy(key).agg(F.bool_or("actual").alias("_a"))
+    out = expected.join(got, key, "left").select(key, F.coalesce("_a", F.lit(False)).alias("actual"), "expected")
+    return out.withColumn("passed", F.col("actual") == F.col("expected"))
+
+
 def coherence(df: DataFrame, key: str, distance: str) -> DataFrame:
     """By key: order statistics by index (no interpolation) of step distances and a histogram of width 0.05."""
     edges = [0.05, 0.10, 0.15, 0.20]

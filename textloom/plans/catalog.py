@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from textloom.plans import graph_queries, metric_queries, text_queries  # noqa: F401
+    from textloom.plans import graph_queries, metric_queries, surface_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

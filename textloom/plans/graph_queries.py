@@ -131,12 +131,50 @@ def hash_guard_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return G.changed(h.select("doc_id", "d"), old, "doc_id", "d").select("doc_id")
 
 
-@query("SELECT p_partkey, p_brand AS canonical, n AS mentions FROM (SELECT min(l_partkey) AS p_partkey, p_brand, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand)")
+@query("""
+WITH m AS (SELECT CASE WHEN l_linenumber % 2 = 0 THEN p_brand ELSE upper(p_brand) END AS name, lower(p_brand) AS n, p_size, strftime(l_shipdate, '%Y-%m') AS month, l_suppkey FROM lineitem JOIN part ON l_partkey = p_partkey), k AS (SELECT n, name, count(*) AS c FROM m GROUP BY 1, 2)
+SELECT n AS normal, (SELECT arg_max(name, (c, -length(name), -ascii(substring(name, 2, 1)))) FROM k WHERE k.n = m.n) AS canonical, len(list_distinct(list(name))) AS aliases, max(p_size) AS max_weight, min(month) AS first_month, count(DISTINCT l_suppkey) AS chunks, count(*) AS mentions, greatest(count(*), count(DISTINCT l_suppkey)) AS total_occurrences FROM m GROUP BY n
+""")
 def concept_mentions(spark: SparkSession, sf: str) -> DataFrame:
-    """Mentions gathered by brand, each brand a concept."""
+    """Mentions gathered by brand, each brand a concept written in two ways."""
     rows = table(spark, sf, "lineitem").join(table(spark, sf, "part").select("p_partkey", "p_brand", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
-    seen = rows.select(F.col("p_brand").alias("name"), F.col("p_size").alias("weight"), F.date_format("l_shipdate", "yyyy-MM").alias("month"), F.col("l_partkey").alias("chunk_id"))
-    return G.observations(seen, F.lower("name")).select(F.array_min("chunk_ids").alias("p_partkey"), "canonical", "mentions")
+    seen = rows.select(F.when(F.col("l_linenumber") % 2 == 0, F.col("p_brand")).otherwise(F.upper("p_brand")).alias("name"), F.col("p_size").alias("weight"), F.date_format("l_shipdate", "yyyy-MM").alias("month"), F.col("l_suppkey").alias("chunk_id"))
+    out = G.observations(seen, F.lower("name"))
+    return out.select("normal", "canonical", F.size("aliases").cast("long").alias("aliases"), "max_weight", "first_month", F.size("chunk_ids").cast("long").alias("chunks"), "mentions", "total_occurrences")
+
+
+@query("""
+WITH m AS (SELECT p_brand AS name, p_size AS weight, p_type AS brief, l_orderkey * 10 + l_linenumber AS seq, l_linenumber = 3 AND p_size = 7 AS f FROM lineitem JOIN part ON l_partkey = p_partkey)
+SELECT name, count(*) AS occurrences, max(weight) AS weight, max(length(brief)) AS brief_chars, arg_max(brief, (length(brief), -seq)) AS brief, bool_or(f) AS has_formula FROM m GROUP BY name
+""")
+def merged_concepts(spark: SparkSession, sf: str) -> DataFrame:
+    """Observations of each brand merged: occurrences, largest weight, longest text, whether any has a formula."""
+    rows = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    seen = rows.select(F.col("p_brand").alias("name"), F.col("p_size").alias("weight"), F.col("p_type").alias("brief"), F.lit("").alias("detail"), F.lit(None).cast("array<float>").alias("embedding"), ((F.col("l_linenumber") == 3) & (F.col("p_size") == 7)).alias("has_formula"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    return G.merge_concepts(seen, "name", "seq").select("name", "occurrences", "weight", F.length("brief").cast("long").alias("brief_chars"), "brief", "has_formula")
+
+
+@query("""
+WITH a AS (SELECT 'Concept' AS type, p_name AS name, p_type AS text FROM part WHERE p_partkey % 3 <> 0 UNION ALL SELECT 'Section', s_name, NULL FROM supplier), b AS (SELECT 'Concept' AS type, p_name AS name, p_brand AS text FROM part WHERE p_partkey % 5 <> 0), x AS (SELECT type, count(*) AS n, avg(length(text)) AS c FROM a GROUP BY 1), y AS (SELECT type, count(*) AS n, avg(length(text)) AS c FROM b GROUP BY 1)
+SELECT 'node' AS kind, coalesce(x.type, y.type) AS name, coalesce(x.n, 0) AS n_a, round(x.c, 6) AS chars_a, coalesce(y.n, 0) AS n_b, round(y.c, 6) AS chars_b, coalesce(y.n, 0) - coalesce(x.n, 0) AS difference FROM x FULL JOIN y ON x.type = y.type
+UNION ALL SELECT 'edge', 'SUPPORTED_BY', count(*) FILTER (l_linenumber < 3), NULL, count(*) FILTER (l_linenumber < 4), NULL, count(*) FILTER (l_linenumber = 3) FROM lineitem
+""")
+def graph_deltas(spark: SparkSession, sf: str) -> DataFrame:
+    """Two graphs by type and relation."""
+    p, l = table(spark, sf, "part"), table(spark, sf, "lineitem")  # noqa: E741
+    a = p.where("p_partkey % 3 <> 0").select(F.lit("Concept").alias("type"), F.col("p_name").alias("name"), F.col("p_type").alias("text")).unionByName(table(spark, sf, "supplier").select(F.lit("Section").alias("type"), F.col("s_name").alias("name"), F.lit(None).cast("string").alias("text")))
+    b = p.where("p_partkey % 5 <> 0").select(F.lit("Concept").alias("type"), F.col("p_name").alias("name"), F.col("p_brand").alias("text"))
+    e = lambda n: l.where(F.col("l_linenumber") < n).select(F.lit("SUPPORTED_BY").alias("relation"))
+    types, _ = G.compare_graphs(a, e(3), b, e(4))
+    return types.select("kind", "name", "n_a", F.round("chars_a", 6).alias("chars_a"), "n_b", F.round("chars_b", 6).alias("chars_b"), "difference")
+
+
+@query("SELECT doc_id, left(sha256('doc:' || doc_id || ':Chunk:' || CASE WHEN lang IS NOT NULL THEN 'lang=' || lang || '|' ELSE '' END || CASE WHEN n_chars IS NOT NULL THEN 'n_chars=' || n_chars || '|' ELSE '' END || 'tags=[\"a\",\"' || coalesce(source, 'none') || '\"]|' || 'vector=' || printf('%.4f', n_chars / 7.0) || ',' || printf('%.4f', doc_id * 0.25) || ';len=2|'), 32) AS digest FROM documents")
+def node_digests(spark: SparkSession, sf: str) -> DataFrame:
+    """The digest of each document as a node with texts, numbers, a list and a vector."""
+    d = table(spark, sf, "documents")
+    nodes = d.select("doc_id", F.concat(F.lit("doc:"), "doc_id").alias("id"), F.lit("Chunk").alias("type"), "lang", "n_chars", F.array(F.lit("a"), F.coalesce("source", F.lit("none"))).alias("tags"), F.array(F.col("n_chars") / 7.0, F.col("doc_id") * 0.25).alias("vector"), F.lit("x").alias("content_hash"))
+    return nodes.select("doc_id", G.node_hash(nodes.drop("doc_id")).alias("digest"))
 
 
 @query("SELECT event_type, user_id, event_id, ts, value, events FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r, count(*) OVER (PARTITION BY user_id) AS events FROM events) WHERE r = 1")
@@ -150,16 +188,22 @@ def ledger_summary(spark: SparkSession, sf: str) -> DataFrame:
     return L.summary(last, "event_type", ["value"]).withColumn("total_value", F.round("total_value", 4))
 
 
-@query("SELECT o_orderpriority, l_shipmode_total AS calls, round(q, 2) AS quantity FROM (SELECT o_orderpriority, count(*) AS l_shipmode_total, sum(l_quantity) AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1)")
+@query("""
+SELECT o_orderpriority AS section, round(sum(l_quantity), 2) AS prompt, sum(l_linenumber)::BIGINT AS completion, round(sum(l_quantity) + sum(l_linenumber), 2) AS total, round(sum(l_quantity) * CASE WHEN o_orderpriority = '5-LOW' THEN 0 ELSE length(o_orderpriority) END / 1e6 + sum(l_linenumber) * CASE WHEN o_orderpriority = '5-LOW' THEN 0 ELSE 2.5 END / 1e6, 9) AS cost FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderpriority
+""")
 def section_totals(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_quantity").join(table(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return rows.groupBy("o_orderpriority").agg(F.count("*").alias("calls"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+    """Tokens of each section with what they cost; one section has no price."""
+    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderpriority").alias("section"))
+    usage = table(spark, sf, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("section", F.col("l_quantity").alias("prompt"), F.col("l_linenumber").alias("completion"))
+    prices = o.select("section").distinct().where("section <> '5-LOW'").select("section", F.length("section").cast("double").alias("prompt"), F.lit(2.5).alias("completion"))
+    out = L.token_totals(usage, "section", ["prompt", "completion"], prices)
+    return out.select("section", F.round("prompt", 2).alias("prompt"), "completion", F.round("total", 2).alias("total"), F.round("cost", 9).alias("cost"))
 
 
-@query("SELECT l_returnflag AS server, l_linestatus AS task, count(*) AS calls, round(sum(l_quantity), 2) AS amount, min(l_linenumber) AS priority FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus) HAVING l_returnflag IS NOT NULL")
+@query("SELECT l_returnflag AS server, l_linestatus AS task, count(*) AS calls, round(sum(l_quantity), 2) AS amount, min(l_linenumber) AS priority, array_to_string(list_sort(list_distinct(list(l_linestatus))), ',') AS tasks FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus) HAVING l_returnflag IS NOT NULL")
 def server_statistics(spark: SparkSession, sf: str) -> DataFrame:
     l = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("server"), F.col("l_linestatus").alias("task"), F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("amount"))  # noqa: E741
-    return L.server_statistics(l, "server", "task", "n", ["amount"]).select("server", "task", "calls", F.round("amount", 2).alias("amount"), "priority")
+    return L.server_statistics(l, "server", "task", "n", ["amount"]).select("server", "task", "calls", F.round("amount", 2).alias("amount"), "priority", F.array_join("tasks", ",").alias("tasks"))
 
 
 @query("""
@@ -225,25 +269,33 @@ def worst_cases(spark: SparkSession, sf: str) -> DataFrame:
     return worst(table(spark, sf, "documents").select("doc_id", "n_chars", "text"), "n_chars", "text", "doc_id").select("doc_id", "n_chars", F.col("place").cast("long").alias("place"))
 
 
-@query("SELECT doc_id, coalesce(d.n_chars, 0) AS n_chars, coalesce(l.quality, -1) AS quality FROM documents d LEFT JOIN labels l USING (doc_id)")
-def backfill(spark: SparkSession, sf: str) -> DataFrame:
-    """Missing labels filled by a default."""
-    d, l = table(spark, sf, "documents"), table(spark, sf, "labels")  # noqa: E741
-    return d.join(l.select("doc_id", "quality"), "doc_id", "left").select("doc_id", F.coalesce("n_chars", F.lit(0)).alias("n_chars"), F.coalesce("quality", F.lit(-1)).alias("quality"))
-
-
-@query("SELECT user_id, first(event_type ORDER BY ts, event_id) AS first_type, count(DISTINCT event_type) AS kinds FROM events GROUP BY user_id")
+@query("""
+WITH e AS (SELECT user_id, ts, event_id, CASE event_id % 7 WHEN 0 THEN 'processed' WHEN 1 THEN 'failed' WHEN 2 THEN 'stacked' WHEN 3 THEN 'stacked' ELSE 'retried' END AS ev, CASE event_id % 3 WHEN 0 THEN 'semantic_fastpath' WHEN 1 THEN 'skipped_biblio' ELSE 'node1' END AS server, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events WHERE user_id % 4 <> 0 OR event_id % 7 > 2),
+x AS (SELECT *, max(CASE WHEN ev IN ('processed', 'failed') THEN r END) OVER (PARTITION BY user_id) AS ended FROM e), g AS (SELECT user_id, count(*) AS events, max(CASE WHEN ev = 'processed' THEN r END) AS p, max(CASE WHEN ev = 'failed' THEN r END) AS f, arg_max(ev, r) AS last, count(*) FILTER (ev = 'retried' AND (ended IS NULL OR r > ended)) AS attempts, arg_max(CASE WHEN server = 'semantic_fastpath' THEN 'assigned' WHEN starts_with(server, 'skipped_') THEN server ELSE 'extracted' END, r) FILTER (ev = 'processed') AS status FROM x GROUP BY user_id)
+SELECT user_id, CASE WHEN p IS NOT NULL THEN 'processed' WHEN f IS NOT NULL OR attempts >= 3 THEN 'failed' WHEN last = 'stacked' THEN 'stacked' ELSE 'retried' END AS state, attempts, status, events FROM g
+""")
 def ledger_transitions(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").groupBy("user_id").agg(F.min_by("event_type", F.struct("ts", "event_id")).alias("first_type"), F.countDistinct("event_type").alias("kinds"))
+    """Where a series of events leaves each chunk (here: user): stacked, retried, failed or processed."""
+    k = F.col("event_id")
+    kind = F.when(k % 7 == 0, "processed").when(k % 7 == 1, "failed").when(k % 7 <= 3, "stacked").otherwise("retried")
+    server = F.when(k % 3 == 0, "semantic_fastpath").when(k % 3 == 1, "skipped_biblio").otherwise("node1")
+    rows = table(spark, sf, "events").where("user_id % 4 <> 0 or event_id % 7 > 2").select("user_id", "ts", "event_id", kind.alias("ev"), server.alias("server"))
+    return L.transitions(rows, "user_id", ["ts", "event_id"], "ev", "server")
 
 
-@query()
+@query("""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(n_chars, 0) AS n, row_number() OVER (ORDER BY doc_id) AS r FROM documents), s AS (SELECT r, doc_id, 0::BIGINT AS shard, n AS used FROM d WHERE r = 1 UNION ALL SELECT d.r, d.doc_id, CASE WHEN s.used > 0 AND s.used + d.n > 1000000 THEN shard + 1 ELSE shard END, CASE WHEN s.used > 0 AND s.used + d.n > 1000000 THEN d.n ELSE s.used + d.n END FROM s JOIN d ON d.r = s.r + 1)
+SELECT doc_id, shard FROM s
+""")
 def shard_plan(spark: SparkSession, sf: str) -> DataFrame:
     """Whole books packed into shards of at most 1,000,000 characters."""
     return G.shards(table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id", "n_chars", 1_000_000)
 
 
-@query()
+@query(r"""
+WITH r AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS r FROM conversations), c AS (SELECT conv_id, r, text, CASE WHEN length(text) <= 150 THEN text ELSE regexp_replace(left(text, 150), '[\t\n\x0b\f\r ]+[^\t\n\x0b\f\r ]*$', '') || '...' END AS a, CASE WHEN length(text) <= 100 THEN text ELSE regexp_replace(left(text, 100), '[\t\n\x0b\f\r ]+[^\t\n\x0b\f\r ]*$', '') || '...' END AS b, CASE WHEN length(text) <= 120 THEN text ELSE regexp_replace(left(text, 120), '[\t\n\x0b\f\r ]+[^\t\n\x0b\f\r ]*$', '') || '...' END AS d FROM r WHERE r <= 5),
+l AS (SELECT conv_id, r, CASE WHEN r <= 3 THEN '- ' || a || CASE WHEN text <> '' THEN ' "' || b || '"' ELSE '' END WHEN text <> '' THEN '> "' || d || '"' END AS l FROM c) SELECT conv_id, string_agg(l, chr(10) ORDER BY r) AS payload FROM l WHERE l IS NOT NULL GROUP BY conv_id
+""")
 def consolidation_payload(spark: SparkSession, sf: str) -> DataFrame:
     from textloom.operators.audit import payload
 
@@ -251,7 +303,11 @@ def consolidation_payload(spark: SparkSession, sf: str) -> DataFrame:
     return payload(rows, "conv_id", ["turn", "quote"])
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), h AS (SELECT a.label, a.vec_id, list(b.vec_id ORDER BY b.vec_id) AS ideas, list(list_cosine_similarity(a.v, b.v) ORDER BY b.vec_id) AS sims FROM e a JOIN e b ON a.vec_id % 2 = 0 AND b.vec_id % 2 = 1 AND list_cosine_similarity(a.v, b.v) >= 0.2 GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM h),
+s AS (SELECT label, r, vec_id, ideas[1] AS idea, sims[1] AS sim, [ideas[1]] AS used FROM o WHERE r = 1 UNION ALL SELECT o.label, o.r, o.vec_id, list_filter(o.ideas, lambda x: NOT list_contains(s.used, x))[1], o.sims[list_position(o.ideas, list_filter(o.ideas, lambda x: NOT list_contains(s.used, x))[1])], list_append(s.used, list_filter(o.ideas, lambda x: NOT list_contains(s.used, x))[1]) FROM s JOIN o ON o.label = s.label AND o.r = s.r + 1)
+SELECT label, vec_id, idea AS idea_id, round(sim, 6) AS sim FROM s WHERE idea IS NOT NULL
+""")
 def greedy_matching(spark: SparkSession, sf: str) -> DataFrame:
     """Vectors of even number matched to those of odd number in each label, in order; every one of similarity 0.2 or more may be taken."""
     from textloom.operators.audit import greedy_match

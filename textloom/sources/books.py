@@ -9,7 +9,7 @@ import tarfile
 import zipfile
 from collections.abc import Iterator
 from html.parser import HTMLParser
-from urllib.parse import urljoin
+from urllib.parse import parse_qs, urlencode, urljoin, urlsplit, urlunsplit
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -198,7 +198,7 @@ def opf_columns(xml) -> list:
 
 def catalogue(files: DataFrame, index: DataFrame | None = None, opf: DataFrame | None = None) -> DataFrame:
     """One row for each file (path): index rows first, then OPF rows of the same stem, then the file's own name. Ids number the paths in order."""
-    from pyspark.sql import Window
+    from textloom.operators.ranges import numbered
 
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
     out = files.dropDuplicates(["path"]).withColumn("_stem", stem)
@@ -208,7 +208,7 @@ def catalogue(files: DataFrame, index: DataFrame | None = None, opf: DataFrame |
             out = out.join(own, "_stem", "left")
         else:
             out = out.withColumn(f"_t{name}", F.lit(None).cast("string")).withColumn(f"_a{name}", F.lit(None).cast("array<string>"))
-    return out.select("path", F.coalesce("_ti", "_to", "_stem").alias("title"), F.coalesce("_ai", "_ao", F.array().cast("array<string>")).alias("authors"), F.row_number().over(Window.orderBy("path")).cast("long").alias("book_id"))
+    return out.select("path", F.coalesce("_ti", "_to", "_stem").alias("title"), F.coalesce("_ai", "_ao", F.array().cast("array<string>")).alias("authors")).transform(lambda df: numbered(df, ["path"], "book_id"))
 
 
 class _Listing(HTMLParser):
@@ -287,14 +287,138 @@ def listing(html: str, url: str) -> tuple[list[dict], str | None]:
     return out, urljoin(url, p.next) if p.next else None
 
 
+class _Results(HTMLParser):
+    """Items of a search page: a tree of the elements inside each result, and the page's links and texts."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.items: list[dict] = []
+        self.open: list[dict] = []
+        self.next: dict | None = None
+        self.texts: list[str] = []
+
+    def handle_starttag(self, tag, attrs):
+        a = {k: v or "" for k, v in attrs}
+        node = {"tag": tag, "kinds": a.get("class", "").split(), "href": a.get("href", ""), "text": "", "inner": []}
+        if tag in _VOID:
+            return
+        if tag == "li" and "arxiv-result" in node["kinds"]:
+            self.items.append(node)
+            self.open = [node]
+        else:
+            if tag == "a" and "pagination-next" in node["kinds"] and self.next is None:
+                self.next = node
+            if self.open:
+                self.open[-1]["inner"].append(node)
+                self.open.append(node)
+
+    def handle_endtag(self, tag):
+        if any(n["tag"] == tag for n in self.open):
+            while self.open.pop()["tag"] != tag:
+                pass
+
+    def handle_data(self, data):
+        self.texts.append(data)
+        if self.open:
+            self.open[-1]["inner"].append(data)
+
+
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+
+
+def _said(node: dict | None, without: str = "") -> str:
+    """The text of an element, without the parts of a class."""
+    if node is None:
+        return ""
+    return "".join(x if isinstance(x, str) else "" if without and without in x["kinds"] else _said(x, without) for x in node["inner"])
+
+
+def _inside(node: dict, tag: str, kind: str = "") -> list[dict]:
+    found = []
+    for x in node["inner"]:
+        if isinstance(x, dict):
+            if x["tag"] == tag and (not kind or any(kind in k for k in x["kinds"])):
+                found.append(x)
+            found += _inside(x, tag, kind)
+    return found
+
+
+def search_results(html: str, url: str) -> tuple[list[dict], str | None]:
+    """Articles of a search page, with their abstracts, and the next page's address: its link, else the next start while results are left."""
+    p = _Results()
+    p.feed(html)
+    p.close()
+    flat = lambda s: re.sub(r"\s+", " ", s).strip()
+    kinds = {"/pdf/": "pdf", "/format/": "other", "/ps/": "ps", "/html/": "html"}
+    out = []
+    for item in p.items:
+        links = [a for head in _inside(item, "p", "list-title")[:1] for a in _inside(head, "a")]
+        about = next((a for a in links if "/abs/" in a["href"]), None)
+        found = about and (re.search(r"/abs/([a-zA-Z0-9.\-_/]+)", about["href"]) or re.search(r"(\d{4}\.\d{4,5}(?:v\d+)?)", _said(about)))
+        found = found or re.search(r"arXiv:(\d{4}\.\d{4,5}(?:v\d+)?)", _said(item))
+        if not found:
+            continue
+        id_ = re.sub(r"v\d+$", "", found.group(1))
+        formats, pdf = [], ""
+        for a in links:
+            name = next((k for part, k in kinds.items() if part in a["href"]), _said(a).strip().lower())
+            if name in kinds.values() and name not in formats:
+                formats.append(name)
+            pdf = urljoin(url, a["href"]) if name == "pdf" else pdf
+        title = flat(_said(next((x for x in _inside(item, "p", "title") if "title" in x["kinds"]), None), "descriptor"))
+        title = title[6:].strip() if title.lower().startswith("title:") else title
+        people = [flat(_said(a)) for x in _inside(item, "p", "authors")[:1] for a in _inside(x, "a")]
+        topics = list(dict.fromkeys(t for x in _inside(item, "div", "tags")[:1] for s in _inside(x, "span", "tag") if (t := flat(_said(s)))))
+        body = next(iter(_inside(item, "p", "abstract")), None)
+        if body is not None:
+            body = next(iter(_inside(body, "span", "abstract-full") or _inside(body, "span", "abstract-short")), body)
+        abstract = re.sub(r"(?:▽|△)\s*(?:More|Less)", "", re.sub(r"^[Aa]bstract:\s*", "", flat(_said(body)))).strip()
+        out.append({"paper_id": id_, "title": title or f"Paper {id_}", "authors": list(dict.fromkeys(x for x in people if x)), "primary_category": topics[0] if topics else "General", "categories": topics, "abstract": abstract, "abstract_url": urljoin(url, about["href"] if about else f"/abs/{id_}"), "pdf_url": pdf or urljoin(url, f"/pdf/{id_}"), "formats": formats if "pdf" in formats else [*formats, "pdf"]})
+    if p.next is not None and p.next["href"].strip() and not {"is-invisible", "disabled"} & set(p.next["kinds"]):
+        return out, urljoin(url, p.next["href"].strip())
+    parts = urlsplit(url)
+    asked = {k: v[0] for k, v in parse_qs(parts.query).items()}
+    number = lambda k, default: int(asked[k]) if asked.get(k, "").isdigit() else default
+    after = number("start", 0) + number("size", len(out) or 100)
+    total = re.search(r"(?i)Showing\s+\d+[–\-]\d+\s+of\s+([\d,]+)\s+results", " ".join(p.texts))
+    if total and after < int(total.group(1).replace(",", "")):
+        return out, urlunsplit(parts._replace(query=urlencode(asked | {"start": str(after)})))
+    return out, None
+
+
+def any_page(html: str, url: str) -> tuple[list[dict], str | None]:
+    """Articles of a listing or a search page, whichever it is."""
+    if "/search" in url or re.search(r"""<li[^>]*class=["'][^"']*arxiv-result""", html):
+        return search_results(html, url)
+    articles, after = listing(html, url)
+    return [a | {"abstract": ""} for a in articles], after
+
+
+def crawl(pages: DataFrame, known: DataFrame | None = None, exact: str | None = None, limit: int | None = None, url: str = "url", html: str = "html") -> tuple[DataFrame, DataFrame]:
+    """(wanted, counts): the articles of pages (in order of address) that are to be fetched, and one row of counts.
+
+    exact: only articles with that word or phrase in title or abstract, whatever its case. known (paper_id): papers that are
+    there already; they count as existing. limit: so many new articles, first page first: the caller's own limit.
+    """
+    found = listings(pages, url, html)
+    if exact and exact.strip().strip('"'):
+        word = re.escape(exact.strip().strip('"'))
+        found = found.where(F.concat_ws(" ", "title", "abstract").rlike(rf"(?i)\b{word}\b"))
+    fresh = found if known is None else found.join(known.select("paper_id").distinct(), "paper_id", "left_anti")
+    wanted = fresh if limit is None else fresh.orderBy("page", "paper_id").limit(limit)
+    n = lambda df, name: df.agg(F.count("*").alias(name))
+    counts = n(pages, "pages").join(n(found, "inspected"), F.lit(True)).join(n(fresh, "new"), F.lit(True)).join(n(wanted, "wanted"), F.lit(True))
+    return wanted, counts.withColumn("existing", F.col("inspected") - F.col("new"))
+
+
 def listings(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Articles of all listing pages, each paper once (the first page by address)."""
-    kind = "paper_id string, title string, authors array<string>, primary_category string, categories array<string>, abstract_url string, pdf_url string, formats array<string>, page string"
+    """Articles of all listing and search pages, each paper once (the first page by address)."""
+    kind = "paper_id string, title string, authors array<string>, primary_category string, categories array<string>, abstract string, abstract_url string, pdf_url string, formats array<string>, page string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = [("paper_id", pa.string()), ("title", pa.string()), ("authors", pa.list_(pa.string())), ("primary_category", pa.string()), ("categories", pa.list_(pa.string())), ("abstract_url", pa.string()), ("pdf_url", pa.string()), ("formats", pa.list_(pa.string())), ("page", pa.string())]
+        fields = [("paper_id", pa.string()), ("title", pa.string()), ("authors", pa.list_(pa.string())), ("primary_category", pa.string()), ("categories", pa.list_(pa.string())), ("abstract", pa.string()), ("abstract_url", pa.string()), ("pdf_url", pa.string()), ("formats", pa.list_(pa.string())), ("page", pa.string())]
         for batch in batches:
-            rows = [a | {"page": u} for u, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for a in listing(h or "", u or "")[0]]
+            rows = [a | {"page": u} for u, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for a in any_page(h or "", u or "")[0]]
             yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in fields], [n for n, _ in fields])
 
     found = pages.select(F.col(url), F.col(html)).mapInArrow(run, kind)
@@ -302,42 +426,54 @@ def listings(pages: DataFrame, url: str = "url", html: str = "html") -> DataFram
     return found.groupBy("paper_id").agg(F.min_by(F.struct(*rest), "page").alias("r")).select("paper_id", *(F.col(f"r.{c}").alias(c) for c in rest))
 
 
-_MOJIBAKE = re.compile("[À-ÿ€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ\u0080-\u00bf]{2,}")
+# Which characters make up a piece of misread text.
+_MISREAD = re.compile("(?<![a-zA-Z])[\u0080-\u00ff\u0192\u201a\u201e\u2026\u2020\u2021\u20ac\u2030\u2039\u203a\u2122]+(?![a-zA-Z])")
+_MISREAD_CYRILLIC = re.compile("[РрСс][\u0080-\u00ff\u0400-\u04ff]+")
 _CYRILLIC = re.compile("[\u0400-\u04ff]")
+_VOWEL = re.compile("[аеёиоуыэюяАЕЁИОУЫЭЮЯ]")
 _CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 
 
-def repair(text: str) -> str:
-    """Text whose bytes were read in the wrong code page, read again: UTF-8 as Windows or Latin-1, Cyrillic as Latin-1. Control characters go."""
-    score = lambda s: len(_CYRILLIC.findall(s))
+def _cyrillic(s: str) -> int:
+    return len(_CYRILLIC.findall(s))
+
+
+def _word(was: str, now: str) -> bool:
+    """Plausible as a Russian word: two Cyrillic letters or more, among them a vowel, and mostly such."""
+    return _cyrillic(now) >= 2 and bool(_VOWEL.search(now)) and _cyrillic(now) >= 0.7 * len(now)
+
+
+#: Attempts in order, as (written as, to be read as, whether the new reading is taken). Of a step's attempts the first taken counts.
+_WHOLE = [
+    [("cp1252", "utf-8", lambda s, t: _cyrillic(t) > _cyrillic(s)), ("latin1", "utf-8", lambda s, t: _cyrillic(t) > _cyrillic(s))],
+    [("latin1", "cp1251", lambda s, t: _cyrillic(t) > _cyrillic(s) and _cyrillic(t) >= 0.5 * len(s.strip()))],
+    [("cp1251", "utf-8", lambda s, t: len(t) < len(s) and _cyrillic(t) > 0)],
+]
+_PIECE = [
+    ("cp1252", "utf-8", lambda s, t: _cyrillic(t) > 0), ("latin1", "utf-8", lambda s, t: _cyrillic(t) > 0), ("latin1", "cp1251", lambda s, t: len(s) >= 2 and _word(s, t)),
+    ("cp1252", "cp1251", lambda s, t: len(s) >= 2 and _word(s, t)), ("cp1251", "utf-8", lambda s, t: _cyrillic(t) > 0 and len(t) < len(s)),
+]
 
-    def again(s: str, written: str, read: str) -> str | None:
+
+def _reread(s: str, attempts: list[tuple]) -> str:
+    for written, read, taken in attempts:
         try:
-            return s.encode(written).decode(read)
+            t = s.encode(written).decode(read)
         except (UnicodeEncodeError, UnicodeDecodeError):
-            return None
+            continue
+        if taken(s, t):
+            return t
+    return s
 
+
+def repair(text: str) -> str:
+    """Text whose bytes were read in the wrong code page, read again: as a whole, then piece by piece. Control characters go."""
     s = text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
-    for written in ("cp1252", "latin1"):
-        t = again(s, written, "utf-8")
-        if t and score(t) > score(s):
-            s = t
-            break
-    t = again(s, "latin1", "cp1251")
-    if t and score(t) > score(s) and score(t) >= 0.5 * len(s.strip()):
-        s = t
-    t = again(s, "cp1251", "utf-8")
-    if t and len(t) < len(s) and score(t):
-        s = t
-
-    def part(m: re.Match) -> str:
-        for written, read in (("cp1252", "utf-8"), ("latin1", "utf-8"), ("latin1", "cp1251")):
-            u = again(m.group(0), written, read)
-            if u and score(u) >= max(1, 0.5 * len(u)):
-                return u
-        return m.group(0)
-
-    return _CONTROL.sub("", _MOJIBAKE.sub(part, s))
+    for step in _WHOLE:
+        s = _reread(s, step)
+    for pieces in (_MISREAD, _MISREAD_CYRILLIC):
+        s = pieces.sub(lambda m: _reread(m.group(0), _PIECE), s)
+    return _CONTROL.sub("", s)
 
 
 def repair_column(df: DataFrame, column: str) -> DataFrame:

@@ -65,10 +65,61 @@ def notes(concepts: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def notes_index(concepts: DataFrame) -> DataFrame:
-    """(place, line): concepts by weight, then name."""
-    from pyspark.sql import Window
-
-    return concepts.select(F.row_number().over(Window.orderBy(F.desc_nulls_last("weight"), "name")).alias("place"), F.concat(F.lit("- [["), file_name(F.col("name")), F.lit("]]")).alias("line"))
+    """(place, line): concepts by weight, the heaviest first, then name."""
+    from textloom.operators.ranges import numbered
+
+    own = concepts.select((-F.coalesce(F.col("weight").cast("double"), F.lit(-1e308))).alias("_w"), "name", F.concat(F.lit("- [["), file_name(F.col("name")), F.lit("]]")).alias("line"))
+    return numbered(own, ["_w", "name"], "place").select("place", "line")
+
+
+def book_notes(books: DataFrame, sections: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(file, note): a note for each book (id, title, author, summary) with its sections, and for each section (id, book, title, summary) with its ideas; mentions (section, name). What a note lists meets in one task, each name once."""
+    link = lambda names, head: F.when(F.size(names) > 0, F.concat(F.lit(f"\n\n## {head}\n"), F.array_join(F.transform(names, lambda n: F.concat(F.lit("- [["), file_name(n), F.lit("]]"))), "\n"))).otherwise("")
+    none = F.array().cast("array<string>")
+    under = sections.groupBy(F.col("book").alias("_b")).agg(F.sort_array(F.collect_set("title")).alias("_s"))
+    b = books.join(under, F.col("id") == F.col("_b"), "left").select(F.concat(file_name(F.col("title")), F.lit(".md")).alias("file"), F.concat(F.lit("---\ntype: book\nauthor: "), F.coalesce("author", F.lit("Unknown")), F.lit("\n---\n# "), "title", F.lit("\n\n"), F.coalesce("summary", F.lit("")), link(F.coalesce("_s", none), "Sections")).alias("note"))
+    said = mentions.groupBy(F.col("section").alias("_i")).agg(F.sort_array(F.collect_set("name")).alias("_n"))
+    s = sections.join(said, F.col("id") == F.col("_i"), "left").join(books.select(F.col("id").alias("book"), F.col("title").alias("_t")), "book", "left")
+    s = s.select(F.concat(file_name(F.coalesce("_t", F.lit("Book"))), F.lit(" - "), file_name(F.col("title")), F.lit(".md")).alias("file"), F.concat(F.lit("---\ntype: section\n---\n# "), "title", F.lit("\n\nFrom [["), file_name(F.coalesce("_t", F.lit("Book"))), F.lit("]]\n\n"), F.coalesce("summary", F.lit("")), link(F.coalesce("_n", none), "Ideas")).alias("note"))
+    return b.unionByName(s)
+
+
+def save_shards(nodes: DataFrame, edges: DataFrame, plan: DataFrame, path: str) -> DataFrame:
+    """Write a graph as a spine (nodes without a book) and book shards (plan: book, shard), with a manifest: (part, nodes, edges). nodes and edges have a book column, null for the spine's."""
+    where = lambda df: df.join(F.broadcast(plan), "book", "left").withColumn("part", F.when(F.col("shard").isNull(), "spine").otherwise(F.concat(F.lit("shard_"), F.col("shard").cast("string")))).drop("shard")
+    for name, df in (("nodes", nodes), ("edges", edges)):
+        where(df).write.mode("overwrite").partitionBy("part").parquet(f"{path}/{name}")
+    spark = nodes.sparkSession
+    n, e = (spark.read.parquet(f"{path}/{x}").groupBy("part").agg(F.count("*").alias(x)) for x in ("nodes", "edges"))
+    listed = n.join(e, "part", "full").select(F.col("part").cast("string").alias("part"), F.coalesce("nodes", F.lit(0)).alias("nodes"), F.coalesce("edges", F.lit(0)).alias("edges"))
+    listed.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+    return spark.read.schema("part string, nodes long, edges long").json(f"{path}/manifest")
+
+
+def load_shards(spark: SparkSession, path: str, parts: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a sharded graph: all of it, or the spine with some shards; only their folders are read."""
+    out = []
+    for name in ("nodes", "edges"):
+        df = spark.read.parquet(f"{path}/{name}")
+        out.append((df if parts is None else df.where(F.col("part").isin("spine", *parts))).drop("part"))
+    return out[0], out[1]
+
+
+def save_statistics(reports: dict[str, DataFrame], path: str) -> None:
+    """One-row reports as one JSON object, by name, and as a Markdown table."""
+    spark = next(iter(reports.values())).sparkSession
+    rows = {name: df.first() for name, df in reports.items()}  # a row each
+    import json
+
+    plain = {name: (r.asDict(recursive=True) if r is not None else {}) for name, r in rows.items()}
+    spark.createDataFrame([(json.dumps(plain, default=str, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/json")
+    lines = ["| Report | Value | |", "|-|-|-|", *(f"| {n} | {k} | {v} |" for n, r in plain.items() for k, v in r.items())]
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/markdown")
+
+
+def book_list(tables: dict[str, DataFrame]) -> DataFrame:
+    """(book_id, title) of the books in a graph's nodes, wherever they were kept: a restored backup, a folder or a store's rows."""
+    return tables["nodes"].where("type = 'Book'").select(F.regexp_replace("id", "^book:", "").alias("book_id"), *([F.col("title")] if "title" in tables["nodes"].columns else [F.col("name").alias("title")]))
 
 
 def opf(articles: DataFrame) -> DataFrame:
