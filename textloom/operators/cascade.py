@@ -131,6 +131,41 @@ def classify(df: DataFrame, text: str = "text", section: str | None = None, chap
     return out.withColumn("decision", F.substring_index("_verdict", ":", 1)).withColumn("category", F.substring_index("_verdict", ":", -1)).drop("_verdict", "_body", "_lines", "_bare")
 
 
+#: Steps of a conveyor by the names they are switched by, with their categories.
+SWITCHES = {"skip_empty": "empty", "skip_reference_sections": "ref_sections", "skip_bibliographic": "biblio", "skip_technical_boilerplate": "tech_boiler", "skip_dataset_stimulus": "dataset_stim", "skip_diagram_ocr": "diag_ocr", "skip_captions_and_signposts": "captions_signposts"}
+
+
+def conveyor(df: DataFrame, book: str | None = None, order: list[str] | None = None, text: str = "text", section: str | None = None, chapter: str | None = None, crumb: str | None = None, detect_formulas: bool = True, ideas: DataFrame | None = None, low: float = 0.72, high: float = 0.87, skip_limbo: bool = True, chunk_similarity: bool = False, tau: float = 0.92, window: int = 3, vec: str = "embedding", **switches: bool) -> DataFrame:
+    """All steps as they are switched: rules by SWITCHES (all on), similarity to ideas (idea_id, embedding) where given, and similarity to a section's last chunks where asked (then book and order are needed, and a column vec).
+
+    skip_limbo: False lets chunks between low and high pass.
+    """
+    unknown = set(switches) - set(SWITCHES)
+    if unknown:
+        raise ValueError(f"no such step: {sorted(unknown)}")
+    rules = [name for switch, name in SWITCHES.items() if switches.get(switch, True)]
+    sim = None
+    if ideas is not None:
+        from textloom.operators.similarity import best_match
+
+        df = best_match(df, ideas, row_vec=vec)
+        sim = F.col("max_sim") if skip_limbo else F.when(F.col("max_sim") >= high, F.col("max_sim"))
+    out = classify(df, text, section, chapter, crumb, detect_formulas, rules, sim, low, high)
+    if chunk_similarity:
+        from textloom.operators.ordered import chunk_similarity as cover
+
+        out = cover(out, book, order, tau, window, vec)
+    return out
+
+
+def boilerplate_only(text: Column, section: Column | None = None) -> Column:
+    """Whether the cascade's rules (no similarity) skip a text."""
+    body = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
+    formula = formula_column(body)
+    c = Chunk(body, section if section is not None else F.lit(""), F.lit(""), F.lit(""), formula)
+    return (~formula | (body == "")) & any_of(*(rule(c) for rule in RULES.values()))
+
+
 def stats(classified: DataFrame) -> DataFrame:
     """Counts by category, with the place each has on display."""
     place = F.array_position(F.array(*map(F.lit, DISPLAY_ORDER)), F.col("category"))

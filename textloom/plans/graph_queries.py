@@ -237,11 +237,22 @@ def consistency(spark: SparkSession, sf: str) -> DataFrame:
     return G.consistency(kinds(o), kinds(o.where("o_orderstatus <> 'P'")))
 
 
-@query("SELECT n_name, r_name, count(*) AS books, array_to_string(list_sort(list(DISTINCT c_mktsegment)), ', ') AS authors FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2")
+@query("""
+WITH a AS (SELECT l_orderkey AS book, string_agg(s_name, ' & ' ORDER BY l_linenumber, l_suppkey) AS a, array_to_string(list_sort(list_distinct(list(upper(CASE WHEN l_linenumber % 3 = 0 THEN 'epub' WHEN l_linenumber % 3 = 1 THEN 'pdf' ELSE '' END)) FILTER (l_linenumber % 3 < 2))), ',') AS f FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1)
+SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'Untitled' ELSE o_orderpriority END AS title, coalesce(a, '') AS authors, CASE WHEN o_orderkey % 2 = 0 THEN 'about ' || o_orderkey ELSE '' END AS comments, coalesce(f, '') AS formats, 'lib/p' || o_orderkey AS path, strftime(o_orderdate, '%Y-%m-%d') AS publication_date FROM orders LEFT JOIN a ON book = o_orderkey
+""")
 def catalogue_listing(spark: SparkSession, sf: str) -> DataFrame:
-    """A catalogue with its authors joined into one text."""
-    c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return c.groupBy("n_name", "r_name").agg(F.count("*").alias("books"), F.array_join(F.sort_array(F.collect_set("c_mktsegment")), ", ").alias("authors"))
+    """A library's listing: orders as books, suppliers as their authors."""
+    from textloom.sources.library import Library, list_books
+
+    o, l, s = (table(spark, sf, t) for t in ("orders", "lineitem", "supplier"))  # noqa: E741
+    k, n = F.col("o_orderkey"), F.col("l_linenumber")
+    books = o.select(k.alias("id"), F.when(k % 7 != 0, F.col("o_orderpriority")).alias("title"), F.concat(F.lit("p"), k).alias("path"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("pubdate"))
+    links = l.select(F.struct("l_linenumber", "l_suppkey").alias("id"), F.col("l_orderkey").alias("book"), F.col("l_suppkey").alias("author"))
+    comments = o.where("o_orderkey % 2 = 0").select(k.alias("book"), F.concat(F.lit("about "), k).alias("text"))
+    data = l.select(F.col("l_orderkey").alias("book"), F.when(n % 3 == 0, "epub").when(n % 3 == 1, "pdf").otherwise("").alias("format"))
+    out = list_books(Library(books, links, s.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), comments, data), "lib")
+    return out.withColumns({"authors": F.array_join("authors", " & "), "formats": F.array_join("formats", ",")})
 
 
 @query("""

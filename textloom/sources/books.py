@@ -14,13 +14,20 @@ from xml.etree import ElementTree
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.operators.chunking import sections, tidy
 
 COMIC = ["cbz", "cbr", "cb7", "cbt"]
+
+
+def is_comic(path: Column) -> Column:
+    """Whether a file is a book of pictures, by its extension."""
+    return F.lower(F.element_at(F.split(path, r"\."), -1)).isin(COMIC) & F.contains(path, F.lit("."))
+
+
 _FURNITURE = {"script", "style", "nav", "aside", "header", "footer"}
 
 
@@ -191,7 +198,7 @@ def book_sections(spark: SparkSession, path: str) -> DataFrame:
 def opf_columns(xml) -> list:
     """Columns of an OPF package: title, authors, description, subjects, identifiers, publication_date."""
     one = lambda name: F.nullif(F.trim(F.xpath_string(xml, F.lit(f"//*[local-name()='{name}'][1]"))), F.lit(""))
-    many = lambda name: F.filter(F.transform(F.xpath(xml, F.lit(f"//*[local-name()='{name}']/text()")), F.trim), lambda x: x != "")
+    many = lambda name: F.filter(F.transform(F.xpath(xml, F.lit(f"//*[local-name()='{name}']/text()")), lambda x: F.trim(x)), lambda x: x != "")
     date = F.coalesce(T.publication_date(one("date")), T.publication_date(F.array_join(many("identifier"), " ")))
     return [one("title").alias("title"), many("creator").alias("authors"), one("description").alias("description"), many("subject").alias("subjects"), many("identifier").alias("identifiers"), date.alias("publication_date")]
 
