@@ -185,7 +185,7 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", text_col
             x = [matcher.features(t or "") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("y"), *(pa.array([r[i] for r in x], pa.float64()) for i in range(3))], ["y", "a", "b", "c"])
 
-    x = rows.mapInArrow(features, "y int, a double, b double, c double").orderBy("y", "a", "b", "c").collect()  # sample_rows at most
+    x = sorted(rows.mapInArrow(features, "y int, a double, b double, c double").collect())  # sample_rows at most
     return Lexicon(mild.weights, mild.exceptions, _logistic(np.array([[r.a, r.b, r.c] for r in x]), np.array([float(r.y) for r in x])))
 
 
