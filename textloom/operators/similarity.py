@@ -22,22 +22,53 @@ BLOCK_NUMBERS = 8 << 20
 BLOCKS_AT_ONCE = 4
 
 
+#: Lengths of vectors that end in a block of 128 formula features, by the lengths of the usual text vectors.
+COMPOSITE = (768 + 128, 1024 + 128, 1536 + 128, 3072 + 128)
+FORMULA_DIMS = 128
+
+
+def _unit(x: np.ndarray, least: float = 1e-12) -> np.ndarray:
+    n = np.sqrt((x * x).sum(1, keepdims=True))
+    return np.divide(x, n, out=np.zeros_like(x), where=n > least)
+
+
+def _blocks(x: np.ndarray, formula: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """Unit text blocks and, where vectors end in formula features, unit formula blocks (zero where there is no formula)."""
+    d = x.shape[1] - formula
+    return _unit(x[:, :d]), _unit(x[:, d:], 1e-6) if formula else None
+
+
+def _cosines(a: tuple, b: tuple, alpha: float) -> np.ndarray:
+    """Cosines of the text blocks; where both sides have a formula, the mix with that of the formula blocks if it is more."""
+    sims = a[0] @ b[0].T
+    if a[1] is None:
+        return sims
+    both = a[1].any(1)[:, None] & b[1].any(1)[None, :]
+    return np.where(both, np.maximum(sims, (1 - alpha) * sims + alpha * (a[1] @ b[1].T)), sims)
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     """Rows of unit length; zero rows for nulls and other lengths."""
+    return _unit(_rows(column, dim))
+
+
+def _rows(column: pa.Array, dim: int) -> np.ndarray:
+    """Rows as they are; zero rows for nulls and other lengths."""
     out = np.zeros((len(column), dim))
     at = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(column), dim), False).to_numpy(zero_copy_only=False))
     if len(at):
         flat = column.take(pa.array(at)).flatten()
         out[at] = (flat.fill_null(0) if flat.null_count else flat).to_numpy(zero_copy_only=False).reshape(len(at), dim)
-    n = np.sqrt((out * out).sum(1, keepdims=True))
-    return np.divide(out, n, out=np.zeros_like(out), where=n > 1e-12)
+    return out
 
 
-def nearest(rows: DataFrame, targets: DataFrame, k: int, row_vec: str = "embedding", target_id: str = "idea_id", target_vec: str = "embedding", out: str = "hits", least: float | None = None) -> DataFrame:
+def nearest(rows: DataFrame, targets: DataFrame, k: int, row_vec: str = "embedding", target_id: str = "idea_id", target_vec: str = "embedding", out: str = "hits", least: float | None = None, formula_dims: int | None = None, alpha: float = 0.35) -> DataFrame:
     """rows with an array of their k best targets (id, sim), best first, ties by id; with `least` only those of that similarity or more.
 
     Vectors that are null, zero or of another length than the targets' most common one are similar to nothing
-    (similarity 0). Without targets the array is empty.
+    (similarity 0). Without targets the array is empty. formula_dims: so many numbers at the end are formula features
+    (by default 128 in vectors of the COMPOSITE lengths, none in others): pairs that both have some are compared by the
+    text's cosine or, if it is more, its mix with the formulas' by alpha; others by the text's alone.
     """
     spark = rows.sparkSession
     usable = targets.where(F.col(target_vec).isNotNull() & F.col(target_id).isNotNull()).select(F.col(target_id).alias("t"), F.col(target_vec).alias("v"))
@@ -47,15 +78,15 @@ def nearest(rows: DataFrame, targets: DataFrame, k: int, row_vec: str = "embeddi
         return rows.withColumn(out, F.array().cast(f"array<struct<id:{kind},sim:double>>"))
     dim, total = shape["dim"], shape["count"]
     usable = usable.where(F.size("v") == dim)
+    formula = (FORMULA_DIMS if dim in COMPOSITE else 0) if formula_dims is None else formula_dims if formula_dims < dim else 0
     blocks = max(1, -(-total * dim // BLOCK_NUMBERS))
     name, made = f"_{out}", []
     for b in range(blocks):
         part = usable.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == b).orderBy("t").toPandas()  # about BLOCK_NUMBERS numbers
         ids = part["t"].tolist()
         matrix = np.array(part["v"].tolist(), np.float64).reshape(-1, dim)
-        n = np.sqrt((matrix * matrix).sum(1, keepdims=True))
-        shared = spark.sparkContext.broadcast((ids, np.divide(matrix, n, out=np.zeros_like(matrix), where=n > 1e-12)))
-        rows = _multiply(rows, shared, k, dim, row_vec, kind, f"{name}{b}", least)
+        shared = spark.sparkContext.broadcast((ids, _blocks(matrix, formula)))
+        rows = _multiply(rows, shared, k, dim, formula, alpha, row_vec, kind, f"{name}{b}", least)
         made.append(f"{name}{b}")
         if b == blocks - 1 or len(made) > BLOCKS_AT_ONCE:
             together = F.concat(*map(F.col, made))
@@ -67,7 +98,7 @@ def nearest(rows: DataFrame, targets: DataFrame, k: int, row_vec: str = "embeddi
     return rows.withColumnRenamed(name, out) if out not in rows.columns else rows.withColumn(out, F.col(name)).drop(name)
 
 
-def _multiply(rows: DataFrame, shared, k: int, dim: int, row_vec: str, kind: str, name: str, least: float | None) -> DataFrame:
+def _multiply(rows: DataFrame, shared, k: int, dim: int, formula: int, alpha: float, row_vec: str, kind: str, name: str, least: float | None) -> DataFrame:
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -83,7 +114,7 @@ def _multiply(rows: DataFrame, shared, k: int, dim: int, row_vec: str, kind: str
         for whole in batches:
             for a in range(0, whole.num_rows, 1024):
                 batch = whole.slice(a, 1024)
-                sims = _matrix(batch.column(at), dim) @ matrix.T
+                sims = _cosines(_blocks(_rows(batch.column(at), dim), formula), matrix, alpha)
                 if m == 1:
                     top = sims.argmax(1)[:, None]
                 elif m < len(ids):
@@ -99,7 +130,7 @@ def _multiply(rows: DataFrame, shared, k: int, dim: int, row_vec: str, kind: str
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, fields)]))
 
 
-def best_match(rows: DataFrame, targets: DataFrame, **names: str) -> DataFrame:
+def best_match(rows: DataFrame, targets: DataFrame, **names: str | int | float) -> DataFrame:
     """rows with best_id and max_sim (0.0 and null id without targets)."""
     out = nearest(rows, targets, 1, out="_best", **names)
     first = F.try_element_at("_best", F.lit(1))
@@ -110,7 +141,7 @@ def tier(sim: Column, low: float, high: float) -> Column:
     return F.when(sim < low, "unassigned").when(sim >= high, "high_confidence").otherwise("limbo")
 
 
-def route(rows: DataFrame, targets: DataFrame, low: float = 0.65, high: float = 0.90, size: Column | None = None, formula: Column | None = None, recover_at: int = 1024, **names: str) -> DataFrame:
+def route(rows: DataFrame, targets: DataFrame, low: float = 0.65, high: float = 0.90, size: Column | None = None, formula: Column | None = None, recover_at: int = 1024, **names: str | int | float) -> DataFrame:
     """rows with best_id, max_sim, tier and recovered: limbo rows with a formula or of that size are to be extracted after all.
 
     Without targets every row is unassigned.

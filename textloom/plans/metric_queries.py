@@ -243,3 +243,14 @@ def vector_codec(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings").select("vec_id", "embedding").withColumn("packed", V.encode_udf()(F.col("embedding")))
     back = e.withColumn("back", V.decode_udf()(F.col("packed")))
     return back.select("vec_id", F.length("packed").alias("chars"), F.round(V.cosine(F.col("embedding"), F.col("back")), 4).alias("cosine"), F.round(V.largest_gap(F.col("embedding"), F.col("back")), 3).alias("gap"))
+
+
+@query("""
+WITH e AS (SELECT vec_id, list_concat(embedding::DOUBLE[][1:48], CASE WHEN vec_id % 3 = 0 THEN list_transform(range(16), lambda x: 0.0::DOUBLE) ELSE embedding::DOUBLE[][49:64] END) AS v, vec_id % 3 <> 0 AS f FROM embeddings), p AS (SELECT a.vec_id, b.vec_id AS idea, list_cosine_similarity(a.v[1:48], b.v[1:48]) AS t, CASE WHEN a.f AND b.f THEN list_cosine_similarity(a.v[49:64], b.v[49:64]) END AS m FROM e a, e b WHERE a.vec_id % 10 <> 0 AND b.vec_id % 10 = 0)
+SELECT vec_id, round(max(CASE WHEN m IS NULL THEN t ELSE greatest(t, 0.65 * t + 0.35 * m) END), 6) AS max_sim FROM p GROUP BY vec_id
+""")
+def formula_aware_match(spark: SparkSession, sf: str) -> DataFrame:
+    """Best matches of vectors whose last 16 numbers are formula features; every third has none."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.when(F.col("vec_id") % 3 == 0, F.concat(F.slice("embedding", 1, 48), F.array_repeat(F.lit(0.0).cast("float"), 16))).otherwise(F.col("embedding")).alias("embedding"))
+    out = S.best_match(e.where("vec_id % 10 <> 0"), e.where("vec_id % 10 = 0").withColumnRenamed("vec_id", "idea_id"), formula_dims=16)
+    return out.select("vec_id", F.round("max_sim", 6).alias("max_sim"))
