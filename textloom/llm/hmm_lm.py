@@ -33,7 +33,7 @@ from textloom.storage import stash, stash_bucketed
 CLASS_BITS = 14
 SEGMENT = 1024
 _BLOCK = 8 << 20
-_LANES = 1 << 20  # tokens for which forward and backward values are held at once
+_LANES = 3 << 19  # a block of words; tokens for which forward and backward values are held at once
 _SCALE = 4  # steps after which forward values are brought back to 1
 END = np.uint64(0x5EED0F0E0D0C0B0A)
 _SLICE = 1 << 10
@@ -155,7 +155,8 @@ def expected(model: Model, cls: np.ndarray, length: np.ndarray) -> tuple[np.ndar
         order, cut, place = _steps(begin[i:j] - base, seg[i:j])
         c = np.empty(end - base, np.int64)
         c[place] = cls[base:end]
-        total += float(np.log(most, dtype=np.float64) @ np.bincount(c, minlength=len(most)))
+        every = np.bincount(c, minlength=len(most))
+        total += float(np.log(most, dtype=np.float64) @ every)
         seen = np.empty((states, len(c)), np.float32)
         for s in range(states):
             np.take(emit[s], c, mode="clip", out=seen[s])
@@ -186,8 +187,8 @@ def expected(model: Model, cls: np.ndarray, length: np.ndarray) -> tuple[np.ndar
             if t:
                 np.matmul(move, pull, out=beta[:, : b - a])
         starts += alphas[:, : j - i][:, first].sum(1, dtype=np.float64)
-        for s in range(states):
-            emissions[:, s] += np.bincount(c, weights=alphas[s], minlength=len(emissions))
+        part = np.stack([np.bincount(c, weights=alphas[s], minlength=len(emissions)) for s in range(1, states)], 1) if states > 1 else np.zeros((len(emissions), 0))
+        emissions += np.c_[np.maximum(every - part.sum(1), 0), part]  # the states' shares of a place are 1 together
     return starts, moves * model.move, emissions, total
 
 
