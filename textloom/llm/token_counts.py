@@ -1,6 +1,8 @@
 """Token counts of whole texts by a tokenizer file, with huge texts encoded in overlapping chunks.
 
-A text of at most `chunk_chars` characters is encoded at once. A longer one is cut into chunks that
+A text of at most `chunk_chars` characters is counted at once: split as the tokenizer does, by the counts of its distinct
+pre-tokens, each encoded once in a task, or, where it holds a special token or characters that libraries may class
+differently, by one encoding of the whole. A longer one is cut into chunks that
 overlap by `overlap_chars`; each is encoded with offsets. Two neighbours are spliced at a stable common
 boundary inside their overlap: a place p where text[p] is a space between two characters that are not
 white space. There the byte-level pre-tokenizer cuts whatever stands further left (no alternative of its
@@ -16,13 +18,18 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.batches import as_buffer, blocks
+from textloom.llm.batches import as_buffer, blocks, span_hashes
+from textloom.llm.block_dictionary import Local, by_frequency
+from textloom.llm.byte_bpe import pretokens
 from textloom.sources.tables import table
 
+#: Pre-tokens that a task remembers; beyond it, it begins anew.
+_KNOWN = 1 << 20
 _STABLE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -115,11 +122,57 @@ class ChunkedCounter:
         return None
 
 
+class WordCounter:
+    """Counts tokens of plain texts by pre-token: each distinct one is encoded once and remembered."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.known = tokenizer, {}
+        self.special = [t["content"].encode() for t in json.loads(tokenizer.to_str()).get("added_tokens", []) if t["content"]]
+        probe = "I'll say: 'tis 12  we've\t\n it's''s done.  x \n\nÀé ждёт\u00a0«12»…\u2014 ok "
+        at = [(a, b) for _, (a, b) in tokenizer.pre_tokenizer.pre_tokenize_str(probe)]
+        raw = probe.encode()
+        start, end = pretokens(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        if [raw[a:b].decode() for a, b in zip(start, end, strict=True)] != [probe[a:b] for a, b in at]:
+            raise ValueError("the tokenizer does not split by the GPT-2 pattern")
+
+    def plain(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Rows of characters below U+0530 and of common punctuation (U+2010 to U+2027) alone, without a special token."""
+        odd = buf >= 0xD5
+        after = np.r_[buf[1:], np.zeros(2, np.uint8)]
+        odd |= (buf == 0xD4) & (after[: len(buf)] >= 0xB0)
+        marks = np.flatnonzero((buf == 0xE2) & (after[: len(buf)] == 0x80))
+        odd[marks[(after[marks + 1] >= 0x90) & (after[marks + 1] <= 0xA7)]] = False
+        total = np.r_[0, np.cumsum(odd)]
+        out = total[off[1:]] == total[off[:-1]]
+        raw = buf.tobytes()
+        for token in self.special:
+            at = raw.find(token)
+            while at >= 0:
+                out[np.searchsorted(off, at, "right") - 1] = False
+                at = raw.find(token, at + 1)
+        return out
+
+    def count(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+        start, end = pretokens(buf, off)
+        own = Local(span_hashes(buf, start, end))
+        raw = buf.tobytes()
+        distinct = [raw[a:b] for a, b in zip(start[own.first].tolist(), end[own.first].tolist(), strict=True)]
+        if len(self.known) > _KNOWN:
+            self.known.clear()
+        new = [w for w in distinct if w not in self.known]
+        for w, encoding in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
+            self.known[w] = len(encoding.ids)
+        n = np.array([self.known[w] for w in distinct], np.int64)
+        total = np.r_[0, np.cumsum(n[by_frequency(own.counts)][own.local])] if len(n) else np.zeros(1, np.int64)
+        at = total[np.searchsorted(start, off)]
+        return at[1:] - at[:-1]
+
+
 def token_counts(docs: DataFrame, tokenizer_path: str, text_col: str = "text", id_col: str = "doc_id", max_tokens: int = 1024, chunk_chars: int = 1 << 15, overlap_chars: int = 1 << 10) -> DataFrame:
     """One row for each row of docs: id, n_bytes, n_tokens, over_limit.
 
     A null text counts as empty (0 bytes, 0 tokens); a null id stays null; repeated rows are counted each.
-    Other columns are not read. No shuffle; memory is bounded by a batch of about 8 MB of text or one text.
+    Other columns are not read. No shuffle; memory is bounded by a batch of about 4 MB of text or one text, and by the pre-tokens remembered.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,9 +182,15 @@ def token_counts(docs: DataFrame, tokenizer_path: str, text_col: str = "text", i
         from tokenizers import Tokenizer
 
         counter = ChunkedCounter(Tokenizer.from_file(tokenizer_path), chunk_chars, overlap_chars)
-        for batch in blocks(batches, "text", 2 << 20):
-            _, off = as_buffer(batch.column("text"))
-            n = counter.count([x or "" for x in batch.column("text").to_pylist()])
+        words = WordCounter(counter.tokenizer)
+        for batch in blocks(batches, "text", 4 << 20):
+            texts = batch.column("text")
+            buf, off = as_buffer(texts)
+            chars = np.r_[0, np.cumsum((buf & 0xC0) != 0x80)]
+            plain = words.plain(buf, off) & (chars[off[1:]] - chars[off[:-1]] <= chunk_chars)
+            n = np.zeros(batch.num_rows, np.int64)
+            n[plain] = words.count(*as_buffer(texts.filter(pa.array(plain))))
+            n[~plain] = counter.count([x or "" for x in texts.filter(pa.array(~plain)).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(off[1:] - off[:-1], pa.int64()), pa.array(n, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
