@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -106,3 +108,20 @@ def test_formulas():
     assert not formula_features("  ").any()
     found = extract_formulas("Text $$a = b$$ here\nthen $c_1 \\le d$ and \\(a = b\\)\nE = m c\n")
     assert [f[1] for f in found] == ["a = b", "c_1 \\le d", "E = m c"]
+
+
+def test_every_formula_keyword_counts():
+    from textloom.functions import formulas as fm
+
+    for text in [*fm.KEYWORDS, "the variance of a softmax policy gradient", "kl divergence and l2 norm", "unrelated words"]:
+        want = np.zeros(128)
+        for word, targets in fm.KEYWORDS.items():
+            if re.search(rf"\b{word}\b", text):
+                for t in targets:
+                    want[64 + fm._bucket(t[4:], 64) if t.startswith("var:") else list(fm.OPERATORS).index(t)] += 1.8
+        for v in fm.VARIABLES:
+            if not v.startswith("\\"):
+                want[64 + fm._bucket(v, 64)] += f" {text} ".replace("-", " ").count(f" {v} ")
+        if "kl" in text.split():
+            want[list(fm.OPERATORS).index("KL")] += fm.OPERATORS["KL"]
+        assert np.allclose(fm.formula_features(text), want, atol=1e-4), text
