@@ -224,12 +224,12 @@ def project(df: DataFrame, mean: np.ndarray, matrix: np.ndarray, vec: str = "emb
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            def one(v):
-                if v is None or len(v) != len(mean):
-                    return None
-                y = (np.asarray(v, float) - mean) @ matrix
-                n = np.linalg.norm(y)
-                return y / n if n > 1e-12 else y
-            yield s.map(one)
+            at = np.flatnonzero([v is not None and len(v) == len(mean) for v in s])
+            out_ = pd.Series([None] * len(s), dtype=object)
+            if len(at):
+                y = (np.stack(s.iloc[at].tolist()).astype(float) - mean) @ matrix
+                n = np.linalg.norm(y, axis=1, keepdims=True)
+                out_.iloc[at] = list(np.divide(y, n, out=y, where=n > 1e-12))
+            yield out_
 
     return df.withColumn(out, run(F.col(vec)))
