@@ -246,7 +246,7 @@ def vector_codec(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT vec_id, list_concat(embedding::DOUBLE[][1:48], CASE WHEN vec_id % 3 = 0 THEN list_transform(range(16), lambda x: 0.0::DOUBLE) ELSE embedding::DOUBLE[][49:64] END) AS v, vec_id % 3 <> 0 AS f FROM embeddings), p AS (SELECT a.vec_id, b.vec_id AS idea, list_cosine_similarity(a.v[1:48], b.v[1:48]) AS t, CASE WHEN a.f AND b.f THEN list_cosine_similarity(a.v[49:64], b.v[49:64]) END AS m FROM e a, e b WHERE a.vec_id % 10 <> 0 AND b.vec_id % 10 = 0)
+WITH e AS (SELECT vec_id, list_concat((embedding::DOUBLE[])[1:48], CASE WHEN vec_id % 3 = 0 THEN list_transform(range(16), lambda x: 0.0::DOUBLE) ELSE (embedding::DOUBLE[])[49:64] END) AS v, vec_id % 3 <> 0 AS f FROM embeddings), p AS (SELECT a.vec_id, b.vec_id AS idea, list_cosine_similarity(a.v[1:48], b.v[1:48]) AS t, CASE WHEN a.f AND b.f THEN list_cosine_similarity(a.v[49:64], b.v[49:64]) END AS m FROM e a, e b WHERE a.vec_id % 10 <> 0 AND b.vec_id % 10 = 0)
 SELECT vec_id, round(max(CASE WHEN m IS NULL THEN t ELSE greatest(t, 0.65 * t + 0.35 * m) END), 6) AS max_sim FROM p GROUP BY vec_id
 """)
 def formula_aware_match(spark: SparkSession, sf: str) -> DataFrame:

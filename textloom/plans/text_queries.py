@@ -357,7 +357,11 @@ def greedy_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return leader_clusters(table(spark, sf, "embeddings"), "vec_id", 0.35)
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT embedding::DOUBLE[] AS v, row_number() OVER (ORDER BY vec_id) AS r FROM embeddings), m AS (SELECT a.r, list(list_cosine_similarity(a.v, b.v) ORDER BY b.r) AS sims FROM e a JOIN e b ON b.r <= a.r GROUP BY a.r), p AS (SELECT low::DOUBLE AS low, high::DOUBLE AS high FROM (VALUES (0.25, 0.35), (0.3, 0.4), (0.35, 0.45), (0.4, 0.5)) t(low, high)),
+s AS (SELECT low, high, 1::BIGINT AS r, [1::BIGINT] AS idx, 1::BIGINT AS una, 0::BIGINT AS limbo, 0::BIGINT AS sure FROM p UNION ALL SELECT low, high, nr, CASE WHEN best < low THEN list_append(idx, nr) ELSE idx END, una + (best < low)::INT, limbo + (best >= low AND best < high)::INT, sure + (best >= high)::INT FROM (SELECT s.*, m.r AS nr, list_max(list_transform(s.idx, lambda j: m.sims[j])) AS best FROM s JOIN m ON m.r = s.r + 1))
+SELECT low, high, una AS unassigned, limbo, sure AS high_confidence, len(idx) AS ideas, 100.0 * una / r AS rho FROM s WHERE r = (SELECT count(*) FROM e)
+""")
 def adaptive_replay(spark: SparkSession, sf: str) -> DataFrame:
     """Routing with a growing index for a grid of thresholds; each vector yields itself as an idea."""
     from textloom.operators.ordered import adaptive_replay as replay
