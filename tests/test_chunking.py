@@ -90,6 +90,37 @@ def test_leader_clusters_equal_a_loop(spark):
     assert O.leader_clusters(df.limit(0), "vec_id").count() == 0
 
 
+def test_leader_clusters_write_no_pairs(spark, monkeypatch):
+    import textloom.storage as storage
+    from textloom.operators import ranges
+
+    counts, stash = [], storage.stash
+
+    def counted(df, *a, **b):
+        out = stash(df, *a, **b)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(storage, "stash", counted)
+    monkeypatch.setattr(ranges, "stash", counted)
+    df = spark.createDataFrame([(i, [1.0, i / 1e6] if i % 2 else [-1.0, 0.0]) for i in range(200)], "vec_id long, embedding array<double>")
+    assert {(r.vec_id % 2, r.leader) for r in O.leader_clusters(df, "vec_id", 0.9).collect()} == {(0, 0), (1, 1)}
+    assert max(counts) <= 200
+
+
+def test_leader_clusters_in_many_rounds(spark, monkeypatch):
+    monkeypatch.setattr(O, "LEADER_ROWS", 8)
+    x = np.random.default_rng(5).normal(size=(300, 6))
+    x[40] = 0
+    vectors = [None if i in (3, 200) else v[:4].tolist() if i in (7, 150) else v.tolist() for i, v in enumerate(x)]
+    units = [np.array(v) / max(np.linalg.norm(v), 1e-12) if v is not None and len(v) == 6 else None for v in vectors]
+    leader: dict[int, int] = {}
+    for i, u in enumerate(units):
+        leader[i] = i if u is None else next((j for j in range(i) if leader[j] == j and units[j] is not None and u @ units[j] >= 0.6), i)
+    df = spark.createDataFrame([(f"{i:03}", v) for i, v in enumerate(vectors)], "vec_id string, embedding array<double>").repartition(3)
+    assert {int(r.vec_id): int(r.leader) for r in O.leader_clusters(df, "vec_id", 0.6).collect()} == leader
+
+
 def test_replay(spark):
     v = lambda c: [c, (1 - c * c) ** 0.5]
     rows = [(0, [1.0, 0.0], 50.0, [[1.0, 0.0]]), (1, v(0.97), 50.0, []), (2, v(0.75), 50.0, []), (3, [-1.0, 0.0], 50.0, [[-1.0, 0.0]])]

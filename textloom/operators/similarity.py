@@ -55,6 +55,7 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 def _rows(column: pa.Array, dim: int) -> np.ndarray:
     """Rows as they are; zero rows for nulls and other lengths."""
     out = np.zeros((len(column), dim))
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     at = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(column), dim), False).to_numpy(zero_copy_only=False))
     if len(at):
         flat = column.take(pa.array(at)).flatten()
@@ -62,6 +63,32 @@ def _rows(column: pa.Array, dim: int) -> np.ndarray:
     return out
 
 
+def unit_blocks(column: pa.Array | pa.ChunkedArray, dim: int, formula: int = 0) -> tuple:
+    """A column's vectors as blocks of unit length for cosines and first_near; zero rows for nulls and other lengths."""
+    return _blocks(_rows(column, dim), formula)
+
+
+def take_blocks(blocks: tuple, at: np.ndarray | slice) -> tuple:
+    return blocks[0][at], None if blocks[1] is None else blocks[1][at]
+
+
+def cosines(a: tuple, b: tuple, alpha: float = 0.35) -> np.ndarray:
+    return _cosines(a, b, alpha)
+
+
+def first_near(a: tuple, b: tuple, least: float, alpha: float = 0.35, tile: int = 2048) -> np.ndarray:
+    """For each row of a the place of the first row of b whose cosine is `least` or more, -1 where none is. b in tiles; rows that have found one meet no more."""
+    out, left = np.full(len(a[0]), -1), np.arange(len(a[0]))
+    for s in range(0, len(b[0]), tile):
+        hit = _cosines(take_blocks(a, left), take_blocks(b, slice(s, s + tile)), alpha) >= least
+        found = hit.any(1)
+        out[left[found]] = s + hit[found].argmax(1)
+        left = left[~found]
+        if not len(left):
+            break
+    return out
+
+
 def nearest(rows: DataFrame, targets: DataFrame, k: int, row_vec: str = "embedding", target_id: str = "idea_id", target_vec: str = "embedding", out: str = "hits", least: float | None = None, formula_dims: int | None = None, alpha: float = 0.35) -> DataFrame:
     """rows with an array of their k best targets (id, sim), best first, ties by id; with `least` only those of that similarity or more.
 
