@@ -83,3 +83,30 @@ def test_cascade(spark):
 def test_cascade_similarity_step(spark):
     df = spark.createDataFrame([("plain words here", 0.9), ("plain words here", 0.8), ("plain words here", 0.1), ("w " * 600, 0.8)], "text string, s double")
     assert [r.category for r in cascade.classify(df, sim=F.col("s")).collect()] == ["limbo", "limbo", "passed", "passed"]
+
+
+def _against_rules_sql(spark, odd, formulas):
+    """The cascade's categories and those of its SQL, by line."""
+    import duckdb
+
+    from textloom.operators import cascade
+    from textloom.plans import text_queries as Q
+
+    rows = list(enumerate(odd))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE given (id INT, text VARCHAR)")
+    con.executemany("INSERT INTO given VALUES (?, ?)", rows)
+    want = dict(con.execute(Q._rules_sql("WITH source AS (SELECT id, text, '' AS section FROM given)", formulas) + "SELECT id, category FROM classified").fetchall())
+    got = {r.id: r.category for r in cascade.classify(spark.createDataFrame(rows, "id int, text string"), formulas=formulas).collect()}
+    return [(text, got[i], want[i]) for i, text in rows if got[i] != want[i]], set(got.values())
+
+
+def test_rules_find_what_their_sql_finds(spark):
+    odd = [
+        "ANEN!! ÉOUPA,!! ÈÊTRE,!! ÇLE,!! UN,!! DU", "ÉSmith, ÉJones, ÉBrown, ÉGreen, ÉWhite", "Éall rights reserved", "MIT Licen\u017fe", "Ma\u017fter All right\u017f re\u017ferved", "IEEE Tran\u017factions on ACM, Smith, Jones, 1999", "see pp. 12-13 in 1999é Smith, Jones,", "1999\u0085[1] x\u2028[2] y doi:10.1234/ab",
+        "MIT\x0bLicense", "ZooKeeper \u212ann", "Figure 3: a plot that showsé much", "Figure 3: a plot that \u017fhows much", "Référence", "References\u0085", "Tab\u212a. 3", "\u2713 \u2717 \u2713\x0b\u2717 done", "Funding\u00e9 was", "we propo\u017fe: really? what? why? when?", "écorrespondence to: x", "Correspondence to:é x",
+        "a\nb\nc\nd\ne\nf\ng\nh\u0085| - | - |", "a\nb\nc\nd\ne\nf\ng\néclass z", "(a) Fir\u017ft \u2028 (b) Second", "\u0085 References \u0085",
+    ]
+    wrong, kinds = _against_rules_sql(spark, odd, False)
+    assert wrong == []
+    assert {"biblio", "tech_boiler", "passed"} <= kinds

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,17 +20,53 @@ def any_of(*columns: Column) -> Column:
     return out
 
 
+#: In Java's syntax, what RE2 means by these outside and inside of brackets.
+_RE2 = {r"\b": r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))", r"\s": r"[\t\n\f\r ]", r"\S": r"[^\t\n\f\r ]"}
+_RE2_INSIDE = {r"\s": r"\t\n\f\r ", r"\S": r"[^\t\n\f\r ]"}
+#: Letters that count as the same under (?i), besides those that Java knows.
+_FOLDED = {"s": "\u017f", "k": "\u212a"} | dict(zip("βεθικμπρσφωΒΕΘΙΚΜΠΡΣΦΩ", 2 * ["\u03d0", "\u03f5", "\u03d1\u03f4", "\u0345\u1fbe", "\u03f0", "\u00b5", "\u03d6", "\u03f1", "\u03c2", "\u03d5", "\u2126"], strict=True))
+
+
+@cache
+def as_re2(pattern: str) -> str:
+    """A pattern in Java's syntax that finds what RE2 finds by it: words end by ASCII letters whatever Java's version, blanks are without the vertical tab, lines end at \\n alone, and (?i) folds all letters."""
+    flags = m[1] if (m := re.match(r"\(\?([a-z]+)\)", pattern)) else ""
+    out, inside, at = ["(?d)"], False, 0
+    while at < len(pattern):
+        if not inside and (m := re.compile(r"\(\?(?:[a-z]+\)|[a-z]*:|<?[=!])").match(pattern, at)):
+            out.append(m[0])
+            at += len(m[0])
+            continue
+        c = pattern[at]
+        if c == "\\":
+            e = pattern[at : at + 2]
+            out.append((_RE2_INSIDE if inside else _RE2).get(e, e))
+            at += 2
+            continue
+        more = _FOLDED.get(c.lower() if c.isascii() else c, "") if "i" in flags else ""
+        if inside and "i" in flags and pattern[at : at + 3] in ("a-z", "A-Z"):
+            c, more = pattern[at : at + 3], "\u017f\u212a"
+        if not inside and c == "$" and "m" not in flags:
+            c = r"\z"
+        elif not inside and more:
+            c, more = f"[{c.lower()}{c.upper()}{more}]" if c.isascii() else f"[{c}{more}]", ""
+        out.append(c + more)
+        at += 3 if c in ("a-z", "A-Z") else 1
+        inside = c == "[" or inside and c != "]"
+    return "".join(out)
+
+
 def has(text: Column, pattern: str) -> Column:
-    return text.rlike(pattern)
+    return text.rlike(as_re2(pattern))
 
 
 def count_of(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern))
+    return F.regexp_count(text, F.lit(as_re2(pattern)))
 
 
 def lines(text: Column) -> Column:
     """Trimmed lines that are not blank."""
-    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+\z", "")), lambda x: x != "")
 
 
 def clean_whitespace(text: Column) -> Column:

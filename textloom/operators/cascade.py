@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import patterns as P
-from textloom.functions.text import any_of, count_of, formula_in, has, lines, without_links_and_money
+from textloom.functions.text import any_of, as_re2, count_of, formula_in, has, lines, without_links_and_money
 
 
 @dataclass(frozen=True)
@@ -60,7 +60,7 @@ def bibliography(c: Chunk) -> Column:
     t, n, rows = c.text, c.n, c.rows
     brackets, bib, authors = count_of(t, P.CITATION_BRACKET), count_of(t, P.BIB_LINE), count_of(t, P.AUTHOR_TOKEN)
     named = has(t, P.DOI) | has(t, P.ARXIV_ID) | has(t, P.VENUE)
-    bare = F.when(F.contains(t, F.lit(":")), F.regexp_replace(t, P.LINKS, "")).otherwise(t)
+    bare = F.when(F.contains(t, F.lit(":")), F.regexp_replace(t, as_re2(P.LINKS), "")).otherwise(t)
     tail = (rows <= 4) & (authors >= 5) | (n < 220) & has(t, P.CITATION_TAIL) | (n < 250) & named & has(t, P.YEAR) & (has(t, P.NUMBERED_AUTHOR) | (authors >= 2))
     return any_of(
         F.contains(t, F.lit("[")) & ((brackets >= 5) & (rows <= brackets + 3) | (brackets >= 8)), (bib >= 2) & (rows <= bib + 3) & named, F.contains(t, F.lit("arXiv:")) & has(t, P.ARXIV_AUTHORS) & (rows <= 5), (rows <= 4) & has(t, P.PROCEEDINGS_SLICE),
@@ -85,7 +85,7 @@ def diagram(c: Chunk) -> Column:
     total = F.aggregate(own, F.lit(0), lambda s, x: s + F.length(x))
     short = F.size(F.filter(own, lambda x: F.length(x) <= 45))
     ends = F.size(F.filter(own, lambda x: x.endswith(".") | x.endswith(";")))
-    scattered = F.contains(c.text, F.lit("\n")) & (n >= 8) & ~F.exists(own, lambda x: x.rlike(P.TABLE_RULE)) & ~F.exists(own, lambda x: x.rlike(P.CODE_WORDS)) & (ends <= 1) & (total <= 22 * n) & (short >= 0.85 * n)
+    scattered = F.contains(c.text, F.lit("\n")) & (n >= 8) & ~F.exists(own, lambda x: has(x, P.TABLE_RULE)) & ~F.exists(own, lambda x: has(x, P.CODE_WORDS)) & (ends <= 1) & (total <= 22 * n) & (short >= 0.85 * n)
     return ~c.formula & any_of((c.n < 600) & has(c.text, P.CHECKMARKS), (c.n < 450) & F.contains(c.text, F.lit("01")) & has(c.text, P.CALLOUTS), scattered)
 
 
@@ -118,7 +118,7 @@ def classify(df: DataFrame, text: str = "text", section: str | None = None, chap
     last step: at `high` or more retain, from `low` skip unless the chunk has a formula or 1,024 characters.
     """
     get = lambda name: F.trim(F.coalesce(F.col(name), F.lit(""))) if name else F.lit("")
-    body = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"^\s+|\s+$", "")
+    body = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"^\s+|\s+\z", "")
     out = df.withColumn("_body", body).withColumn("_lines", F.when(F.contains("_body", F.lit("\n")), lines(F.col("_body"))).when(F.col("_body") != "", F.array("_body")).otherwise(F.array().cast("array<string>")))
     out = out.withColumn("_bare", without_links_and_money(F.col("_body"))).withColumn("has_formula", formula_column(F.col("_body"), F.col("_lines"), F.col("_bare")))
     c = Chunk(F.col("_body"), get(section), get(chapter), get(crumb), F.col("has_formula"), F.col("_lines"))
@@ -160,7 +160,7 @@ def conveyor(df: DataFrame, book: str | None = None, order: list[str] | None = N
 
 def boilerplate_only(text: Column, section: Column | None = None) -> Column:
     """Whether the cascade's rules (no similarity) skip a text."""
-    body = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
+    body = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+\z", "")
     formula = formula_column(body)
     c = Chunk(body, section if section is not None else F.lit(""), F.lit(""), F.lit(""), formula)
     return (~formula | (body == "")) & any_of(*(rule(c) for rule in RULES.values()))
