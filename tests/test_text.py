@@ -110,3 +110,10 @@ def test_rules_find_what_their_sql_finds(spark):
     wrong, kinds = _against_rules_sql(spark, odd, False)
     assert wrong == []
     assert {"biblio", "tech_boiler", "passed"} <= kinds
+
+
+def test_formulas_are_found_as_their_sql_finds_them(spark):
+    odd = ["soit éa_1 ici", "soit xé_1 ici", "5\u00b5 de large", "\u2126 et", "\u03d1 et", "éHessian", "Lip\u017fchitz", "le spectral\x0bbound", "log\u2028(x)", "élog (x)", "Theorem 3. tient", "ÉTheorem 3. tient", "log \x0b(x)", "$5\x0bmillion", "il coûte $5 millioné $6", "x^2é", "écoloneqq", "http\u017f://a_1=b c", "UN, ÉX, DU, LA, ÉY, DE, LES,", "\u00b5 [1] [2] [3] [4] [5]"]
+    wrong, kinds = _against_rules_sql(spark, odd, True)
+    assert wrong == []
+    assert {"formulas", "passed", "biblio"} <= kinds

@@ -233,16 +233,16 @@ def formula_sides(raw: Column) -> Column:
 
 
 #: Characters of which a formula of the first pattern has one, and some more: ranges are found fast.
-_MARKS = r"[\\$_^=~\u00b0\u0370-\u03ff\u2026\u2032-\u2034\u2100-\u2bff\x{1d400}-\x{1d7ff}]"
+_MARKS = r"[\\$_^=~\u00b0\u00b5\u0345\u1fbe\u0370-\u03ff\u2026\u2032-\u2034\u2100-\u2bff\x{1d400}-\x{1d7ff}]"
 
 
 def without_links_and_money(text: Column) -> Column:
-    return F.when(F.contains(text, F.lit("$")) | F.contains(F.lower(text), F.lit("http")), F.regexp_replace(F.regexp_replace(text, P.URL, " "), P.CURRENCY, " ")).otherwise(text)
+    return F.when(F.contains(text, F.lit("$")) | F.contains(F.lower(text), F.lit("http")), F.regexp_replace(F.regexp_replace(text, as_re2(P.URL), " "), as_re2(P.CURRENCY), " ")).otherwise(text)
 
 
 def formula_in(bare: Column) -> Column:
     """Whether a formula pattern is found. The marks that the first needs are looked for before it, which spares most texts its search."""
-    return (bare.rlike(_MARKS) & bare.rlike(P.FORMULA_MARKED)) | bare.rlike(P.FORMULA_WORDS)
+    return (bare.rlike(_MARKS) & has(bare, P.FORMULA_MARKED)) | has(bare, P.FORMULA_WORDS)
 
 
 def has_formula(text: Column) -> Column:
