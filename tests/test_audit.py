@@ -81,3 +81,19 @@ def test_greedy_matching_takes_every_legal_partner(spark):
             taken.add(legal[0])
             want.append((r.label, r.vec_id, rows[legal[0]].vec_id))
     assert sorted((r.label, r.vec_id, r.idea_id) for r in catalog.queries()["greedy_matching"](spark, sf).collect()) == sorted(want)
+
+
+def test_payload_cuts_as_its_sql_does(spark, tmp_path):
+    import duckdb
+
+    from textloom.plans import catalog
+    from textloom.plans import graph_queries as G
+
+    ends = ["\n", "\r\n", " ", "\u2028", "\u0085", "\x0b", ".\n"]
+    rows = [(i, most, f"{'x' * (most - 6 - len(end))} words{end} and much more that does not fit" + " y" * 40) for i, end in enumerate(ends) for most in (100, 120, 150)]
+    rows += [(50, None, "last"), (50, 1, None), (50, 1, "first"), (51, 1, None), (52, 1, ""), (53, 1, "a"), (53, 2, None), (53, 3, "c"), (53, 4, ""), (53, 5, "e"), (53, 6, "f")]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    want = dict(con.execute(catalog.oracle_sql()["consolidation_payload"]).fetchall())
+    assert {r.conv_id: r.payload for r in G.consolidation_payload(spark, str(tmp_path)).collect()} == want

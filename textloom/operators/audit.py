@@ -179,12 +179,12 @@ def store_properties(columns: dict[str, str]) -> list[Column]:
 def _clip(text: Column, most: int) -> Column:
     """At most that many characters, cut at a blank."""
     cut = F.left(text, F.lit(most))
-    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.regexp_replace(cut, r"\s+\S*$", ""), F.lit("...")))
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.regexp_replace(cut, r"\s+\S*\z", ""), F.lit("...")))
 
 
 def payload(seen: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """(key, payload): the first three descriptions (150 characters) with their quotes (100), and two more quotes (120), in order. A key's first five rows are all that is gathered."""
-    ranked = seen.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_r <= 5")
+    """(key, payload): the first three descriptions (150 characters) with their quotes (100), and two more quotes (120), in order, nulls last. A key's first five rows are all that is gathered; one with neither gives no line."""
+    ranked = seen.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*(F.col(c).asc_nulls_last() for c in order)))).where("_r <= 5 and (description is not null or quote is not null)")
     line = F.concat(F.lit("- "), _clip(F.coalesce("description", F.lit("")), 150), F.when(F.coalesce("quote", F.lit("")) != "", F.concat(F.lit(' "'), _clip(F.col("quote"), 100), F.lit('"'))).otherwise(""))
     more = F.when(F.coalesce("quote", F.lit("")) != "", F.concat(F.lit('> "'), _clip(F.col("quote"), 120), F.lit('"')))
     rows = ranked.select(key, "_r", F.when(F.col("_r") <= 3, line).otherwise(more).alias("l")).where("l is not null")
