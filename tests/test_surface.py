@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
@@ -152,3 +153,25 @@ def test_running_sums_and_numbers(spark):
     known = [v for _, v in rows if v is not None]
     assert rank[None] is None and all(abs(rank[v] - sum(x <= v for x in known) / len(known)) < 1e-12 for v in known)
     assert ranges.numbered(df.limit(0), ["v"], "n").count() == 0
+
+
+def test_a_common_word_in_titles_joins_no_pairs(spark, tmp_path):
+    from itertools import product
+
+    rng = np.random.default_rng(6)
+    words = ["customer", "custom", "merchant", "book", "x1", "second", "edition", "12345678"]
+    asked = [(i, " ".join(rng.choice(words, rng.integers(1, 5)))) for i in range(120)] + [(200 + i, f"customer number {i:04}") for i in range(300)]
+    files = [(f"f{i:03}", " ".join(rng.choice(words, rng.integers(1, 6)))) for i in range(80)] + [(f"g{i:03}", f"Customer Number {i:04} second") for i in range(0, 300, 2)]
+    plain = lambda t: t.lower().replace(" ", "")
+    want = {}
+    for (k, t), (f, u) in product(asked, files):
+        x, y = plain(t), plain(u)
+        if x == y or min(len(x), len(y)) >= 8 and (x in y or y in x):
+            want[k] = min(want.get(k, (9,)), (3 if x == y else 4, 0 if x == y else abs(len(x) - len(y)), f))
+    a = spark.createDataFrame([(k, t, None, None, None) for k, t in asked], "asked_id long, title string, filename string, book_key string, breadcrumb string")
+    b = spark.createDataFrame([(f, u, None) for f, u in files], "file string, title string, key string")
+    out = S.resolve_book_files(a, b)
+    out.write.parquet(f"{tmp_path}/out")
+    assert {r.asked_id: r.file for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {k: v[2] for k, v in want.items()}
+    titles = [b.select(F.regexp_replace(F.lower("title"), "[^a-z0-9]", "").alias("_t")), a.select(F.regexp_replace(F.lower("title"), "[^a-z0-9]", "").alias("_t"))]
+    assert S.parts_of(*titles).count() < 2000

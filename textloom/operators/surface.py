@@ -151,6 +151,16 @@ def list_ideas(nodes: DataFrame, query: str = "", month_from: str | None = None,
     return rows.where(T.month_in_range(F.col("month"), low, high)).orderBy(*search.sort_order(mode, "id")).limit(limit)
 
 
+def parts_of(rows: DataFrame, sought: DataFrame) -> DataFrame:
+    """rows (_t, ..), once for each part (_p) of _t that may be among the titles sought (_t), 8 characters or more: those that begin with eight characters and have a length that some sought one has together."""
+    heads = sought.where(F.length("_t") >= 8).groupBy(F.left("_t", F.lit(8)).alias("_g")).agg(F.collect_set(F.length("_t")).alias("_n"))
+    places = F.sequence(F.lit(1), F.length("_t") - 7)
+    grams = rows.where(F.length("_t") >= 8).select("*", F.explode(places).alias("_at")).withColumn("_g", F.substring("_t", F.col("_at"), F.lit(8)))
+    fits = F.filter("_n", lambda n: F.col("_at") + n - 1 <= F.length("_t"))
+    long = grams.hint("merge").join(heads, "_g").select(*rows.columns, F.explode(fits).alias("_l"), "_at")
+    return long.select(*rows.columns, F.substring("_t", F.col("_at"), F.col("_l")).alias("_p"))
+
+
 def resolve_book_files(asked: DataFrame, files: DataFrame) -> DataFrame:
     """(asked_id, file): the file of each asked book (asked_id, title, filename, book_key, breadcrumb; nulls allowed) among files (file, title, key).
 
@@ -164,12 +174,14 @@ def resolve_book_files(asked: DataFrame, files: DataFrame) -> DataFrame:
     title = F.when(F.lower(F.trim(F.coalesce("title", F.lit("")))).isin(blank), crumb).otherwise(F.col("title"))
     a = asked.select("asked_id", base(F.col("filename")).alias("_f"), F.regexp_replace(F.trim(F.col("book_key").cast("string")), "^book:", "").alias("_k"), norm(title).alias("_t"))
     b = files.select("file", base(F.col("file")).alias("_f"), F.col("key").cast("string").alias("_k"), norm(F.col("title")).alias("_t"))
-    tier = lambda on, n: a.where(f"{on} <> ''").join(b.where(f"{on} <> ''").groupBy(on).agg(F.min("file").alias("file")), on).select("asked_id", "file", F.lit(n).alias("tier"), F.lit(0).alias("gap"))
+    tier = lambda on, n: a.where(f"{on} <> ''").hint("merge").join(b.where(f"{on} <> ''").groupBy(on).agg(F.min("file").alias("file")), on).select("asked_id", "file", F.lit(n).alias("tier"), F.lit(0).alias("gap"))
     exact = tier("_f", 1).unionByName(tier("_k", 2)).unionByName(tier("_t", 3))
-    # one title inside another: they share their first or last eight letters or digits, or hold each other's; joined by the shorter one's runs of eight
-    grams = lambda df, n: df.where(F.length("_t") >= 8).select(*n, "_t", F.explode(F.transform(F.sequence(F.lit(1), F.length("_t") - 7), lambda i: F.substring("_t", i, F.lit(8)))).alias("_g")).distinct()
-    head = lambda df, n: df.where(F.length("_t") >= 8).select(*n, "_t", F.left("_t", F.lit(8)).alias("_g"))
-    p, q = ["asked_id"], ["file"]
-    inside = head(a, p).join(grams(b, q).withColumnRenamed("_t", "_u"), "_g").unionByName(grams(a, p).join(head(b, q).withColumnRenamed("_t", "_u"), "_g"))
-    fuzzy = inside.where(F.contains("_t", F.col("_u")) | F.contains("_u", F.col("_t"))).select("asked_id", "file", F.lit(4).alias("tier"), F.abs(F.length("_t") - F.length("_u")).alias("gap")).distinct()
+    # one title inside another, for books that nothing exact finds: titles are looked up by equality among the other side's parts, so that a common word joins nothing; sides are as large as the tables, and their sizes are guessed too small once rows are exploded, so none is broadcast
+    rest = a.hint("merge").join(exact.select("asked_id"), "asked_id", "left_anti").where(F.length("_t") >= 8)
+    titles = b.where(F.length("_t") >= 8).groupBy("_t").agg(F.min("file").alias("file"))
+    held = parts_of(titles, rest.select("_t")).groupBy("_p").agg(F.min(F.struct(F.length("_t").alias("n"), "file")).alias("x"))
+    around = rest.hint("merge").join(held.withColumnRenamed("_p", "_t"), "_t").select("asked_id", F.col("x.file").alias("file"), F.lit(4).alias("tier"), (F.col("x.n") - F.length("_t")).alias("gap"))
+    inner = parts_of(rest.select("_t").distinct(), titles.select("_t")).hint("merge").join(titles.withColumnRenamed("_t", "_p"), "_p").groupBy("_t").agg(F.min(F.struct((F.length("_t") - F.length("_p")).alias("gap"), "file")).alias("x"))
+    within = rest.hint("merge").join(inner, "_t").select("asked_id", F.col("x.file").alias("file"), F.lit(4).alias("tier"), F.col("x.gap").alias("gap"))
+    fuzzy = around.unionByName(within)
     return exact.unionByName(fuzzy).groupBy("asked_id").agg(F.min_by("file", F.struct("tier", "gap", "file")).alias("file"))
